@@ -16,7 +16,6 @@ from statistics import NormalDist
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -75,12 +74,14 @@ def two_sided_p(t: np.ndarray, df: np.ndarray) -> np.ndarray:
     return out
 
 
-def _cornish_fisher(z: float, df):
+def _cornish_fisher(z: float, df: str) -> str:
+    """SQL for the series around the normal quantile ``z``."""
     g1 = (z**3 + z) / 4
     g2 = (5 * z**5 + 16 * z**3 + 3 * z) / 96
     g3 = (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384
     g4 = (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160
-    return z + g1 / df + g2 / (df * df) + g3 / (df * df * df) + g4 / (df * df * df * df)
+    terms = [f"{g!r}D / power({df}, {i})" for i, g in enumerate((g1, g2, g3, g4), start=1)]
+    return f"({z!r}D + {' + '.join(terms)})"
 
 
 @lru_cache(maxsize=16)
@@ -97,14 +98,17 @@ def quantile_table(level: float = 0.95) -> tuple[float, ...]:
     return tuple(float(v) for v in (lo + hi) / 2)
 
 
-def t_quantile(df: Column, level: float = 0.95) -> Column:
-    """Half-width multiplier of a two-sided ``level`` interval; NULL below one degree."""
-    table = F.array(*[F.lit(v) for v in quantile_table(level)])
+def t_quantile(df: str, level: float = 0.95) -> str:
+    """SQL for the half-width multiplier of a two-sided ``level`` interval.
+
+    ``df`` is an integer column or expression; NULL below one degree of freedom.
+    """
+    table = ", ".join(f"{v!r}D" for v in quantile_table(level))
     z = NormalDist().inv_cdf(0.5 + level / 2)
     return (
-        F.when(df < 1, F.lit(None).cast("double"))
-        .when(df <= TABLE_SIZE, F.element_at(table, df.cast("int")))
-        .otherwise(_cornish_fisher(z, df.cast("double")))
+        f"CASE WHEN {df} < 1 THEN NULL"
+        f" WHEN {df} <= {TABLE_SIZE} THEN element_at(array({table}), CAST({df} AS INT))"
+        f" ELSE {_cornish_fisher(z, df)} END"
     )
 
 

@@ -13,8 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.functions.shares import DEMOCRAT, REPUBLICAN, blend, two_party_share, winner
-from panelcast.operators.moments import Formula, moments
+from panelcast.functions.shares import DEMOCRAT, REPUBLICAN
+from panelcast.operators.moments import Formula, moments, quoted
 from panelcast.operators.ols import ols_by_key, pooled_from_moments, predict
 from panelcast.session import cut_lineage, small_side
 
@@ -48,8 +48,8 @@ def national_inputs(
     score: DataFrame, keys: Sequence[str], formulas: Sequence[Formula] = FORMULAS
 ) -> DataFrame:
     """Mean of every model input over units, one row per key."""
-    inputs = inputs_of(formulas)
-    return score.groupBy(*keys).agg(*[F.avg(x).alias(x) for x in inputs])
+    means = [F.expr(f"avg(`{x}`) AS `{x}`") for x in inputs_of(formulas)]
+    return score.groupBy(*keys).agg(*means)
 
 
 def pooled_rows(
@@ -66,37 +66,39 @@ def pooled_rows(
     return predict(fits.join(inputs, "party"), formulas, level, pooled=True)
 
 
-def _side(party: str, c: Column | str) -> Column:
-    return F.max(F.when(F.col("party") == party, F.col(c) if isinstance(c, str) else c))
+def _side(party: str, expression: str, name: str) -> Column:
+    return F.expr(f"max(CASE WHEN party = '{party}' THEN {expression} END) AS {name}")
 
 
-def combine_sides(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Fold both sides of a key: renormalise the fundamentals pair, blend half and half."""
-    per_side = {}
+def combine_sides(rows: DataFrame, keys: Sequence[str], quality: bool = True) -> DataFrame:
+    """Fold both sides of a key: renormalise the fundamentals pair, blend half and half.
+
+    With ``quality``, R-squared and MSE are the means over the two models.
+    """
+    folded, kept = [], []
     for s, party in SIDES.items():
-        per_side[f"{s}_polls"] = _side(party, "polls_fit")
-        per_side[f"{s}_plus"] = _side(party, "plus_fit")
-        per_side[f"{s}_rsquared"] = _side(party, blend((0.5, "plus_r2"), (0.5, "polls_r2")))
-        per_side[f"{s}_mse"] = _side(party, blend((0.5, "plus_mse"), (0.5, "polls_mse")))
-    wide = rows.groupBy(*keys).agg(*[c.alias(name) for name, c in per_side.items()])
-    out = wide.withColumns(
-        {
-            "dem_p": blend((0.5, "d_polls"), (0.5, two_party_share("d_plus", "r_plus"))),
-            "rep_p": blend((0.5, "r_polls"), (0.5, two_party_share("r_plus", "d_plus"))),
-        }
-    )
-    return out.withColumns(
-        {"d_margin": F.col("dem_p") - F.col("rep_p"), "winner": winner("dem_p", "rep_p")}
-    ).select(
-        *keys,
-        "dem_p",
-        "rep_p",
-        "d_margin",
-        "winner",
-        "d_rsquared",
-        "r_rsquared",
-        "d_mse",
-        "r_mse",
+        folded.append(_side(party, "polls_fit", f"{s}_polls"))
+        folded.append(_side(party, "plus_fit", f"{s}_plus"))
+        if quality:
+            folded.append(_side(party, "0.5D * plus_r2 + 0.5D * polls_r2", f"{s}_rsquared"))
+            folded.append(_side(party, "0.5D * plus_mse + 0.5D * polls_mse", f"{s}_mse"))
+            kept += [f"{s}_rsquared", f"{s}_mse"]
+    pair = "(d_plus + r_plus)"
+    return (
+        rows.groupBy(*keys)
+        .agg(*folded)
+        .selectExpr(
+            *quoted(keys),
+            f"0.5D * d_polls + 0.5D * try_divide(d_plus * 100D, {pair}) AS dem_p",
+            f"0.5D * r_polls + 0.5D * try_divide(r_plus * 100D, {pair}) AS rep_p",
+            *kept,
+        )
+        .selectExpr(
+            "*",
+            "dem_p - rep_p AS d_margin",
+            f"CASE WHEN dem_p > rep_p THEN '{DEMOCRAT}' WHEN rep_p > dem_p THEN '{REPUBLICAN}' END"
+            " AS winner",
+        )
     )
 
 
@@ -105,25 +107,19 @@ def interval_columns(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     columns = []
     for s, party in SIDES.items():
         for f in FORMULAS:
-            columns.append(_side(party, f"{f.name}_fit").alias(f"{s}_{f.name}"))
-            columns.append(_side(party, f"{f.name}_lwr").alias(f"{s}_{f.name}_low"))
-            columns.append(_side(party, f"{f.name}_upr").alias(f"{s}_{f.name}_high"))
+            columns.append(_side(party, f"{f.name}_fit", f"{s}_{f.name}"))
+            columns.append(_side(party, f"{f.name}_lwr", f"{s}_{f.name}_low"))
+            columns.append(_side(party, f"{f.name}_upr", f"{s}_{f.name}_high"))
     return rows.groupBy(*keys).agg(*columns)
 
 
 def interval_rows(wide: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The twelve columns as rows: key, side, model, point, low, high."""
-    entries = F.array(
-        *[
-            F.struct(
-                F.lit(party).alias("party"),
-                F.lit(f.name).alias("model"),
-                F.col(f"{s}_{f.name}").alias("point"),
-                F.col(f"{s}_{f.name}_low").alias("low"),
-                F.col(f"{s}_{f.name}_high").alias("high"),
-            )
-            for s, party in SIDES.items()
-            for f in FORMULAS
-        ]
+    entries = ", ".join(
+        f"'{party}', '{f.name}', {s}_{f.name}, {s}_{f.name}_low, {s}_{f.name}_high"
+        for s, party in SIDES.items()
+        for f in FORMULAS
     )
-    return wide.select(*keys, F.explode(entries).alias("e")).select(*keys, "e.*")
+    count = len(SIDES) * len(FORMULAS)
+    stacked = f"stack({count}, {entries}) AS (party, model, point, low, high)"
+    return wide.selectExpr(*quoted(keys), stacked)

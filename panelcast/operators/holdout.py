@@ -8,22 +8,19 @@ refitted on rows.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import add
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.operators.ensemble import FORMULAS, inputs_of, national_inputs
 from panelcast.operators.moments import (
-    CENTRED_TOLERANCE,
-    RAW_TOLERANCE,
     Formula,
     moments,
+    quoted,
     total_moments,
     without_part,
 )
-from panelcast.operators.ols import predict, solve, sweep
+from panelcast.operators.ols import intercept, predict, slopes, solve, sweep
 from panelcast.session import cut_lineage, small_side
 
 
@@ -55,62 +52,42 @@ def holdout_unpooled_rows(
 
 
 def holdout_pooled_slopes(
-    parts: DataFrame, keys: Sequence[str], groups: Sequence[str], period: str, formulas: Sequence[Formula]
+    totals: DataFrame,
+    keys: Sequence[str],
+    groups: Sequence[str],
+    period: str,
+    formulas: Sequence[Formula],
 ) -> DataFrame:
     """Common slopes for every held-out period, one row per (group, period).
 
-    Only keys with rows in the period differ from their total, so each period is
-    the grand within-key total minus those differences.
+    ``totals`` holds part and total moments per (key, period). Only keys with rows
+    in the period differ from their total, so each period is the grand within-key
+    sum minus those differences.
     """
-    totals = total_moments(parts, keys, formulas)
-    rest = without_part(totals, formulas).select(
-        *keys, period, *[F.col(c).alias(f"rest_{c}") for f in formulas for c in f.moment_columns()]
-    )
-    joined = totals.join(rest, [*keys, period])
-    differences = []
-    for f in formulas:
-        differences.append(F.sum(F.col(f.n())).alias(f"less_{f.n()}"))
-        differences += [
-            F.sum(F.col(f"all_{f.s(i, j)}") - F.col(f"rest_{f.s(i, j)}")).alias(f"less_{f.s(i, j)}")
-            for i, j in f.pairs()
-        ]
-    less = joined.groupBy(*groups, period).agg(*differences)
-    firsts = [
-        F.first(f"all_{c}").alias(f"all_{c}") for f in formulas for c in f.moment_columns()
+    prefixed = [c for f in formulas for c in f.moment_columns()]
+    renamed = totals.selectExpr("*", *[f"all_{c} AS total_{c}" for c in prefixed])
+    rest = without_part(renamed, formulas)
+    differences = [
+        f"sum(total_{f.s(i, j)} - {f.s(i, j)}) AS less_{f.s(i, j)}"
+        for f in formulas
+        for i, j in f.pairs()
     ]
-    per_key = totals.groupBy(*keys).agg(*firsts)
-    sums = []
-    for f in formulas:
-        n = F.col(f"all_{f.n()}")
-        sums.append(F.sum(n).alias(f"sum_{f.n()}"))
-        sums += [F.sum(f"all_{f.s(i, j)}").alias(f"sum_{f.s(i, j)}") for i, j in f.pairs()]
-        sums += [
-            F.sum(
-                n * F.col(f"all_{f.mean(i)}") * F.col(f"all_{f.mean(i)}") * RAW_TOLERANCE
-                + F.col(f"all_{f.s(i, i)}") * CENTRED_TOLERANCE
-            ).alias(f.tol(i))
-            for i in range(f.k)
-        ]
-    grand = per_key.groupBy(*groups).agg(*sums)
+    less = rest.groupBy(*groups, period).agg(*map(F.expr, differences))
+    spreads = [f.s(i, j) for f in formulas for i, j in f.pairs()]
+    tolerances = [t for f in formulas for t in f.tolerance_columns()]
+    per_key = totals.groupBy(*keys).agg(
+        *[F.expr(f"any_value(all_{c}) AS {c}") for c in [*spreads, *tolerances]]
+    )
+    grand = per_key.groupBy(*groups).agg(
+        *[F.expr(f"sum({c}) AS {c}") for c in [*spreads, *tolerances]]
+    )
     out = less.join(grand, list(groups))
+    coefficients = []
     for f in formulas:
-        out = sweep(
-            out,
-            f.name,
-            f.k + 1,
-            {
-                (i, j): F.col(f"sum_{f.s(i, j)}") - F.col(f"less_{f.s(i, j)}")
-                for i, j in f.pairs()
-            },
-            [F.col(f.tol(i)) for i in range(f.k)],
-        )
-        kept = [F.col(f"{f.name}_inv_{i}").isNotNull() for i in range(f.k)]
-        out = out.withColumns(
-            {f"{f.name}_b_{i}": F.when(kept[i], F.col(f"{f.name}_a_{i}_{f.k}")) for i in range(f.k)}
-        )
-    return out.select(
-        *groups, period, *[f"{f.name}_b_{i}" for f in formulas for i in range(f.k)]
-    )
+        entries = {(i, j): f"{f.s(i, j)} - less_{f.s(i, j)}" for i, j in f.pairs()}
+        out = sweep(out, f.name, f.k + 1, entries, f.tolerance_columns())
+        coefficients += slopes(f)
+    return out.selectExpr(*quoted([*groups, period]), *coefficients)
 
 
 def holdout_pooled_rows(
@@ -125,18 +102,13 @@ def holdout_pooled_rows(
     other periods.
     """
     keys = [unit, "party"]
-    parts = cut_lineage(moments(features, [*keys, period], formulas))
-    slopes = small_side(holdout_pooled_slopes(parts, keys, ["party"], period, formulas))
-    means = without_part(total_moments(parts, keys, formulas), formulas).select(
-        *keys, period, *[f.mean(i) for f in formulas for i in range(f.k + 1)]
+    parts = moments(features, [*keys, period], formulas)
+    totals = cut_lineage(total_moments(parts, keys, formulas))
+    shared = holdout_pooled_slopes(totals, keys, ["party"], period, formulas).join(
+        national_inputs(features, ["party", period], formulas), ["party", period]
     )
-    inputs = small_side(national_inputs(features, ["party", period], formulas))
-    rows = means.join(slopes, ["party", period]).join(inputs, ["party", period])
-    for f in formulas:
-        parts_of = [
-            F.coalesce(F.col(f"{f.name}_b_{i}"), F.lit(0.0)) * F.col(f.mean(i)) for i in range(f.k)
-        ]
-        rows = rows.withColumn(
-            f"{f.name}_b0", F.col(f.mean(f.k)) - reduce(add, parts_of, F.lit(0.0))
-        )
-    return predict(rows, formulas)
+    means = without_part(totals, formulas).select(
+        *keys, period, *[m for f in formulas for m in f.means()]
+    )
+    rows = means.join(small_side(shared), ["party", period])
+    return predict(rows.selectExpr("*", *[intercept(f) for f in formulas]), formulas)

@@ -11,11 +11,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import add
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelcast.operators.moments import quoted
 from panelcast.operators.ols import sweep
 from panelcast.session import cut_lineage
 
@@ -23,110 +23,101 @@ MAX_STEPS = 25
 DEVIANCE_TOLERANCE = 1e-8
 
 
-def logistic(eta: Column) -> Column:
+def logistic(eta: str) -> str:
     """Inverse of the logit link."""
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(-eta))
+    return f"(1D / (1D + exp(-({eta}))))"
 
 
-def _log_logistic(eta: Column) -> Column:
+def _log_logistic(eta: str) -> str:
     """log(1 / (1 + exp(-eta))) without overflow."""
-    return F.least(eta, F.lit(0.0)) - F.log1p(F.exp(-F.abs(eta)))
+    return f"(least({eta}, 0D) - log1p(exp(-abs({eta}))))"
 
 
-def _x_log_x(part: Column, whole: Column) -> Column:
-    return F.when(part > 0, part * F.log(part / whole)).otherwise(0.0)
+def _x_log_x(part: str, whole: str) -> str:
+    return f"CASE WHEN {part} > 0 THEN {part} * ln({part} / {whole}) ELSE 0D END"
 
 
 def binomial_design(
     df: DataFrame, keys: Sequence[str], successes: str, trials: str, xs: Sequence[str]
 ) -> DataFrame:
     """Complete rows, merged where key and predictors coincide."""
-    present = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (successes, trials, *xs)])
-    return (
-        df.filter(present & (F.col(trials) > 0))
-        .groupBy(*keys, *[F.col(x).cast("double").alias(x) for x in xs])
-        .agg(
-            F.sum(F.col(successes).cast("double")).alias("successes"),
-            F.sum(F.col(trials).cast("double")).alias("trials"),
-        )
+    complete = " AND ".join(f"`{c}` IS NOT NULL" for c in (successes, trials, *xs))
+    rows = df.filter(f"{complete} AND `{trials}` > 0").selectExpr(
+        *quoted(keys),
+        *[f"CAST(`{x}` AS DOUBLE) AS x_{i}" for i, x in enumerate(xs)],
+        f"CAST(`{successes}` AS DOUBLE) AS s",
+        f"CAST(`{trials}` AS DOUBLE) AS n",
+    )
+    return rows.groupBy(*keys, *[f"x_{i}" for i in range(len(xs))]).agg(
+        F.sum("s").alias("s"), F.sum("n").alias("n")
     )
 
 
-def _start(design: DataFrame, keys: Sequence[str], xs: Sequence[str]) -> DataFrame:
+def _start(design: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
     """Pooled log odds as intercept, zero slopes, predictors centred at their weighted means."""
-    s, n = F.sum("successes"), F.sum("trials")
-    centred = {f"c_{i}": F.sum(F.col(x) * F.col("trials")) / n for i, x in enumerate(xs)}
-    saturated = F.sum(
-        _x_log_x(F.col("successes"), F.col("trials"))
-        + _x_log_x(F.col("trials") - F.col("successes"), F.col("trials"))
-    )
-    return design.groupBy(*keys).agg(
-        *[c.alias(name) for name, c in centred.items()],
-        F.log((s + 0.5) / (n - s + 0.5)).alias("beta_0"),
-        *[F.lit(0.0).alias(f"beta_{i + 1}") for i in range(len(xs))],
-        saturated.alias("saturated"),
-        F.lit(None).cast("double").alias("deviance"),
-        F.lit(0).alias("steps"),
-        F.lit(False).alias("converged"),
-    )
+    saturated = f"{_x_log_x('s', 'n')} + {_x_log_x('(n - s)', 'n')}"
+    columns = [
+        *[f"sum(x_{i} * n) / sum(n) AS c_{i}" for i in range(k)],
+        "ln((sum(s) + 0.5D) / (sum(n) - sum(s) + 0.5D)) AS beta_0",
+        *[f"0D AS beta_{i + 1}" for i in range(k)],
+        f"sum({saturated}) AS saturated",
+        "CAST(NULL AS DOUBLE) AS deviance",
+        "0 AS steps",
+        "false AS converged",
+        *[f"true AS kept_{i}" for i in range(k + 1)],
+    ]
+    return design.groupBy(*keys).agg(*map(F.expr, columns))
 
 
 def _step(
-    design: DataFrame, state: DataFrame, keys: Sequence[str], xs: Sequence[str], tolerance: float
+    design: DataFrame, state: DataFrame, keys: Sequence[str], k: int, tolerance: float
 ) -> DataFrame:
     """Deviance at the current coefficients, then one Newton step where it still moves."""
-    p = len(xs) + 1
-    z = [F.lit(1.0), *[F.col(x) - F.col(f"c_{i}") for i, x in enumerate(xs)]]
-    eta = reduce(add, [F.col(f"beta_{i}") * z[i] for i in range(p)])
+    p = k + 1
+    z = ["1D", *[f"(x_{i} - c_{i})" for i in range(k)]]
+    eta = " + ".join(f"beta_{i} * {z[i]}" for i in range(p))
     rows = (
         design.join(state, list(keys))
-        .withColumn("eta", eta)
-        .withColumn("mu", logistic(F.col("eta")))
-        .withColumn("score", F.col("successes") - F.col("trials") * F.col("mu"))
-        .withColumn("weight", F.col("trials") * F.col("mu") * (F.lit(1.0) - F.col("mu")))
-    )
-    likelihood = F.col("successes") * _log_logistic(F.col("eta")) + (
-        F.col("trials") - F.col("successes")
-    ) * _log_logistic(-F.col("eta"))
-    carried = [c for c in state.columns if c not in keys]
-    sums = rows.groupBy(*keys).agg(
-        *[F.first(c).alias(c) for c in carried],
-        F.sum(likelihood).alias("likelihood"),
-        *[F.sum(F.col("score") * z[i]).alias(f"g_{i}") for i in range(p)],
-        *[
-            F.sum(F.col("weight") * z[i] * z[j]).alias(f"h_{i}_{j}")
-            for i in range(p)
-            for j in range(i, p)
-        ],
-    )
-    entries = {(i, j): F.col(f"h_{i}_{j}") for i in range(p) for j in range(i, p)}
-    entries |= {(i, p): F.col(f"g_{i}") for i in range(p)}
-    entries[(p, p)] = F.lit(0.0)
-    solved = sweep(sums, "q", p + 1, entries, [F.col(f"h_{i}_{i}") * 1e-11 for i in range(p)])
-    now = F.lit(2.0) * (F.col("saturated") - F.col("likelihood"))
-    settled = F.coalesce(
-        F.abs(now - F.col("deviance")) / (F.abs(now) + 0.1) < tolerance, F.lit(False)
+        .selectExpr("*", f"{eta} AS eta")
+        .selectExpr("*", f"{logistic('eta')} AS mu")
+        .selectExpr("*", "s - n * mu AS score", "n * mu * (1D - mu) AS weight")
     )
-    solved = solved.withColumns({"now": now}).withColumn("settled", settled)
-    moved = {
-        f"beta_{i}": F.when(F.col("settled"), F.col(f"beta_{i}")).otherwise(
-            F.col(f"beta_{i}")
-            + F.when(F.col(f"q_inv_{i}").isNotNull(), F.col(f"q_a_{i}_{p}")).otherwise(0.0)
-        )
+    carried = [
+        *[f"c_{i}" for i in range(k)],
+        *[f"beta_{i}" for i in range(p)],
+        "saturated",
+        "deviance",
+        "steps",
+    ]
+    sums = [
+        *[f"any_value({c}) AS {c}" for c in carried],
+        f"sum(s * {_log_logistic('eta')} + (n - s) * {_log_logistic('-eta')}) AS likelihood",
+        *[f"sum(score * {z[i]}) AS g_{i}" for i in range(p)],
+        *[f"sum(weight * {z[i]} * {z[j]}) AS h_{i}_{j}" for i in range(p) for j in range(i, p)],
+    ]
+    entries = {(i, j): f"h_{i}_{j}" for i in range(p) for j in range(i, p)}
+    entries |= {(i, p): f"g_{i}" for i in range(p)} | {(p, p): "0D"}
+    solved = sweep(
+        rows.groupBy(*keys).agg(*map(F.expr, sums)),
+        "q",
+        p + 1,
+        entries,
+        [f"h_{i}_{i} * 1e-11D" for i in range(p)],
+    ).selectExpr("*", "2D * (saturated - likelihood) AS now")
+    settled = f"coalesce(abs(now - deviance) / (abs(now) + 0.1D) < {tolerance!r}D, false)"
+    moved = [
+        f"CASE WHEN settled OR q_inv_{i} IS NULL THEN beta_{i} ELSE beta_{i} + q_a_{i}_{p} END AS beta_{i}"
         for i in range(p)
-    }
-    kept = {f"kept_{i}": F.col(f"q_inv_{i}").isNotNull() for i in range(p)}
-    return (
-        solved.withColumns(moved)
-        .withColumns(
-            {
-                "deviance": F.col("now"),
-                "converged": F.col("settled"),
-                "steps": F.when(F.col("settled"), F.col("steps")).otherwise(F.col("steps") + 1),
-                **kept,
-            }
-        )
-        .select(*keys, *carried, *[k for k in kept if k not in carried])
+    ]
+    return solved.selectExpr("*", f"{settled} AS settled").selectExpr(
+        *quoted(keys),
+        *[f"c_{i}" for i in range(k)],
+        *moved,
+        "saturated",
+        "now AS deviance",
+        "CASE WHEN settled THEN steps ELSE steps + 1 END AS steps",
+        "settled AS converged",
+        *[f"q_inv_{i} IS NOT NULL AS kept_{i}" for i in range(p)],
     )
 
 
@@ -145,47 +136,31 @@ def logit_by_key(
     ``steps`` and ``converged``. Stops when the relative change of the deviance
     falls under ``tolerance`` for all keys, or after ``max_steps``.
     """
-    p = len(xs) + 1
+    k = len(xs)
     design = cut_lineage(binomial_design(df, keys, successes, trials, xs))
-    state = _start(design, keys, xs)
-    for i in range(p):
-        state = state.withColumn(f"kept_{i}", F.lit(True))
+    state = _start(design, keys, k)
     finished = []
     # one more round than steps: the last one only measures the final deviance
     for _ in range(max_steps + 1):
-        state = cut_lineage(_step(design, state, keys, xs, tolerance))
-        done = state.filter("converged")
-        finished.append(done)
+        state = cut_lineage(_step(design, state, keys, k, tolerance))
+        finished.append(state.filter("converged"))
         state = state.filter("NOT converged")
         if state.isEmpty():
             break
     out = reduce(DataFrame.unionByName, finished, state)
-    slopes = {
-        f"b_{i}": F.when(F.col(f"kept_{i + 1}"), F.col(f"beta_{i + 1}")) for i in range(len(xs))
-    }
-    b0 = reduce(
-        add,
-        [
-            -F.coalesce(F.when(F.col(f"kept_{i + 1}"), F.col(f"beta_{i + 1}")), F.lit(0.0)) * F.col(f"c_{i}")
-            for i in range(len(xs))
-        ],
-        F.col("beta_0"),
-    )
-    return out.select(
-        *keys,
-        b0.alias("b0"),
-        *[c.alias(name) for name, c in slopes.items()],
+    slope = [f"CASE WHEN kept_{i + 1} THEN beta_{i + 1} END" for i in range(k)]
+    shift = "".join(f" - coalesce({slope[i]}, 0D) * c_{i}" for i in range(k))
+    return out.selectExpr(
+        *quoted(keys),
+        f"beta_0{shift} AS b0",
+        *[f"{b} AS b_{i}" for i, b in enumerate(slope)],
         "deviance",
         "steps",
         "converged",
     )
 
 
-def response(xs: Sequence[Column], prefix: str = "b") -> Column:
-    """Fitted probability at new predictor values."""
-    eta = reduce(
-        add,
-        [F.coalesce(F.col(f"{prefix}_{i}"), F.lit(0.0)) * x for i, x in enumerate(xs)],
-        F.col(f"{prefix}0"),
-    )
-    return logistic(eta)
+def response(xs: Sequence[str], prefix: str = "b") -> str:
+    """SQL for the fitted probability at new predictor values."""
+    parts = "".join(f" + coalesce({prefix}_{i}, 0D) * `{x}`" for i, x in enumerate(xs))
+    return logistic(f"{prefix}0{parts}")

@@ -9,22 +9,23 @@ intervals are all arithmetic on these small rows.
 Columns of a formula ``f`` with predictors x0..x(k-1) and response index k:
 ``f_n`` rows used, ``f_mean_i``, ``f_s_i_j`` (i <= j) centred cross-products,
 ``f_tol_i`` the pivot size below which predictor i counts as aliased.
+
+Expressions are SQL text: a fit has dozens of columns, and text reaches the JVM
+in one call per column.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
-from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # A predictor is aliased when what the intercept and the earlier terms leave of it
 # is this small against its raw and its centred sum of squares.
-RAW_TOLERANCE = 1e-14
-CENTRED_TOLERANCE = 1e-10
+RAW_TOLERANCE = "1e-14D"
+CENTRED_TOLERANCE = "1e-10D"
 
 
 @dataclass(frozen=True)
@@ -58,25 +59,27 @@ class Formula:
     def pairs(self) -> list[tuple[int, int]]:
         return [(i, j) for i in range(self.k + 1) for j in range(i, self.k + 1)]
 
+    def means(self) -> list[str]:
+        return [self.mean(i) for i in range(self.k + 1)]
+
     def moment_columns(self) -> list[str]:
-        return [
-            self.n(),
-            *[self.mean(i) for i in range(self.k + 1)],
-            *[self.s(i, j) for i, j in self.pairs()],
-        ]
+        return [self.n(), *self.means(), *[self.s(i, j) for i, j in self.pairs()]]
+
+    def tolerance_columns(self) -> list[str]:
+        return [self.tol(i) for i in range(self.k)]
+
 
+def quoted(names: Sequence[str]) -> list[str]:
+    return [f"`{n}`" for n in names]
 
-def _tolerances(f: Formula) -> dict[str, Column]:
-    n = F.col(f.n())
-    return {
-        f.tol(i): n * F.col(f.mean(i)) * F.col(f.mean(i)) * RAW_TOLERANCE
-        + F.col(f.s(i, i)) * CENTRED_TOLERANCE
-        for i in range(f.k)
-    }
 
+def without(names: Sequence[str]) -> str:
+    """All columns but these."""
+    return f"* EXCEPT ({', '.join(quoted(names))})"
 
-def _complete(f: Formula) -> Column:
-    return reduce(and_, [F.col(v).isNotNull() for v in f.variables])
+
+def tolerance(n: str, mean: str, spread: str) -> str:
+    return f"{n} * {mean} * {mean} * {RAW_TOLERANCE} + {spread} * {CENTRED_TOLERANCE}"
 
 
 def moments(df: DataFrame, keys: Sequence[str], formulas: Sequence[Formula]) -> DataFrame:
@@ -85,20 +88,23 @@ def moments(df: DataFrame, keys: Sequence[str], formulas: Sequence[Formula]) ->
     Rows are deleted listwise per formula: each formula sees the rows on which
     all of its own variables are present.
     """
-    masked = {}
-    for f in formulas:
-        for i, v in enumerate(f.variables):
-            masked[f"{f.name}_v_{i}"] = F.when(_complete(f), F.col(v).cast("double"))
-    rows = df.select(*keys, *[c.alias(name) for name, c in masked.items()])
-    aggregates = []
+    values, aggregates, tolerances = [], [], []
     for f in formulas:
-        v = [F.col(f"{f.name}_v_{i}") for i in range(f.k + 1)]
-        n = F.count(v[f.k])
-        aggregates.append(n.alias(f.n()))
-        aggregates += [F.avg(v[i]).alias(f.mean(i)) for i in range(f.k + 1)]
-        aggregates += [(F.covar_pop(v[i], v[j]) * n).alias(f.s(i, j)) for i, j in f.pairs()]
-    grouped = rows.groupBy(*keys).agg(*aggregates)
-    return grouped.withColumns({k: c for f in formulas for k, c in _tolerances(f).items()})
+        complete = " AND ".join(f"`{v}` IS NOT NULL" for v in f.variables)
+        v = [f"{f.name}_v_{i}" for i in range(f.k + 1)]
+        values += [
+            f"CASE WHEN {complete} THEN CAST(`{x}` AS DOUBLE) END AS {v[i]}"
+            for i, x in enumerate(f.variables)
+        ]
+        n = f"count({v[f.k]})"
+        aggregates.append(f"{n} AS {f.n()}")
+        aggregates += [f"avg({v[i]}) AS {f.mean(i)}" for i in range(f.k + 1)]
+        aggregates += [f"covar_pop({v[i]}, {v[j]}) * {n} AS {f.s(i, j)}" for i, j in f.pairs()]
+        tolerances += [
+            f"{tolerance(f.n(), f.mean(i), f.s(i, i))} AS {f.tol(i)}" for i in range(f.k)
+        ]
+    rows = df.selectExpr(*quoted(keys), *values)
+    return rows.groupBy(*keys).agg(*map(F.expr, aggregates)).selectExpr("*", *tolerances)
 
 
 def total_moments(parts: DataFrame, keys: Sequence[str], formulas: Sequence[Formula]) -> DataFrame:
@@ -108,67 +114,55 @@ def total_moments(parts: DataFrame, keys: Sequence[str], formulas: Sequence[Form
     rows as there are periods. Both passes (means, then deviations from them)
     share one window and therefore one shuffle.
     """
-    w = Window.partitionBy(*keys)
-    out = parts
-    means = {}
+    over = f"OVER (PARTITION BY {', '.join(quoted(keys))})"
+    means, spreads = [], []
     for f in formulas:
-        n = F.sum(f.n()).over(w)
-        means[f"all_{f.n()}"] = n
-        for i in range(f.k + 1):
-            weighted = F.sum(F.col(f.n()) * F.col(f.mean(i))).over(w)
-            means[f"all_{f.mean(i)}"] = F.try_divide(weighted, n)
-    out = out.withColumns(means)
-    spreads = {}
-    for f in formulas:
-        n = F.col(f.n())
-        dev = [F.col(f.mean(i)) - F.col(f"all_{f.mean(i)}") for i in range(f.k + 1)]
-        for i, j in f.pairs():
-            spreads[f"all_{f.s(i, j)}"] = F.sum(F.col(f.s(i, j)) + n * dev[i] * dev[j]).over(w)
-        for i in range(f.k):
-            total_mean = F.col(f"all_{f.mean(i)}")
-            spreads[f"all_{f.tol(i)}"] = (
-                F.col(f"all_{f.n()}") * total_mean * total_mean * RAW_TOLERANCE
-                + F.sum(F.col(f.s(i, i)) + n * dev[i] * dev[i]).over(w) * CENTRED_TOLERANCE
-            )
-    return out.withColumns(spreads)
+        n = f"sum({f.n()}) {over}"
+        means.append(f"{n} AS all_{f.n()}")
+        means += [f"try_divide(sum({f.n()} * {m}) {over}, {n}) AS all_{m}" for m in f.means()]
+        dev = [f"({m} - all_{m})" for m in f.means()]
+
+        def spread(i: int, j: int, f: Formula = f, dev: list[str] = dev) -> str:
+            return f"sum({f.s(i, j)} + {f.n()} * {dev[i]} * {dev[j]}) {over}"
+
+        spreads += [f"{spread(i, j)} AS all_{f.s(i, j)}" for i, j in f.pairs()]
+        spreads += [
+            f"{tolerance(f'all_{f.n()}', f'all_{f.mean(i)}', spread(i, i))} AS all_{f.tol(i)}"
+            for i in range(f.k)
+        ]
+    return parts.selectExpr("*", *means).selectExpr("*", *spreads)
 
 
 def without_part(df: DataFrame, formulas: Sequence[Formula]) -> DataFrame:
     """Turn total and part moments on one row into the moments of the rest.
 
     The inverse of merging centred moments: no row is read again, so holding out
-    every period costs the same as holding out one.
+    every period costs the same as holding out one. A part without a complete row
+    leaves the total as it is.
     """
-    out = df
-    new = {}
-    drop = []
+    steps, rest, drop = [], [], []
     for f in formulas:
-        total_n, part_n = F.col(f"all_{f.n()}"), F.coalesce(F.col(f.n()), F.lit(0))
-        rest_n = total_n - part_n
-        # a part with no complete row leaves the total as it is
-        dev = [
-            F.coalesce(F.col(f.mean(i)) - F.col(f"all_{f.mean(i)}"), F.lit(0.0))
-            for i in range(f.k + 1)
+        part = f"coalesce({f.n()}, 0L)"
+        steps.append(f"try_divide(CAST({part} AS DOUBLE), all_{f.n()} - {part}) AS {f.name}_ratio")
+        steps += [f"coalesce({m} - all_{m}, 0D) AS {f.name}_dev_{i}" for i, m in enumerate(f.means())]
+        rest.append(f"all_{f.n()} - {part} AS {f.n()}")
+        rest += [
+            f"all_{m} - {f.name}_ratio * {f.name}_dev_{i} AS {m}" for i, m in enumerate(f.means())
         ]
-        ratio = F.try_divide(part_n.cast("double"), rest_n.cast("double"))
-        new[f.n()] = rest_n
-        for i in range(f.k + 1):
-            new[f.mean(i)] = F.col(f"all_{f.mean(i)}") - ratio * dev[i]
         for i, j in f.pairs():
-            rest = (
-                F.col(f"all_{f.s(i, j)}")
-                - F.coalesce(F.col(f.s(i, j)), F.lit(0.0))
-                - ratio * total_n * dev[i] * dev[j]
+            left = (
+                f"all_{f.s(i, j)} - coalesce({f.s(i, j)}, 0D)"
+                f" - {f.name}_ratio * all_{f.n()} * {f.name}_dev_{i} * {f.name}_dev_{j}"
             )
             if i == j:
-                floor = F.col(f"all_{f.s(i, i)}") * 1e-12
-                rest = F.when(rest > floor, rest).when(rest.isNotNull(), F.lit(0.0))
-            new[f.s(i, j)] = rest
-        for i in range(f.k):
-            new[f.tol(i)] = F.col(f"all_{f.tol(i)}")
-            drop.append(f"all_{f.tol(i)}")
-        drop += [f"all_{c}" for c in f.moment_columns()]
-    return out.withColumns(new).drop(*drop)
+                # cancellation residue of a predictor that is constant in the rest
+                left = f"CASE WHEN {left} <= all_{f.s(i, i)} * 1e-12D THEN 0D ELSE {left} END"
+            rest.append(f"{left} AS {f.s(i, j)}")
+        rest += [f"all_{t} AS {t}" for t in f.tolerance_columns()]
+        own = [*f.moment_columns(), *f.tolerance_columns()]
+        drop += [*own, *[f"all_{c}" for c in own]]
+        drop += [f"{f.name}_ratio", *[f"{f.name}_dev_{i}" for i in range(f.k + 1)]]
+    return df.selectExpr("*", *steps).selectExpr(without(drop), *rest)
 
 
 def within_moments(
@@ -181,18 +175,8 @@ def within_moments(
     """
     aggregates = []
     for f in formulas:
-        used = F.col(f.n()) > 0
-        aggregates.append(F.sum(F.col(f.n())).alias(f.n()))
-        aggregates.append(F.count(F.when(used, 1)).alias(f"{f.name}_keys"))
-        aggregates += [F.sum(F.when(used, F.col(f.s(i, j)))).alias(f.s(i, j)) for i, j in f.pairs()]
-        aggregates += [
-            F.sum(
-                F.when(
-                    used,
-                    F.col(f.n()) * F.col(f.mean(i)) * F.col(f.mean(i)) * RAW_TOLERANCE
-                    + F.col(f.s(i, i)) * CENTRED_TOLERANCE,
-                )
-            ).alias(f.tol(i))
-            for i in range(f.k)
-        ]
-    return per_key.groupBy(*groups).agg(*aggregates)
+        aggregates.append(f"sum({f.n()}) AS {f.n()}")
+        aggregates.append(f"count_if({f.n()} > 0) AS {f.name}_keys")
+        aggregates += [f"sum({f.s(i, j)}) AS {f.s(i, j)}" for i, j in f.pairs()]
+        aggregates += [f"sum({t}) AS {t}" for t in f.tolerance_columns()]
+    return per_key.groupBy(*groups).agg(*map(F.expr, aggregates))

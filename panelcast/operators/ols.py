@@ -12,19 +12,21 @@ Fit columns of a formula ``f``: ``f_b_i`` (NULL when aliased), ``f_b0`` intercep
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
-from operator import add
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.functions.student import t_quantile
-from panelcast.operators.moments import Formula, moments, within_moments
+from panelcast.functions.student import t_p_value, t_quantile
+from panelcast.operators.moments import Formula, moments, quoted, within_moments, without
 
 
 def sweep(
-    df: DataFrame, prefix: str, size: int, entries: dict[tuple[int, int], Column], tolerances: list[Column]
+    df: DataFrame,
+    prefix: str,
+    size: int,
+    entries: Mapping[tuple[int, int], str],
+    tolerances: Sequence[str],
 ) -> DataFrame:
     """Sweep the leading ``len(tolerances)`` pivots of a symmetric matrix.
 
@@ -35,77 +37,79 @@ def sweep(
     def a(i: int, j: int) -> str:
         return f"{prefix}_a_{min(i, j)}_{max(i, j)}"
 
-    out = df.withColumns({a(i, j): c for (i, j), c in entries.items()})
-    for p, tolerance in enumerate(tolerances):
-        pivot = F.col(a(p, p))
-        out = out.withColumn(f"{prefix}_inv_{p}", F.lit(1.0) / F.when(pivot > tolerance, pivot))
-        inv = F.col(f"{prefix}_inv_{p}")
-        new = {}
-        for i in range(size):
-            for j in range(i, size):
-                old = F.col(a(i, j))
-                if i == p and j == p:
-                    swept = -inv
-                elif i == p or j == p:
-                    swept = old * inv
-                else:
-                    swept = old - F.col(a(i, p)) * F.col(a(j, p)) * inv
-                new[a(i, j)] = F.coalesce(swept, old)
-        out = out.withColumns(new)
+    cells = [(i, j) for i in range(size) for j in range(i, size)]
+    out = df.selectExpr("*", *[f"{entries[ij]} AS {a(*ij)}" for ij in cells])
+    for p, limit in enumerate(tolerances):
+        inv = f"(1D / CASE WHEN {a(p, p)} > {limit} THEN {a(p, p)} END)"
+        new = [f"{inv} AS {prefix}_inv_{p}"]
+        for i, j in cells:
+            if i == p and j == p:
+                swept = f"-{inv}"
+            elif p in (i, j):
+                swept = f"{a(i, j)} * {inv}"
+            else:
+                swept = f"{a(i, j)} - {a(i, p)} * {a(j, p)} * {inv}"
+            new.append(f"coalesce({swept}, {a(i, j)}) AS {a(i, j)}")
+        out = out.selectExpr(without([a(i, j) for i, j in cells]), *new)
     return out
 
 
+def swept_columns(prefix: str, size: int, pivots: int) -> list[str]:
+    cells = [f"{prefix}_a_{i}_{j}" for i in range(size) for j in range(i, size)]
+    return cells + [f"{prefix}_inv_{p}" for p in range(pivots)]
+
+
+def _swept(f: Formula) -> list[str]:
+    return swept_columns(f.name, f.k + 1, f.k)
+
+
 def _sweep_formula(df: DataFrame, f: Formula) -> DataFrame:
     return sweep(
-        df,
-        f.name,
-        f.k + 1,
-        {(i, j): F.col(f.s(i, j)) for i, j in f.pairs()},
-        [F.col(f.tol(i)) for i in range(f.k)],
+        df, f.name, f.k + 1, {(i, j): f.s(i, j) for i, j in f.pairs()}, f.tolerance_columns()
     )
 
 
-def _swept_columns(f: Formula) -> list[str]:
-    return [f"{f.name}_a_{i}_{j}" for i, j in f.pairs()] + [f"{f.name}_inv_{i}" for i in range(f.k)]
+def slopes(f: Formula) -> list[str]:
+    """Coefficients out of a swept matrix; an aliased term has none."""
+    return [
+        f"CASE WHEN {f.name}_inv_{i} IS NOT NULL THEN {f.name}_a_{i}_{f.k} END AS {f.name}_b_{i}"
+        for i in range(f.k)
+    ]
 
 
-def _slopes(f: Formula) -> dict[str, Column]:
-    out = {}
-    for i in range(f.k):
-        kept = F.col(f"{f.name}_inv_{i}").isNotNull()
-        out[f"{f.name}_b_{i}"] = F.when(kept, F.col(f"{f.name}_a_{i}_{f.k}"))
+def _solution(f: Formula) -> list[str]:
+    out = slopes(f)
     for i in range(f.k):
         for j in range(i, f.k):
-            kept = F.col(f"{f.name}_inv_{i}").isNotNull() & F.col(f"{f.name}_inv_{j}").isNotNull()
-            out[f"{f.name}_inv_{i}_{j}"] = F.when(kept, -F.col(f"{f.name}_a_{i}_{j}")).otherwise(0.0)
-    out[f"{f.name}_sse"] = F.greatest(F.col(f"{f.name}_a_{f.k}_{f.k}"), F.lit(0.0))
+            kept = f"{f.name}_inv_{i} IS NOT NULL AND {f.name}_inv_{j} IS NOT NULL"
+            out.append(
+                f"CASE WHEN {kept} THEN -{f.name}_a_{i}_{j} ELSE 0D END AS {f.name}_inv_{i}_{j}"
+            )
+    out.append(f"greatest({f.name}_a_{f.k}_{f.k}, 0D) AS {f.name}_sse")
+    kept = [f"CAST({f.name}_inv_{i} IS NOT NULL AS INT)" for i in range(f.k)]
+    out.append(f"{' + '.join(kept)} AS {f.name}_kept")
     return out
 
 
-def _kept(f: Formula) -> Column:
-    flags = [F.col(f"{f.name}_inv_{i}").isNotNull().cast("int") for i in range(f.k)]
-    return reduce(add, flags, F.lit(0))
-
+def intercept(f: Formula) -> str:
+    """Intercept from slopes and means."""
+    parts = "".join(f" - coalesce({f.name}_b_{i}, 0D) * {f.mean(i)}" for i in range(f.k))
+    return f"{f.mean(f.k)}{parts} AS {f.name}_b0"
 
-def _intercept(f: Formula) -> Column:
-    parts = [F.coalesce(F.col(f"{f.name}_b_{i}"), F.lit(0.0)) * F.col(f.mean(i)) for i in range(f.k)]
-    return F.col(f.mean(f.k)) - reduce(add, parts, F.lit(0.0))
 
-
-def _quality(f: Formula, sst: Column, parameters: Column) -> dict[str, Column]:
-    n, sse = F.col(f.n()), F.col(f"{f.name}_sse")
-    df = n - parameters
-    r2 = F.lit(1.0) - F.try_divide(sse, sst)
-    return {
-        f"{f.name}_sst": sst,
-        f"{f.name}_mse": F.try_divide(sse, n.cast("double")),
-        f"{f.name}_r2": r2,
-        f"{f.name}_terms": parameters.cast("int"),
-        f"{f.name}_df": df,
-        f"{f.name}_adj_r2": F.when(
-            df > 0, F.lit(1.0) - (F.lit(1.0) - r2) * F.try_divide((n - 1).cast("double"), df.cast("double"))
-        ),
-    }
+def _with_quality(df: DataFrame, f: Formula, parameters: str) -> DataFrame:
+    """Fit statistics; ``f_sst`` and the parameter count are on the row."""
+    n, sse, sst = f.n(), f"{f.name}_sse", f"{f.name}_sst"
+    base = df.selectExpr(
+        "*",
+        intercept(f),
+        f"try_divide({sse}, {n}) AS {f.name}_mse",
+        f"1D - try_divide({sse}, {sst}) AS {f.name}_r2",
+        f"CAST({parameters} AS INT) AS {f.name}_terms",
+        f"{n} - ({parameters}) AS {f.name}_df",
+    )
+    adjusted = f"1D - (1D - {f.name}_r2) * ({n} - 1) / {f.name}_df"
+    return base.selectExpr("*", f"CASE WHEN {f.name}_df > 0 THEN {adjusted} END AS {f.name}_adj_r2")
 
 
 def solve(df: DataFrame, formulas: Sequence[Formula]) -> DataFrame:
@@ -113,14 +117,15 @@ def solve(df: DataFrame, formulas: Sequence[Formula]) -> DataFrame:
     out = df
     for f in formulas:
         out = _sweep_formula(out, f)
-        out = out.withColumns(_slopes(f))
-        out = out.withColumns({f"{f.name}_b0": _intercept(f), **_quality(f, F.col(f.s(f.k, f.k)), _kept(f) + 1)})
-        out = out.drop(*_swept_columns(f))
+        out = out.selectExpr(
+            without(_swept(f)), *_solution(f), f"{f.s(f.k, f.k)} AS {f.name}_sst"
+        )
+        out = _with_quality(out, f, f"{f.name}_kept + 1").drop(f"{f.name}_kept")
     return out
 
 
 def ols_by_key(df: DataFrame, keys: Sequence[str], formulas: Sequence[Formula]) -> DataFrame:
-    """One regression per key and formula (the unpooled fit); no keys fits the whole table."""
+    """One regression per key and formula (the unpooled fit)."""
     return solve(moments(df, keys, formulas), formulas)
 
 
@@ -131,8 +136,8 @@ def pooled_slopes(
     out = within_moments(per_key, groups, formulas)
     for f in formulas:
         out = _sweep_formula(out, f)
-        out = out.withColumns({**_slopes(f), f"{f.name}_slopes": _kept(f)})
-        out = out.drop(*_swept_columns(f), *[f.s(i, j) for i, j in f.pairs()], *[f.tol(i) for i in range(f.k)])
+        used = [*_swept(f), *[f.s(i, j) for i, j in f.pairs()], *f.tolerance_columns()]
+        out = out.selectExpr(without(used), *_solution(f))
     return out
 
 
@@ -151,70 +156,58 @@ def pooled_from_moments(
     The per-key means and counts stay on the row as ``f_mean_i`` and ``f_key_n``;
     ``f_n`` is the number of rows in the whole fit, as a residual count needs it.
     """
-    slopes = pooled_slopes(per_key, groups, formulas)
-    spread = _total_spread(per_key, groups, formulas)
-    shared = slopes.join(spread, list(groups))
-    key_columns = []
-    for f in formulas:
-        key_columns.append(F.col(f.n()).alias(f"{f.name}_key_n"))
-        key_columns += [F.col(f.mean(i)) for i in range(f.k + 1)]
-    out = per_key.select(*keys, *key_columns).join(shared, list(groups))
+    shared = pooled_slopes(per_key, groups, formulas).join(
+        _total_spread(per_key, groups, formulas), list(groups)
+    )
+    key_columns = [
+        c for f in formulas for c in [f"{f.n()} AS {f.name}_key_n", *f.means()]
+    ]
+    out = per_key.selectExpr(*quoted(keys), *key_columns).join(shared, list(groups))
     for f in formulas:
-        sst = F.col(f"{f.name}_sst")
-        parameters = F.col(f"{f.name}_slopes") + F.col(f"{f.name}_keys")
-        out = out.withColumns({f"{f.name}_b0": _intercept(f), **_quality(f, sst, parameters)})
-        out = out.drop(f"{f.name}_slopes", f"{f.name}_keys")
+        out = _with_quality(out, f, f"{f.name}_kept + {f.name}_keys").drop(
+            f"{f.name}_kept", f"{f.name}_keys"
+        )
     return out
 
 
-def _total_spread(per_key: DataFrame, groups: Sequence[str], formulas: Sequence[Formula]) -> DataFrame:
+def _total_spread(
+    per_key: DataFrame, groups: Sequence[str], formulas: Sequence[Formula]
+) -> DataFrame:
     """Total sum of squares of each response around its group mean.
 
     Two steps (the mean, then deviations of key means from it) on the small key
     table, because raw squares would lose the digits that matter.
     """
-    centre = per_key.groupBy(*groups).agg(
-        *[
-            F.try_divide(
-                F.sum(F.col(f.n()) * F.col(f.mean(f.k))), F.sum(F.col(f.n())).cast("double")
-            ).alias(f"{f.name}_centre")
-            for f in formulas
-        ]
-    )
-    deviations = per_key.join(centre, list(groups))
-    return deviations.groupBy(*groups).agg(
-        *[
-            F.sum(
-                F.col(f.s(f.k, f.k))
-                + F.col(f.n())
-                * (F.col(f.mean(f.k)) - F.col(f"{f.name}_centre"))
-                * (F.col(f.mean(f.k)) - F.col(f"{f.name}_centre"))
-            ).alias(f"{f.name}_sst")
-            for f in formulas
-        ]
-    )
+    centres = [
+        f"try_divide(sum({f.n()} * {f.mean(f.k)}), sum({f.n()})) AS {f.name}_centre"
+        for f in formulas
+    ]
+    centre = per_key.groupBy(*groups).agg(*map(F.expr, centres))
+    spreads = []
+    for f in formulas:
+        dev = f"({f.mean(f.k)} - {f.name}_centre)"
+        spreads.append(f"sum({f.s(f.k, f.k)} + {f.n()} * {dev} * {dev}) AS {f.name}_sst")
+    return per_key.join(centre, list(groups)).groupBy(*groups).agg(*map(F.expr, spreads))
 
 
-def fitted(f: Formula) -> Column:
+def fitted(f: Formula) -> str:
     """Point prediction from coefficients and predictors on one row; aliased terms are left out."""
     parts = [
-        F.when(F.col(f"{f.name}_b_{i}").isNull(), F.lit(0.0)).otherwise(
-            F.col(f"{f.name}_b_{i}") * F.col(x).cast("double")
-        )
+        f"CASE WHEN {f.name}_b_{i} IS NULL THEN 0D ELSE {f.name}_b_{i} * CAST(`{x}` AS DOUBLE) END"
         for i, x in enumerate(f.xs)
     ]
-    return reduce(add, parts, F.col(f"{f.name}_b0"))
+    return " + ".join([f"{f.name}_b0", *parts])
 
 
-def _leverage(f: Formula, count: str) -> Column:
+def _leverage(f: Formula, count: str) -> str:
     """Squared scale of the mean's standard error: 1/n plus the distance from the means."""
-    dev = [F.col(x).cast("double") - F.col(f.mean(i)) for i, x in enumerate(f.xs)]
-    total = F.try_divide(F.lit(1.0), F.col(count).cast("double"))
+    dev = [f"(CAST(`{x}` AS DOUBLE) - {f.mean(i)})" for i, x in enumerate(f.xs)]
+    terms = [f"try_divide(1D, {count})"]
     for i in range(f.k):
         for j in range(f.k):
-            entry = F.col(f"{f.name}_inv_{min(i, j)}_{max(i, j)}")
-            total = total + F.when(entry == 0.0, F.lit(0.0)).otherwise(dev[i] * dev[j] * entry)
-    return total
+            entry = f"{f.name}_inv_{min(i, j)}_{max(i, j)}"
+            terms.append(f"CASE WHEN {entry} = 0D THEN 0D ELSE {dev[i]} * {dev[j]} * {entry} END")
+    return " + ".join(terms)
 
 
 def predict(
@@ -225,55 +218,53 @@ def predict(
     ``df`` carries predictors and fit columns on one row (a scoring table joined
     to the fits on key).
     """
-    out = df
+    out = df.selectExpr("*", *[f"{fitted(f)} AS {f.name}_fit" for f in formulas])
+    if level is None:
+        return out
+    halves = []
     for f in formulas:
-        out = out.withColumn(f"{f.name}_fit", fitted(f))
-        if level is None:
-            continue
         count = f"{f.name}_key_n" if pooled else f.n()
-        variance = F.try_divide(F.col(f"{f.name}_sse"), F.col(f"{f.name}_df").cast("double"))
-        half = t_quantile(F.col(f"{f.name}_df"), level) * F.sqrt(variance * _leverage(f, count))
-        out = out.withColumn(f"{f.name}_half", half)
-        out = out.withColumns(
-            {
-                f"{f.name}_lwr": F.col(f"{f.name}_fit") - F.col(f"{f.name}_half"),
-                f"{f.name}_upr": F.col(f"{f.name}_fit") + F.col(f"{f.name}_half"),
-            }
-        ).drop(f"{f.name}_half")
-    return out
+        variance = f"try_divide({f.name}_sse, {f.name}_df)"
+        quantile = t_quantile(f"{f.name}_df", level)
+        halves.append(f"{quantile} * sqrt({variance} * ({_leverage(f, count)})) AS {f.name}_half")
+    bounds = [
+        f"{f.name}_fit {sign} {f.name}_half AS {f.name}_{name}"
+        for f in formulas
+        for sign, name in (("-", "lwr"), ("+", "upr"))
+    ]
+    return out.selectExpr("*", *halves).selectExpr(
+        without([f"{f.name}_half" for f in formulas]), *bounds
+    )
 
 
 def slope_tests(fits: DataFrame, f: Formula) -> DataFrame:
     """Add standard error, t statistic and two-sided p-value of every slope."""
-    from panelcast.functions.student import t_p_value
-
+    errors = [
+        f"CASE WHEN {f.name}_b_{i} IS NOT NULL AND {f.name}_df > 0"
+        f" THEN sqrt({f.name}_sse / {f.name}_df * {f.name}_inv_{i}_{i}) END AS {f.name}_se_{i}"
+        for i in range(f.k)
+    ]
+    ratios = [f"try_divide({f.name}_b_{i}, {f.name}_se_{i}) AS {f.name}_t_{i}" for i in range(f.k)]
+    out = fits.selectExpr("*", *errors).selectExpr("*", *ratios)
     df = F.col(f"{f.name}_df").cast("double")
-    s2 = F.try_divide(F.col(f"{f.name}_sse"), df)
-    out = fits
-    for i in range(f.k):
-        se = F.when(F.col(f"{f.name}_b_{i}").isNotNull() & (df > 0), F.sqrt(s2 * F.col(f"{f.name}_inv_{i}_{i}")))
-        out = out.withColumn(f"{f.name}_se_{i}", se)
-        out = out.withColumn(
-            f"{f.name}_t_{i}", F.try_divide(F.col(f"{f.name}_b_{i}"), F.col(f"{f.name}_se_{i}"))
-        )
-        out = out.withColumn(f"{f.name}_p_{i}", t_p_value(F.col(f"{f.name}_t_{i}"), df))
-    return out
+    return out.withColumns(
+        {f"{f.name}_p_{i}": t_p_value(F.col(f"{f.name}_t_{i}"), df) for i in range(f.k)}
+    )
 
 
 def correlation(f: Formula, i: int = 0) -> Column:
-    """Pearson correlation of predictor ``i`` and the response from moments; NULL when one is constant."""
-    sxx, syy = F.col(f.s(i, i)), F.col(f.s(f.k, f.k))
-    return F.try_divide(F.col(f.s(i, f.k)), F.sqrt(sxx) * F.sqrt(syy))
+    """Pearson correlation of predictor ``i`` and the response; NULL when one is constant."""
+    sxx, syy = f.s(i, i), f.s(f.k, f.k)
+    return F.expr(f"try_divide({f.s(i, f.k)}, sqrt({sxx}) * sqrt({syy}))")
 
 
 def residuals(
     df: DataFrame, fits: DataFrame, keys: Sequence[str], formulas: Sequence[Formula]
 ) -> DataFrame:
     """Per-row residual of every formula: rows joined back to their key's coefficients."""
-    coefficients = fits.select(
-        *keys, *[c for f in formulas for c in [f"{f.name}_b0", *[f"{f.name}_b_{i}" for i in range(f.k)]]]
+    names = [c for f in formulas for c in [f"{f.name}_b0", *[f"{f.name}_b_{i}" for i in range(f.k)]]]
+    out = predict(df.join(fits.select(*keys, *names), list(keys)), formulas)
+    return out.selectExpr(
+        without(names),
+        *[f"CAST(`{f.y}` AS DOUBLE) - {f.name}_fit AS {f.name}_residual" for f in formulas],
     )
-    out = predict(df.join(coefficients, list(keys)), formulas)
-    return out.withColumns(
-        {f"{f.name}_residual": F.col(f.y).cast("double") - F.col(f"{f.name}_fit") for f in formulas}
-    ).drop(*[c for c in coefficients.columns if c not in keys])

@@ -42,17 +42,29 @@ def recent_polls(
     )
 
 
+def exact_sum(value: str) -> Column:
+    """Decimal sum: poll figures have few digits, and the order of rows must not matter."""
+    return F.sum(F.col(value).cast("decimal(20,6)"))
+
+
 def partial_means(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Sum and count per key, to be joined to a dimension before the final mean."""
     return df.groupBy(*keys).agg(
-        F.sum(value).alias("part_sum"), F.count(value).alias("part_rows")
+        exact_sum(value).alias("part_sum"), F.count(value).alias("part_rows")
+    )
+
+
+def mean_of_parts() -> Column:
+    """Exact mean from partial sums and counts."""
+    return F.try_divide(
+        F.sum("part_sum").cast("double"), F.sum("part_rows").cast("double")
     )
 
 
 def combine_means(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     """Exact mean per key from partial sums and counts."""
     return df.groupBy(*keys).agg(
-        F.try_divide(F.sum("part_sum"), F.sum("part_rows").cast("double")).alias(name),
+        mean_of_parts().alias(name),
         F.sum("part_rows").alias("polls"),
     )
 
@@ -74,7 +86,7 @@ def tier_blend(
         here = F.col("tier") == tier
         total = F.sum(F.when(here, F.col("part_sum")))
         rows = F.sum(F.when(here, F.col("part_rows")))
-        aggregates.append(F.try_divide(total, rows.cast("double")).alias(f"tier_{tier.lower()}"))
+        aggregates.append(F.try_divide(total.cast("double"), rows.cast("double")).alias(f"tier_{tier.lower()}"))
     out = partials.groupBy(*keys).agg(*aggregates)
     blended = None
     for tier, weight in weights.items():

@@ -193,20 +193,12 @@ def interval_feed(spark: SparkSession, folder: str) -> DataFrame:
 def _holdout(features: DataFrame, pooled: bool) -> DataFrame:
     rows = holdout_pooled_rows(features) if pooled else holdout_unpooled_rows(features)
     keys = ["unit", "year"]
-    forecast = combine_sides(_with_blank_fit(rows), keys)
+    forecast = combine_sides(rows, keys, quality=False)
     return compare_to_actual(
         forecast.select(*keys, "dem_p", "rep_p"), domain.actual_shares(features), keys
     )
 
 
-def _with_blank_fit(rows: DataFrame) -> DataFrame:
-    """Hold-out rows carry predictions only; fit quality is reported from the full fit."""
-    blank = {
-        f"{f.name}_{s}": F.lit(None).cast("double") for f in FORMULAS for s in ("r2", "mse")
-    }
-    return rows.withColumns(blank)
-
-
 def _error_columns(compared: DataFrame) -> DataFrame:
     return compared.select(
         "unit",
@@ -334,7 +326,7 @@ def _logit(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 def _responses(fits: DataFrame, score: DataFrame) -> DataFrame:
     scored = fits.join(score.select("unit", "party", "avg_poll", "trials"), ["unit", "party"])
-    return scored.withColumn("probability", response([F.col("avg_poll")]))
+    return scored.selectExpr("*", f"{response(['avg_poll'])} AS probability")
 
 
 def binomial_per_unit(spark: SparkSession, folder: str) -> DataFrame:

@@ -11,7 +11,9 @@ from panelcast.operators.moments import Formula
 from panelcast.operators.ols import ols_by_key, predict
 from panelcast.operators.polls import (
     combine_means,
+    exact_sum,
     label_values,
+    mean_of_parts,
     partial_means,
     recent_polls,
     tier_blend,
@@ -55,7 +57,7 @@ def recent_poll_average(spark: SparkSession, folder: str) -> DataFrame:
         2,
     )
     partial = polls.groupBy("user_id", "party").agg(
-        F.sum("pct").alias("part_sum"),
+        exact_sum("pct").alias("part_sum"),
         F.count("pct").alias("part_rows"),
         F.min("days_left").alias("days_left"),
     )
@@ -64,7 +66,7 @@ def recent_poll_average(spark: SparkSession, folder: str) -> DataFrame:
     )
     homed = partial.join(raters, "user_id", "left").filter(F.col("unit_id").isNotNull())
     means = homed.groupBy("unit_id", "party").agg(
-        F.try_divide(F.sum("part_sum"), F.sum("part_rows").cast("double")).alias("avg_pct"),
+        mean_of_parts().alias("avg_pct"),
         F.sum("part_rows").alias("polls"),
         F.min("days_left").alias("min_days_left"),
     )

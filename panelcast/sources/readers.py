@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from panelcast.functions.cleaning import drop_subheader
-from panelcast.sources.schemas import CSV_SCHEMAS
+from panelcast.sources.schemas import CSV_SCHEMAS, TABLE_SCHEMAS
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One Parquet table of a data folder; pruning and filters reach the scan."""
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(TABLE_SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def read_csv(
