@@ -3,8 +3,8 @@
 Each Newton step is one aggregate over the design table. Rows with equal
 predictors are merged first (a binomial likelihood only needs their summed
 successes and trials), partial sums precede every shuffle, and both the design
-and the per-key state are cut to the shared checkpoint folder, so the plan does
-not grow with the steps and a lost executor replays one step.
+and the per-key state are cut to the shared checkpoint folder, so the plan
+stays short and a lost executor replays a few steps at most.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from panelcast.operators.ols import sweep
 from panelcast.session import cut_lineage
 
 MAX_STEPS = 25
+# steps chained between two checkpoints; a key that has settled stays where it is
+STEPS_PER_ROUND = 3
 DEVIANCE_TOLERANCE = 1e-8
 
 
@@ -141,8 +143,10 @@ def logit_by_key(
     state = _start(design, keys, k)
     finished = []
     # one more round than steps: the last one only measures the final deviance
-    for _ in range(max_steps + 1):
-        state = cut_lineage(_step(design, state, keys, k, tolerance))
+    for done in range(0, max_steps + 1, STEPS_PER_ROUND):
+        for _ in range(min(STEPS_PER_ROUND, max_steps + 1 - done)):
+            state = _step(design, state, keys, k, tolerance)
+        state = cut_lineage(state)
         finished.append(state.filter("converged"))
         state = state.filter("NOT converged")
         if state.isEmpty():

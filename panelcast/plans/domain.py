@@ -8,10 +8,11 @@ feed, and value shares by market segment are the demographic series.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.functions.cleaning import weeks_left
 from panelcast.functions.shares import DEMOCRAT, REPUBLICAN, share_of, two_party_share, winner
 from panelcast.operators.panel import change_columns, lag_columns
 from panelcast.session import cut_lineage, small_side
@@ -62,8 +63,23 @@ BATTLEGROUNDS = [
 ]
 
 
-def _when_status(status: str, value: Column) -> Column:
-    return F.when(F.col("o_orderstatus") == status, value)
+# Votes and turnout of a group of orders.
+_VOTES = [
+    "sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END) AS d",
+    "sum(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END) AS r",
+    "sum(o_totalprice) AS total",
+    "count(*) AS trials",
+    "count_if(o_orderstatus = 'F') AS d_count",
+    "count_if(o_orderstatus = 'O') AS r_count",
+]
+_SEGMENT_VALUES = [
+    f"sum(CASE WHEN c_mktsegment = '{s}' THEN o_totalprice ELSE 0D END) AS {s.lower()}"
+    for s in SEGMENTS
+]
+
+
+def _aggregates(texts: Sequence[str]) -> list[Column]:
+    return [F.expr(t) for t in texts]
 
 
 def orders_with_home(spark: SparkSession, folder: str) -> DataFrame:
@@ -87,22 +103,23 @@ def nation_names(spark: SparkSession, folder: str) -> DataFrame:
 
 def unit_returns(spark: SparkSession, folder: str) -> DataFrame:
     """Votes and turnout per unit and year; a side without votes is NULL."""
-    price = F.col("o_totalprice")
     grouped = (
         orders_with_home(spark, folder)
         .groupBy(F.col("c_nationkey").alias("unit_id"), F.year("o_orderdate").alias("year"))
-        .agg(
-            F.sum(_when_status("F", price)).alias("d"),
-            F.sum(_when_status("O", price)).alias("r"),
-            F.sum(price).alias("total"),
-            F.count(F.lit(1)).alias("trials"),
-            F.count(_when_status("F", F.lit(1))).alias("d_count"),
-            F.count(_when_status("O", F.lit(1))).alias("r_count"),
-        )
+        .agg(*_aggregates(_VOTES))
     )
-    return grouped.join(nation_names(spark, folder), "unit_id").select(
-        "unit", "year", "d", "r", "total", "trials", "d_count", "r_count"
+    return grouped.join(nation_names(spark, folder), "unit_id").drop("unit_id")
+
+
+def segment_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Share of each market segment in a unit's value, per year."""
+    grouped = (
+        orders_with_home(spark, folder)
+        .groupBy(F.col("c_nationkey").alias("unit_id"), F.year("o_orderdate").alias("year"))
+        .agg(*_aggregates(["sum(o_totalprice) AS total", *_SEGMENT_VALUES]))
+        .join(nation_names(spark, folder), "unit_id")
     )
+    return grouped.select("unit", "year", *[share_of(s.lower(), "total").alias(s.lower()) for s in SEGMENTS])
 
 
 def unit_shares(spark: SparkSession, folder: str) -> DataFrame:
@@ -123,20 +140,19 @@ def with_shares(returns: DataFrame) -> DataFrame:
 
 def subunit_returns(spark: SparkSession, folder: str) -> DataFrame:
     """Votes per sub-unit and year, one shuffle and no join; a side without votes has zero."""
-    price = F.col("o_totalprice")
+    votes = [
+        f"sum(CASE WHEN o_orderstatus = '{status}' THEN o_totalprice ELSE 0D END) AS {name}"
+        for status, name in (("F", "d"), ("O", "r"))
+    ]
     return (
         table(spark, folder, "orders")
         .groupBy(F.col("o_custkey").alias("subunit"), F.year("o_orderdate").alias("year"))
-        .agg(
-            F.sum(_when_status("F", price).otherwise(0.0)).alias("d"),
-            F.sum(_when_status("O", price).otherwise(0.0)).alias("r"),
-        )
+        .agg(*_aggregates(votes))
     )
 
 
 def monthly_panel(spark: SparkSession, folder: str) -> DataFrame:
     """Everything the models need, per unit, year and month, from one scan of the orders."""
-    price = F.col("o_totalprice")
     grouped = (
         orders_with_home(spark, folder)
         .groupBy(
@@ -144,41 +160,35 @@ def monthly_panel(spark: SparkSession, folder: str) -> DataFrame:
             F.year("o_orderdate").alias("year"),
             F.month("o_orderdate").alias("month"),
         )
-        .agg(
-            F.sum(_when_status("F", price)).alias("d"),
-            F.sum(_when_status("O", price)).alias("r"),
-            F.sum(price).alias("total"),
-            F.count(F.lit(1)).alias("trials"),
-            F.count(_when_status("F", F.lit(1))).alias("d_count"),
-            F.count(_when_status("O", F.lit(1))).alias("r_count"),
-            *[
-                F.sum(F.when(F.col("c_mktsegment") == s, price).otherwise(0.0)).alias(s.lower())
-                for s in SEGMENTS
-            ],
-        )
+        .agg(*_aggregates([*_VOTES, *_SEGMENT_VALUES]))
     )
     return grouped.join(nation_names(spark, folder), "unit_id").drop("unit_id")
 
 
-def _monthly_poll(count: str) -> Column:
+def _late_poll(count: str, name: str) -> str:
     """Mean over the year's late months of the side's share of that month's orders."""
-    month_end = F.last_day(F.make_date("year", "month", F.lit(1)))
-    left = weeks_left(F.make_date("year", F.lit(12), F.lit(31)), month_end)
-    return F.avg(F.when(left <= POLL_WEEKS, share_of(count, "trials")))
+    days = "datediff(make_date(year, 12, 31), last_day(make_date(year, month, 1)))"
+    return (
+        f"avg(CASE WHEN round({days} / 7.0D) <= {POLL_WEEKS}"
+        f" THEN try_divide({count} * 100D, trials) END) AS {name}"
+    )
 
 
 def yearly_panel(monthly: DataFrame) -> DataFrame:
     """Returns, shares, late polls and segment shares per unit and year."""
     names = [s.lower() for s in SEGMENTS]
+    sums = ["d", "r", "total", "trials", "d_count", "r_count"]
     yearly = monthly.groupBy("unit", "year").agg(
-        *[F.sum(c).alias(c) for c in ["d", "r", "total", "trials", "d_count", "r_count"]],
-        *[F.sum(s).alias(f"{s}_value") for s in names],
-        _monthly_poll("d_count").alias("d_poll"),
-        _monthly_poll("r_count").alias("r_poll"),
+        *_aggregates(
+            [
+                *[f"sum({c}) AS {c}" for c in sums],
+                *[f"try_divide(sum({s}) * 100D, sum(total)) AS {s}" for s in names],
+                _late_poll("d_count", "d_poll"),
+                _late_poll("r_count", "r_poll"),
+            ]
+        )
     )
-    return with_shares(yearly).withColumns(
-        {s: share_of(f"{s}_value", "total") for s in names}
-    ).drop(*[f"{s}_value" for s in names])
+    return with_shares(yearly)
 
 
 def incumbents(returns: DataFrame) -> DataFrame:
@@ -195,23 +205,15 @@ def features_from(yearly: DataFrame, in_office: DataFrame) -> DataFrame:
         yearly, ["unit"], "year", {"lag_d_pv2p": ("d_pv2p", 1), "lag_r_pv2p": ("r_pv2p", 1)}
     )
     panel = change_columns(panel, ["unit"], "year", {"segment_chng": ("building", 1)})
-    panel = panel.join(in_office, "year", "left")
-
-    def side(party: str, s: str) -> Column:
-        return F.struct(
-            F.lit(party).alias("party"),
-            F.col(f"{s}_pv").alias("pv"),
-            F.col(f"{s}_pv2p").alias("pv2p"),
-            F.col(f"lag_{s}_pv2p").alias("lag_pv2p"),
-            F.col("segment_chng"),
-            (F.col("in_office") == party).cast("double").alias("incumbent_party"),
-            F.col(f"{s}_poll").alias("avg_poll"),
-            F.col(f"{s}_count").alias("successes"),
-            F.col("trials"),
-        )
-
-    sides = F.array(side(DEMOCRAT, "d"), side(REPUBLICAN, "r"))
-    return panel.select("unit", "year", F.explode(sides).alias("f")).select("unit", "year", "f.*")
+    sides = ", ".join(
+        f"'{party}', {s}_pv, {s}_pv2p, lag_{s}_pv2p, segment_chng,"
+        f" CAST(in_office = '{party}' AS DOUBLE), {s}_poll, {s}_count, trials"
+        for s, party in (("d", DEMOCRAT), ("r", REPUBLICAN))
+    )
+    names = "party, pv, pv2p, lag_pv2p, segment_chng, incumbent_party, avg_poll, successes, trials"
+    return panel.join(in_office, "year", "left").selectExpr(
+        "unit", "year", f"stack(2, {sides}) AS ({names})"
+    )
 
 
 def feature_rows(spark: SparkSession, folder: str) -> DataFrame:

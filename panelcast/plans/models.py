@@ -126,7 +126,7 @@ def holdout_by_supplier(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _train(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    return domain.train_and_score(cut_lineage(domain.feature_rows(spark, folder)))
+    return domain.train_and_score(domain.feature_rows(spark, folder))
 
 
 def ols_per_unit(spark: SparkSession, folder: str) -> DataFrame:
@@ -214,18 +214,18 @@ def _error_columns(compared: DataFrame) -> DataFrame:
 
 
 def holdout_unpooled(spark: SparkSession, folder: str) -> DataFrame:
-    features = cut_lineage(domain.feature_rows(spark, folder))
+    features = domain.feature_rows(spark, folder)
     return round_columns(_error_columns(_holdout(features, pooled=False)))
 
 
 def holdout_pooled(spark: SparkSession, folder: str) -> DataFrame:
-    features = cut_lineage(domain.feature_rows(spark, folder))
+    features = domain.feature_rows(spark, folder)
     return round_columns(_error_columns(_holdout(features, pooled=True)))
 
 
 def model_comparison(spark: SparkSession, folder: str) -> DataFrame:
     """Fit and hold-out quality of the pooled and the unpooled forecast side by side."""
-    features = cut_lineage(domain.feature_rows(spark, folder))
+    features = domain.feature_rows(spark, folder)
     train, score = domain.train_and_score(features)
     pooled = model_metrics(
         combine_sides(pooled_rows(train, score), ["unit"]), _holdout(features, pooled=True), "pooled"
@@ -238,7 +238,7 @@ def model_comparison(spark: SparkSession, folder: str) -> DataFrame:
 
 def _compared_now(spark: SparkSession, folder: str) -> DataFrame:
     """The forecast of the last period next to its outcome."""
-    features = cut_lineage(domain.feature_rows(spark, folder))
+    features = domain.feature_rows(spark, folder)
     train, score = domain.train_and_score(features)
     forecast = combine_sides(unpooled_rows(train, score), ["unit"])
     actual = domain.actual_shares(score).drop("year")
@@ -318,7 +318,7 @@ def margin_histogram(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _logit(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    features = cut_lineage(domain.feature_rows(spark, folder))
+    features = domain.feature_rows(spark, folder)
     fits = logit_by_key(features, ["unit", "party"], "successes", "trials", ["avg_poll"])
     _, score = domain.train_and_score(features)
     return fits, score
@@ -338,7 +338,7 @@ def binomial_per_unit(spark: SparkSession, folder: str) -> DataFrame:
 
 def binomial_with_demographics(spark: SparkSession, folder: str) -> DataFrame:
     """The same per-unit fit with the demographic change as a second predictor."""
-    features = cut_lineage(domain.feature_rows(spark, folder))
+    features = domain.feature_rows(spark, folder)
     fits = logit_by_key(
         features, ["unit", "party"], "successes", "trials", ["avg_poll", "segment_chng"]
     )

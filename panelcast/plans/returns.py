@@ -145,23 +145,10 @@ def polarization_table(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def demographic_deltas(spark: SparkSession, folder: str) -> DataFrame:
-    names = [s.lower() for s in domain.SEGMENTS]
-    price = F.col("o_totalprice")
-    grouped = (
-        domain.orders_with_home(spark, folder)
-        .groupBy(F.col("c_nationkey").alias("unit_id"), F.year("o_orderdate").alias("year"))
-        .agg(
-            F.sum(price).alias("total"),
-            *[
-                F.sum(F.when(F.col("c_mktsegment") == s, price).otherwise(0.0)).alias(s.lower())
-                for s in domain.SEGMENTS
-            ],
-        )
-        .join(domain.nation_names(spark, folder), "unit_id")
-    )
-    panel = grouped.select("unit", "year", *[share_of(s, "total").alias(s) for s in names])
+    """Segment shares and their changes, all over one window."""
+    names = {f"{s.lower()}_chng": (s.lower(), 1) for s in domain.SEGMENTS}
     return round_columns(
-        change_columns(panel, ["unit"], "year", {f"{s}_chng": (s, 1) for s in names})
+        change_columns(domain.segment_shares(spark, folder), ["unit"], "year", names)
     )
 
 
