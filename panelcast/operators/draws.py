@@ -107,10 +107,12 @@ def turnout_draws(
     scenarios: Sequence[tuple[str, float, float, float, float]],
     n_draws: int,
     seed: int,
+    block: int = 1000,
 ) -> DataFrame:
     """Expected votes per key, scenario and draw with turnout uniform in each side's bounds.
 
-    Scenarios are a short literal list, unrolled on each key row.
+    Scenarios are a short literal list, unrolled on each key row; draws are unrolled
+    in blocks that are spread before they are expanded.
     """
     listed = F.array(
         *[
@@ -124,13 +126,18 @@ def turnout_draws(
             for name, dl, dh, rl, rh in scenarios
         ]
     )
+    blocks = -(-n_draws // block)
     spread = _spread(
         probabilities.select(*keys, size, p_d, p_r)
         .withColumn("s", F.explode(listed))
-        .select(*keys, size, p_d, p_r, "s.*"),
-        [*keys, "scenario"],
+        .select(*keys, size, p_d, p_r, "s.*")
+        .withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))),
+        [*keys, "scenario", "__block"],
+    )
+    first = f"__block * {block} + 1"
+    rows = spread.withColumn(
+        "draw", F.expr(f"explode(sequence({first}, least({first} + {block - 1}, {n_draws})))")
     )
-    rows = spread.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n_draws))))
 
     def turnout(side: str) -> Column:
         u = keyed_uniform(seed, *[F.col(k) for k in keys], F.col("scenario"), F.lit(side), F.col("draw"))

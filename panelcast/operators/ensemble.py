@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from panelcast.functions.shares import DEMOCRAT, REPUBLICAN
 from panelcast.operators.moments import Formula, moments, quoted
 from panelcast.operators.ols import ols_by_key, pooled_from_moments, predict
-from panelcast.session import cut_lineage, small_side
+from panelcast.session import cut_lineage
 
 PLUS = Formula("plus", "pv", ("lag_pv2p", "segment_chng", "incumbent_party"))
 POLLS = Formula("polls", "pv", ("avg_poll",))
@@ -61,9 +61,9 @@ def pooled_rows(
 ) -> DataFrame:
     """Fit both formulas once per side with unit intercepts; predict all units from national inputs."""
     per_key = cut_lineage(moments(train, [unit, "party"], formulas))
-    fits = pooled_from_moments(per_key, [unit, "party"], ["party"], formulas)
-    inputs = small_side(national_inputs(score, ["party"], formulas))
-    return predict(fits.join(inputs, "party"), formulas, level, pooled=True)
+    inputs = national_inputs(score, ["party"], formulas)
+    fits = pooled_from_moments(per_key, [unit, "party"], ["party"], formulas, inputs)
+    return predict(fits, formulas, level, pooled=True)
 
 
 def _side(party: str, expression: str, name: str) -> Column:

@@ -2,9 +2,13 @@
 
 Each Newton step is one aggregate over the design table. Rows with equal
 predictors are merged first (a binomial likelihood only needs their summed
-successes and trials), partial sums precede every shuffle, and both the design
-and the per-key state are cut to the shared checkpoint folder, so the plan
-stays short and a lost executor replays a few steps at most.
+successes and trials) and the merged design is written to the shared checkpoint
+folder. Up to a counted number of keys, the per-key state is broadcast: the design
+is read in place, wherever its rows are, and only partial sums are shuffled.
+Beyond that, rows and state meet by key and a salt taken from the predictors, so a
+key with a third of the rows is still split. State is written once per round of
+steps, which keeps the plan short and lets a lost executor replay a few steps at
+most.
 """
 
 from __future__ import annotations
@@ -20,8 +24,11 @@ from panelcast.operators.ols import sweep
 from panelcast.session import cut_lineage
 
 MAX_STEPS = 25
+# keys whose state (a few numbers each) may be broadcast
+BROADCAST_KEYS = 50_000
+SALTS = 32
 # steps chained between two checkpoints; a key that has settled stays where it is
-STEPS_PER_ROUND = 3
+STEPS_PER_ROUND = 2
 DEVIANCE_TOLERANCE = 1e-8
 
 
@@ -50,9 +57,10 @@ def binomial_design(
         f"CAST(`{successes}` AS DOUBLE) AS s",
         f"CAST(`{trials}` AS DOUBLE) AS n",
     )
-    return rows.groupBy(*keys, *[f"x_{i}" for i in range(len(xs))]).agg(
-        F.sum("s").alias("s"), F.sum("n").alias("n")
-    )
+    predictors = [f"x_{i}" for i in range(len(xs))]
+    merged = rows.groupBy(*keys, *predictors).agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    salt = f"pmod(xxhash64({', '.join(predictors)}), {SALTS})"
+    return merged.selectExpr("*", f"CAST({salt} AS INT) AS salt")
 
 
 def _start(design: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
@@ -72,14 +80,25 @@ def _start(design: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
 
 
 def _step(
-    design: DataFrame, state: DataFrame, keys: Sequence[str], k: int, tolerance: float
+    design: DataFrame,
+    state: DataFrame,
+    keys: Sequence[str],
+    k: int,
+    tolerance: float,
+    broadcast: bool,
 ) -> DataFrame:
     """Deviance at the current coefficients, then one Newton step where it still moves."""
     p = k + 1
     z = ["1D", *[f"(x_{i} - c_{i})" for i in range(k)]]
     eta = " + ".join(f"beta_{i} * {z[i]}" for i in range(p))
+    by = list(keys) if broadcast else [*keys, "salt"]
+    if broadcast:
+        joined = design.drop("salt").join(F.broadcast(state), by)
+    else:
+        copies = state.selectExpr("*", f"explode(sequence(0, {SALTS - 1})) AS salt")
+        joined = design.join(copies, by)
     rows = (
-        design.join(state, list(keys))
+        joined
         .selectExpr("*", f"{eta} AS eta")
         .selectExpr("*", f"{logistic('eta')} AS mu")
         .selectExpr("*", "s - n * mu AS score", "n * mu * (1D - mu) AS weight")
@@ -91,16 +110,23 @@ def _step(
         "deviance",
         "steps",
     ]
-    sums = [
-        *[f"any_value({c}) AS {c}" for c in carried],
-        f"sum(s * {_log_logistic('eta')} + (n - s) * {_log_logistic('-eta')}) AS likelihood",
-        *[f"sum(score * {z[i]}) AS g_{i}" for i in range(p)],
-        *[f"sum(weight * {z[i]} * {z[j]}) AS h_{i}_{j}" for i in range(p) for j in range(i, p)],
-    ]
+    summed = {
+        "likelihood": f"s * {_log_logistic('eta')} + (n - s) * {_log_logistic('-eta')}",
+        **{f"g_{i}": f"score * {z[i]}" for i in range(p)},
+        **{f"h_{i}_{j}": f"weight * {z[i]} * {z[j]}" for i in range(p) for j in range(i, p)},
+    }
+    constant = [F.expr(f"any_value({c}) AS {c}") for c in carried]
+    totals = rows.groupBy(*by).agg(
+        *constant, *[F.expr(f"sum({e}) AS {name}") for name, e in summed.items()]
+    )
+    if not broadcast:
+        totals = totals.groupBy(*keys).agg(
+            *constant, *[F.expr(f"sum({name}) AS {name}") for name in summed]
+        )
     entries = {(i, j): f"h_{i}_{j}" for i in range(p) for j in range(i, p)}
     entries |= {(i, p): f"g_{i}" for i in range(p)} | {(p, p): "0D"}
     solved = sweep(
-        rows.groupBy(*keys).agg(*map(F.expr, sums)),
+        totals,
         "q",
         p + 1,
         entries,
@@ -131,6 +157,7 @@ def logit_by_key(
     xs: Sequence[str],
     max_steps: int = MAX_STEPS,
     tolerance: float = DEVIANCE_TOLERANCE,
+    broadcast_keys: int = BROADCAST_KEYS,
 ) -> DataFrame:
     """Binomial logit of (successes, trials - successes) on ``xs`` for every key.
 
@@ -140,12 +167,13 @@ def logit_by_key(
     """
     k = len(xs)
     design = cut_lineage(binomial_design(df, keys, successes, trials, xs))
+    few = design.select(*keys).distinct().limit(broadcast_keys + 1).count() <= broadcast_keys
     state = _start(design, keys, k)
     finished = []
     # one more round than steps: the last one only measures the final deviance
     for done in range(0, max_steps + 1, STEPS_PER_ROUND):
         for _ in range(min(STEPS_PER_ROUND, max_steps + 1 - done)):
-            state = _step(design, state, keys, k, tolerance)
+            state = _step(design, state, keys, k, tolerance, few)
         state = cut_lineage(state)
         finished.append(state.filter("converged"))
         state = state.filter("NOT converged")

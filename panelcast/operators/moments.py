@@ -99,7 +99,9 @@ def moments(df: DataFrame, keys: Sequence[str], formulas: Sequence[Formula]) ->
         n = f"count({v[f.k]})"
         aggregates.append(f"{n} AS {f.n()}")
         aggregates += [f"avg({v[i]}) AS {f.mean(i)}" for i in range(f.k + 1)]
-        aggregates += [f"covar_pop({v[i]}, {v[j]}) * {n} AS {f.s(i, j)}" for i, j in f.pairs()]
+        for i, j in f.pairs():
+            spread = f"var_pop({v[i]})" if i == j else f"covar_pop({v[i]}, {v[j]})"
+            aggregates.append(f"{spread} * {n} AS {f.s(i, j)}")
         tolerances += [
             f"{tolerance(f.n(), f.mean(i), f.s(i, i))} AS {f.tol(i)}" for i in range(f.k)
         ]

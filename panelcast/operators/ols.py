@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from panelcast.functions.student import t_p_value, t_quantile
 from panelcast.operators.moments import Formula, moments, quoted, within_moments, without
+from panelcast.session import cut_lineage, small_side
 
 
 def sweep(
@@ -144,21 +145,35 @@ def pooled_slopes(
 def pooled_ols(
     df: DataFrame, keys: Sequence[str], groups: Sequence[str], formulas: Sequence[Formula]
 ) -> DataFrame:
-    """Slopes shared by all keys of a group, an intercept for each key."""
-    return pooled_from_moments(moments(df, keys, formulas), keys, groups, formulas)
+    """Slopes shared by all keys of a group, an intercept for each key.
+
+    The moments are written once: slopes, spread and intercepts all read them.
+    """
+    per_key = cut_lineage(moments(df, keys, formulas))
+    return pooled_from_moments(per_key, keys, groups, formulas)
 
 
 def pooled_from_moments(
-    per_key: DataFrame, keys: Sequence[str], groups: Sequence[str], formulas: Sequence[Formula]
+    per_key: DataFrame,
+    keys: Sequence[str],
+    groups: Sequence[str],
+    formulas: Sequence[Formula],
+    inputs: DataFrame | None = None,
 ) -> DataFrame:
     """The pooled fit from per-key moments: key rows joined to their group's slopes.
 
     The per-key means and counts stay on the row as ``f_mean_i`` and ``f_key_n``;
     ``f_n`` is the number of rows in the whole fit, as a residual count needs it.
+    ``inputs`` (one row per group) travels along to be scored. The group rows are
+    counted before they are broadcast, so the key table is not shuffled onto the
+    few values of the group columns.
     """
     shared = pooled_slopes(per_key, groups, formulas).join(
         _total_spread(per_key, groups, formulas), list(groups)
     )
+    if inputs is not None:
+        shared = shared.join(inputs, list(groups))
+    shared = small_side(shared)
     key_columns = [
         c for f in formulas for c in [f"{f.n()} AS {f.name}_key_n", *f.means()]
     ]

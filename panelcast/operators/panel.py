@@ -140,10 +140,10 @@ def natural_join(left: DataFrame, right: DataFrame, how: str = "inner") -> DataF
 
 
 def members(df: DataFrame, dimension: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
-    """Rows whose key is in the dimension and rows whose key is not, labelled and stacked."""
-    inside = df.join(dimension, list(keys), "left_semi").withColumn(label, F.lit("member"))
-    outside = df.join(dimension, list(keys), "left_anti").withColumn(label, F.lit("other"))
-    return inside.unionByName(outside)
+    """Every row labelled by whether its key is in the dimension, in one pass."""
+    listed = dimension.select(*keys).distinct().withColumn("__listed", F.lit(True))
+    flag = F.when(F.col("__listed"), "member").otherwise("other")
+    return df.join(listed, list(keys), "left").withColumn(label, flag).drop("__listed")
 
 
 def assemble_features(

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from panelcast.functions.shares import DEMOCRAT, REPUBLICAN, share_of, two_party_share, winner
 from panelcast.operators.panel import change_columns, lag_columns
-from panelcast.session import cut_lineage, small_side
+from panelcast.session import cut_lineage
 from panelcast.sources.inline import broadcast_inline
 from panelcast.sources.readers import table
 
@@ -201,8 +201,11 @@ def incumbents(returns: DataFrame) -> DataFrame:
 
 def features_from(yearly: DataFrame, in_office: DataFrame) -> DataFrame:
     """One row per unit, year and side with response, predictors and turnout."""
+    # joined first: the window then leaves rows partitioned by unit, which is all the
+    # per-unit fits need, so they add no shuffle of their own
+    panel = yearly.join(in_office, "year", "left")
     panel = lag_columns(
-        yearly, ["unit"], "year", {"lag_d_pv2p": ("d_pv2p", 1), "lag_r_pv2p": ("r_pv2p", 1)}
+        panel, ["unit"], "year", {"lag_d_pv2p": ("d_pv2p", 1), "lag_r_pv2p": ("r_pv2p", 1)}
     )
     panel = change_columns(panel, ["unit"], "year", {"segment_chng": ("building", 1)})
     sides = ", ".join(
@@ -211,16 +214,19 @@ def features_from(yearly: DataFrame, in_office: DataFrame) -> DataFrame:
         for s, party in (("d", DEMOCRAT), ("r", REPUBLICAN))
     )
     names = "party, pv, pv2p, lag_pv2p, segment_chng, incumbent_party, avg_poll, successes, trials"
-    return panel.join(in_office, "year", "left").selectExpr(
+    return panel.selectExpr(
         "unit", "year", f"stack(2, {sides}) AS ({names})"
     )
 
 
 def feature_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """The model input. The monthly panel is written once because several steps read it."""
-    monthly = cut_lineage(monthly_panel(spark, folder))
-    yearly = yearly_panel(monthly)
-    return features_from(yearly, small_side(incumbents(yearly)))
+    """The model input. The yearly panel is written once because several steps read it.
+
+    The office table has one row per period; adaptive execution broadcasts it by
+    its measured size.
+    """
+    yearly = cut_lineage(yearly_panel(monthly_panel(spark, folder)))
+    return features_from(yearly, incumbents(yearly))
 
 
 def train_and_score(features: DataFrame, year: int = LAST_YEAR) -> tuple[DataFrame, DataFrame]:

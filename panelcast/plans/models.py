@@ -314,7 +314,7 @@ def margin_histogram(spark: SparkSession, folder: str) -> DataFrame:
         "year", share_of(F.col("d") - F.col("r"), F.col("d") + F.col("r")).alias("margin")
     )
     leaning = margins.withColumn("lean", lean("margin")).filter(F.col("lean").isNotNull())
-    return round_columns(histogram(leaning, ["year", "lean"], "margin", 100))
+    return round_columns(histogram(cut_lineage(leaning), ["year", "lean"], "margin", 100))
 
 
 def _logit(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:

@@ -20,6 +20,7 @@ from panelcast.operators.polls import (
     tier_of,
 )
 from panelcast.plans import domain
+from panelcast.session import cut_lineage
 from panelcast.sources.inline import (
     DEFAULT_TIER,
     GRADE_TIERS,
@@ -136,7 +137,7 @@ def _national_sides(national: DataFrame) -> DataFrame:
 
 def _national_panel(spark: SparkSession, folder: str) -> DataFrame:
     """Shares, late polls, second-quarter growth and office per period and side."""
-    monthly = domain.cut_lineage(domain.monthly_panel(spark, folder))
+    monthly = cut_lineage(domain.monthly_panel(spark, folder))
     national = domain.national_shares(monthly)
     growth = (
         domain.quarterly_growth(spark, folder)
@@ -176,7 +177,7 @@ GROWTH = Formula("growth", "pv2p", ("growth_q2",))
 def poll_growth_ensemble(spark: SparkSession, folder: str) -> DataFrame:
     """0.7 x grade-weighted polls + 0.3 x growth regression, for the side in office and the other."""
     panel = _national_panel(spark, folder).filter(F.col("is_incumbent").isNotNull())
-    panel = domain.cut_lineage(panel)
+    panel = cut_lineage(panel)
     fits = ols_by_key(panel.filter(F.col("year") < domain.LAST_YEAR), ["is_incumbent"], [GROWTH])
     now = panel.filter(F.col("year") == domain.LAST_YEAR)
     economy = predict(
@@ -200,7 +201,7 @@ def poll_growth_ensemble(spark: SparkSession, folder: str) -> DataFrame:
 
 def party_in_office_share(spark: SparkSession, folder: str) -> DataFrame:
     """Share of the side in office, picked by name from the two share columns."""
-    returns = domain.cut_lineage(domain.unit_returns(spark, folder))
+    returns = cut_lineage(domain.unit_returns(spark, folder))
     national = domain.national_shares(returns)
     out = national.join(domain.incumbents(returns), "year").withColumn(
         "incumbent_pv2p", side_value("in_office", "d_pv2p", "r_pv2p")

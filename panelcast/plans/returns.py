@@ -21,6 +21,7 @@ from panelcast.operators.panel import (
     wide_to_long,
 )
 from panelcast.plans import domain
+from panelcast.session import cut_lineage
 from panelcast.sources.inline import broadcast_inline
 from panelcast.sources.readers import table
 
@@ -180,9 +181,10 @@ def membership_filters(spark: SparkSession, folder: str) -> DataFrame:
 
 def feature_table(spark: SparkSession, folder: str) -> DataFrame:
     """The model input assembled from separate poll, economy, returns and demographic tables."""
-    monthly = domain.cut_lineage(domain.monthly_panel(spark, folder))
+    monthly = cut_lineage(domain.monthly_panel(spark, folder))
     yearly = domain.yearly_panel(monthly)
-    rows = domain.features_from(yearly, domain.small_side(domain.incumbents(yearly)))
+    in_office = domain.incumbents(yearly)
+    rows = domain.features_from(yearly, in_office)
     polls = rows.filter(F.col("avg_poll").isNotNull()).select("unit", "year", "party", "avg_poll")
     economy = (
         monthly.filter(F.col("month").between(4, 6))
@@ -195,7 +197,6 @@ def feature_table(spark: SparkSession, folder: str) -> DataFrame:
     demographics = change_columns(
         yearly.select("unit", "year", "building"), ["unit"], "year", {"segment_chng": ("building", 1)}
     ).drop("building")
-    in_office = domain.small_side(domain.incumbents(yearly))
     out = assemble_features(polls, economy, returns, in_office, demographics)
     return round_columns(out.drop("in_office", "is_incumbent", "d_pv2p", "r_pv2p")).withColumn(
         "value_q2", F.round("value_q2", 2)
@@ -238,9 +239,8 @@ def inline_dimension(spark: SparkSession, folder: str) -> DataFrame:
 
 def incumbent_side(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of the side in office, kept by a semi-join on period and side."""
-    monthly = domain.cut_lineage(domain.monthly_panel(spark, folder))
-    yearly = domain.yearly_panel(monthly)
-    in_office = domain.small_side(domain.incumbents(yearly).filter(F.col("in_office").isNotNull()))
+    yearly = cut_lineage(domain.yearly_panel(domain.monthly_panel(spark, folder)))
+    in_office = domain.incumbents(yearly).filter(F.col("in_office").isNotNull())
     rows = domain.features_from(yearly, in_office)
     held = in_office.select("year", F.col("in_office").alias("party"))
     kept = rows.join(held, ["year", "party"], "left_semi")

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pytest
 from panelcast.operators.logit import logit_by_key
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
@@ -34,11 +35,15 @@ def newton(rows, columns):
     return beta
 
 
-def test_every_key_equals_numpy(spark):
+@pytest.mark.parametrize("broadcast_keys", [100, 0])
+def test_every_key_equals_numpy(spark, broadcast_keys):
+    """Also when the keys are too many for a broadcast."""
     rows = data()
     df = spark.createDataFrame(rows, SCHEMA)
     for xs, columns in ((["x"], [3]), (["x", "z"], [3, 4])):
-        for fit in logit_by_key(df, ["key"], "s", "n", xs).collect():
+        fits = logit_by_key(df, ["key"], "s", "n", xs, broadcast_keys=broadcast_keys).collect()
+        assert len(fits) == 3
+        for fit in fits:
             beta = newton([r for r in rows if r[0] == fit["key"]], columns)
             got = [fit["b0"], *[fit[f"b_{i}"] for i in range(len(xs))]]
             assert np.allclose(got, beta, rtol=1e-7)
