@@ -58,19 +58,22 @@ def binomial_design(
         f"CAST(`{trials}` AS DOUBLE) AS n",
     )
     predictors = [f"x_{i}" for i in range(len(xs))]
-    merged = rows.groupBy(*keys, *predictors).agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    # the saturated likelihood belongs to the rows as they came, not to the merged ones
+    saturated = F.expr(f"sum({_x_log_x('s', 'n')} + {_x_log_x('(n - s)', 'n')}) AS saturated")
+    merged = rows.groupBy(*keys, *predictors).agg(
+        F.sum("s").alias("s"), F.sum("n").alias("n"), saturated
+    )
     salt = f"pmod(xxhash64({', '.join(predictors)}), {SALTS})"
     return merged.selectExpr("*", f"CAST({salt} AS INT) AS salt")
 
 
 def _start(design: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
     """Pooled log odds as intercept, zero slopes, predictors centred at their weighted means."""
-    saturated = f"{_x_log_x('s', 'n')} + {_x_log_x('(n - s)', 'n')}"
     columns = [
         *[f"sum(x_{i} * n) / sum(n) AS c_{i}" for i in range(k)],
         "ln((sum(s) + 0.5D) / (sum(n) - sum(s) + 0.5D)) AS beta_0",
         *[f"0D AS beta_{i + 1}" for i in range(k)],
-        f"sum({saturated}) AS saturated",
+        "sum(saturated) AS saturated",
         "CAST(NULL AS DOUBLE) AS deviance",
         "0 AS steps",
         "false AS converged",
@@ -93,10 +96,10 @@ def _step(
     eta = " + ".join(f"beta_{i} * {z[i]}" for i in range(p))
     by = list(keys) if broadcast else [*keys, "salt"]
     if broadcast:
-        joined = design.drop("salt").join(F.broadcast(state), by)
+        joined = design.drop("salt", "saturated").join(F.broadcast(state), by)
     else:
         copies = state.selectExpr("*", f"explode(sequence(0, {SALTS - 1})) AS salt")
-        joined = design.join(copies, by)
+        joined = design.drop("saturated").join(copies, by)
     rows = (
         joined
         .selectExpr("*", f"{eta} AS eta")

@@ -588,6 +588,28 @@ def newton(source: str, xs: Sequence[str], steps: int) -> list[tuple[str, str]]:
     return out
 
 
+def _binomial_with_demographics() -> str:
+    """Two predictors, and the deviance at the solution."""
+    xs = ["avg_poll", "segment_chng"]
+    log_term = "CASE WHEN {a} > 0 THEN {a} * ln({a} / {b}) ELSE 0.0 END"
+    won = log_term.format(a="s", b="(n * mu)")
+    lost = log_term.format(a="(n - s)", b="(n * (1 - mu))")
+    extra = [
+        *newton("features", xs, 8),
+        (
+            "fitted",
+            """SELECT unit, party, f.successes * 1.0 AS s, f.trials * 1.0 AS n,
+               1.0 / (1.0 + exp(-(i0 + b1 * f.avg_poll + b2 * f.segment_chng))) AS mu
+               FROM logit JOIN features f USING (unit, party)
+               WHERE f.avg_poll IS NOT NULL AND f.segment_chng IS NOT NULL""",
+        ),
+        ("deviances", f"SELECT unit, party, 2 * sum({won} + {lost}) AS deviance FROM fitted GROUP BY 1, 2"),
+    ]
+    body = f"""SELECT unit, party, {r('i0', 'b0')}, {r('b1', 'b_0')}, {r('b2', 'b_1')},
+               {r('deviance', 'deviance')}, true AS converged FROM logit JOIN deviances USING (unit, party)"""
+    return query(["features"], body, extra)
+
+
 PROBABILITIES = [
     *newton("features", ["avg_poll"], 8),
     (
@@ -623,7 +645,7 @@ def _turnout() -> str:
     quantiles = ", ".join(
         r(f"quantile_cont(margin, {q})", f"q{round(q * 100):02d}") for q in (0.05, 0.5, 0.95)
     )
-    body = f"""SELECT unit, scenario, count(*) AS draws, {r('avg(CAST(margin > 0 AS INTEGER))', 'win_rate')},
+    body = f"""SELECT unit, scenario, count(margin) AS draws, {r('avg(CAST(margin > 0 AS INTEGER))', 'win_rate')},
                {r('avg(margin)', 'mean_margin')}, {quantiles} FROM drawn GROUP BY 1, 2"""
     return query(["features", "score"], body, extra)
 
@@ -805,7 +827,7 @@ def statements() -> dict[str, str]:
         ),
         "feature_table": query(
             ["features", "months"],
-            f"""SELECT f.unit, f.year, party, {r('coalesce(avg_poll, pv)', 'avg_poll')}, {r('q.value_q2', 'value_q2', 2)},
+            f"""SELECT f.unit, f.year, party, {r('coalesce(avg_poll, pv)', 'avg_poll')}, {r('CASE WHEN avg_poll IS NOT NULL THEN q.value_q2 END', 'value_q2', 2)},
                 {r('pv', 'pv')}, {r('pv2p', 'pv2p')}, {r('lag_pv2p', 'lag_pv2p')},
                 {r('f.segment_chng', 'segment_chng')}, f.in_office AS inc_party,
                 CASE f.in_office WHEN 'D' THEN 'R' WHEN 'R' THEN 'D' END AS chl_party,
@@ -1021,6 +1043,7 @@ def statements() -> dict[str, str]:
             f"""SELECT unit, party, {r('i0', 'b0')}, {r('b1', 'b_0')}, {r('probability', 'probability')} FROM responses""",
             PROBABILITIES,
         ),
+        "binomial_with_demographics": _binomial_with_demographics(),
         "turnout_scenarios": _turnout(),
     }
     return out
