@@ -165,7 +165,7 @@ def monthly_panel(spark: SparkSession, folder: str) -> DataFrame:
     return grouped.join(nation_names(spark, folder), "unit_id").drop("unit_id")
 
 
-def _late_poll(count: str, name: str) -> str:
+def late_poll(count: str, name: str) -> str:
     """Mean over the year's late months of the side's share of that month's orders."""
     days = "datediff(make_date(year, 12, 31), last_day(make_date(year, month, 1)))"
     return (
@@ -183,8 +183,8 @@ def yearly_panel(monthly: DataFrame) -> DataFrame:
             [
                 *[f"sum({c}) AS {c}" for c in sums],
                 *[f"try_divide(sum({s}) * 100D, sum(total)) AS {s}" for s in names],
-                _late_poll("d_count", "d_poll"),
-                _late_poll("r_count", "r_poll"),
+                late_poll("d_count", "d_poll"),
+                late_poll("r_count", "r_poll"),
             ]
         )
     )
@@ -285,3 +285,38 @@ def national_shares(returns: DataFrame) -> DataFrame:
         .agg(F.sum("d").alias("d"), F.sum("r").alias("r"))
         .withColumns({"d_pv2p": two_party_share("d", "r"), "r_pv2p": two_party_share("r", "d")})
     )
+
+
+def national_conditions(spark: SparkSession, folder: str, monthly: DataFrame) -> DataFrame:
+    """Per period: side in office, whether it was in office before, net approval, growth.
+
+    Net approval is the late national support of the side in office minus that of the
+    other; income growth compares a second quarter with the one a year earlier.
+    """
+    support = (
+        monthly.groupBy("year", "month")
+        .agg(*_aggregates([f"sum({c}) AS {c}" for c in ("d_count", "r_count", "trials")]))
+        .groupBy("year")
+        .agg(*_aggregates([late_poll("d_count", "d_support"), late_poll("r_count", "r_support")]))
+    )
+    office = incumbents(monthly)
+    before = office.selectExpr("year + 1 AS year", "in_office AS before")
+    quarters = quarterly_growth(spark, folder).filter(F.col("quarter") == 2)
+    last_year = quarters.selectExpr("year + 1 AS year", "value AS earlier")
+    growth = quarters.join(last_year, "year", "left").selectExpr(
+        "year", "growth AS growth_q2", "try_divide((value - earlier) * 100D, earlier) AS income_growth"
+    )
+    net = "CASE in_office WHEN 'D' THEN d_support - r_support WHEN 'R' THEN r_support - d_support END"
+    return (
+        office.join(before, "year", "left")
+        .join(support, "year", "left")
+        .join(growth, "year", "left")
+        .selectExpr(
+            "year",
+            "in_office",
+            "in_office = before AS two_terms",
+            f"{net} AS net_approve",
+            "growth_q2",
+            "income_growth",
+        )
+    )

@@ -47,6 +47,12 @@ LEVEL = 0.95
 SIMPLE = Formula("simple", "pv", ("avg_poll",))
 PRICE = Formula("price", "l_extendedprice", ("l_quantity", "l_discount", "returned"))
 SUPPLIER = Formula("price", "l_extendedprice", ("l_quantity", "l_discount", "l_tax"))
+CONDITION_MODELS = (
+    Formula("growth", "pv2p", ("growth_q2",)),
+    Formula("growth_terms", "pv2p", ("growth_q2", "net_approve", "two_terms")),
+    Formula("income_terms", "pv2p", ("income_growth", "net_approve", "two_terms")),
+    Formula("terms", "pv2p", ("net_approve", "two_terms")),
+)
 QUANTILES = (0.05, 0.5, 0.95)
 
 
@@ -236,6 +242,32 @@ def model_comparison(spark: SparkSession, folder: str) -> DataFrame:
     return round_columns(pooled.unionByName(unpooled))
 
 
+def model_summaries(spark: SparkSession, folder: str) -> DataFrame:
+    """Four fits of the share on national conditions, for the side in office and the other.
+
+    R-squared and MSE of each, and its prediction for the last period.
+    """
+    monthly = cut_lineage(domain.monthly_panel(spark, folder))
+    yearly = domain.yearly_panel(monthly)
+    conditions = cut_lineage(domain.national_conditions(spark, folder, monthly))
+    features = domain.features_from(yearly, conditions.select("year", "in_office"))
+    rows = features.join(conditions, "year").withColumn("held", F.col("party") == F.col("in_office"))
+    fits = ols_by_key(rows.filter(F.col("year") < domain.LAST_YEAR), ["held"], CONDITION_MODELS)
+    now = conditions.filter(F.col("year") == domain.LAST_YEAR).withColumn(
+        "held", F.explode(F.array(F.lit(True), F.lit(False)))
+    )
+    scored = predict(now.join(fits, "held"), CONDITION_MODELS)
+    entries = ", ".join(
+        f"'{f.name}', {f.name}_n, {f.name}_r2, {f.name}_mse, {f.name}_fit" for f in CONDITION_MODELS
+    )
+    return round_columns(
+        scored.selectExpr(
+            "CASE WHEN held THEN 'incumbent' ELSE 'challenger' END AS side",
+            f"stack({len(CONDITION_MODELS)}, {entries}) AS (model, n, r2, mse, prediction)",
+        )
+    )
+
+
 def _compared_now(spark: SparkSession, folder: str) -> DataFrame:
     """The forecast of the last period next to its outcome."""
     features = domain.feature_rows(spark, folder)
@@ -390,6 +422,7 @@ QUERIES = {
         holdout_unpooled,
         holdout_pooled,
         model_comparison,
+        model_summaries,
         weighted_outcome,
         error_summary,
         winner_confusion,

@@ -150,7 +150,26 @@ BLOCKS: dict[str, str] = {
     "battlegrounds": "SELECT * FROM " + _values([(u,) for u in domain.BATTLEGROUNDS], "unit"),
 }
 
+BLOCKS["national_support"] = f"""
+        SELECT year, avg(d_pct) AS d_support, avg(r_pct) AS r_support
+        FROM (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, month(o_orderdate) AS month,
+                     100.0 * count(CASE WHEN o_orderstatus = 'F' THEN 1 END) / count(*) AS d_pct,
+                     100.0 * count(CASE WHEN o_orderstatus = 'O' THEN 1 END) / count(*) AS r_pct
+              FROM orders GROUP BY 1, 2)
+        WHERE round(date_diff('day', last_day(make_date(year, month, 1)), make_date(year, 12, 31)) / 7.0)
+              <= {domain.POLL_WEEKS}
+        GROUP BY 1"""
+BLOCKS["conditions"] = """
+        SELECT o.year, o.in_office, CAST(o.in_office = b.in_office AS INTEGER) * 1.0 AS two_terms,
+               CASE o.in_office WHEN 'D' THEN d_support - r_support WHEN 'R' THEN r_support - d_support END AS net_approve,
+               growth_q2, 100.0 * (q.value - e.value) / e.value AS income_growth
+        FROM office o LEFT JOIN office b ON b.year = o.year - 1
+        LEFT JOIN national_support s ON s.year = o.year LEFT JOIN growth g ON g.year = o.year
+        LEFT JOIN quarters q ON q.year = o.year AND q.quarter = 2
+        LEFT JOIN quarters e ON e.year = o.year - 1 AND e.quarter = 2"""
+
 _NEEDS = {
+    "conditions": ["office", "national_support", "growth", "quarters"],
     "shares": ["returns"],
     "margins": ["subunits"],
     "segment_shares": ["segments"],
@@ -539,6 +558,32 @@ def _model_comparison() -> str:
     return query(FORECAST_NEEDS, "\nUNION ALL\n".join(parts))
 
 
+def _model_summaries() -> str:
+    models = {
+        "growth": ["growth_q2"],
+        "growth_terms": ["growth_q2", "net_approve", "two_terms"],
+        "income_terms": ["income_growth", "net_approve", "two_terms"],
+        "terms": ["net_approve", "two_terms"],
+    }
+    extra = [
+        (
+            "sides",
+            f"""SELECT f.pv2p, f.party = c.in_office AS held, c.growth_q2, c.income_growth, c.net_approve, c.two_terms
+                FROM features f JOIN conditions c ON c.year = f.year
+                WHERE f.year < {LAST} AND c.in_office IS NOT NULL""",
+        )
+    ]
+    parts = []
+    for name, xs in models.items():
+        extra += ols(f"m_{name}", "sides", ["held"], "pv2p", xs, "p")
+        parts.append(
+            f"""SELECT CASE WHEN held THEN 'incumbent' ELSE 'challenger' END AS side, '{name}' AS model, p_n AS n,
+                {r('1 - p_sse / p_sst', 'r2')}, {r('p_sse / p_n', 'mse')}, {r(_fit('p', xs, 's'), 'prediction')}
+                FROM m_{name} JOIN conditions s ON s.year = {LAST}"""
+        )
+    return query(["features", "conditions"], " UNION ALL ".join(parts), extra)
+
+
 # -- binomial fits: unrolled Newton steps from the pooled log odds --------------------------
 
 
@@ -1005,6 +1050,7 @@ def statements() -> dict[str, str]:
         "holdout_unpooled": query(["features"], _HOLDOUT_BODY, [*HOLDOUT_UNPOOLED, *_HOLDOUT_TAIL]),
         "holdout_pooled": query(["features"], _HOLDOUT_BODY, [*HOLDOUT_POOLED, *_HOLDOUT_TAIL]),
         "model_comparison": _model_comparison(),
+        "model_summaries": _model_summaries(),
         "weighted_outcome": query(
             [*FORECAST_NEEDS, "weights"],
             " UNION ALL ".join(

@@ -100,7 +100,7 @@ def tier_averages(spark: SparkSession, folder: str) -> DataFrame:
 def grade_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Raters per grade among those with a poll since mid-January."""
     latest = table(spark, folder, "events").groupBy("user_id").agg(F.max("ts").alias("latest"))
-    active = latest.filter(F.col("latest") >= F.lit("2024-01-15").cast("timestamp"))
+    active = latest.filter(F.col("latest") >= F.lit("2024-01-15").cast("timestamp_ntz"))
     raters = table(spark, folder, "customer").select(
         F.col("c_custkey").alias("user_id"), "c_mktsegment"
     )
