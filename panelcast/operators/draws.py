@@ -19,13 +19,12 @@ from panelcast.functions.shares import two_party_margin
 
 
 def _spread(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    # a number is given because adaptive execution would merge these tiny
-    # partitions, and their rows are cheap to ship but expensive to expand
-    spark = df.sparkSession
-    parts = max(
-        int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
-    )
-    return df.repartition(parts, *columns)
+    """Rows spread over twice the cluster's cores.
+
+    A number is given because adaptive execution would merge these tiny partitions,
+    and their rows are cheap to ship but expensive to expand.
+    """
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, *columns)
 
 
 def binomial_draws(

@@ -30,5 +30,10 @@ def test_runs_on_sparse_tables(spark, small, name):
     assert df.count() > 0
 
 
-def test_entry(spark):
-    assert entry_module.entry(spark).count() == 25
+def test_entry_forecasts_every_unit_of_the_last_period(spark, small):
+    units = connect(small).sql(
+        """SELECT count(DISTINCT c_nationkey) FROM orders JOIN customer ON o_custkey = c_custkey
+           WHERE year(o_orderdate) = 2001"""
+    )
+    rows = entry_module.entry(spark).collect()
+    assert len(rows) == len({r["unit"] for r in rows}) == units.fetchone()[0]
