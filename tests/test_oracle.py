@@ -36,4 +36,4 @@ def test_entry_forecasts_every_unit_of_the_last_period(spark, small):
            WHERE year(o_orderdate) = 2001"""
     )
     rows = entry_module.entry(spark).collect()
-    assert len(rows) == len({r["unit"] for r in rows}) == units.fetchone()[0]
+    assert len(rows) == len({r["unit"] for r in rows}) == units.fetchall()[0][0]
