@@ -48,7 +48,7 @@ def national_inputs(
     score: DataFrame, keys: Sequence[str], formulas: Sequence[Formula] = FORMULAS
 ) -> DataFrame:
     """Mean of every model input over units, one row per key."""
-    means = [F.expr(f"avg(`{x}`) AS `{x}`") for x in inputs_of(formulas)]
+    means = [F.expr(f"avg(CAST(`{x}` AS DOUBLE)) AS `{x}`") for x in inputs_of(formulas)]
     return score.groupBy(*keys).agg(*means)
 
 
