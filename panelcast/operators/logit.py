@@ -152,6 +152,10 @@ def _step(
     )
 
 
+def _at_most(df: DataFrame, rows: int) -> bool:
+    return df.limit(rows + 1).count() <= rows
+
+
 def logit_by_key(
     df: DataFrame,
     keys: Sequence[str],
@@ -170,7 +174,7 @@ def logit_by_key(
     """
     k = len(xs)
     design = cut_lineage(binomial_design(df, keys, successes, trials, xs))
-    few = design.select(*keys).distinct().limit(broadcast_keys + 1).count() <= broadcast_keys
+    few = _at_most(design, broadcast_keys) or _at_most(design.select(*keys).distinct(), broadcast_keys)
     state = _start(design, keys, k)
     finished = []
     # one more round than steps: the last one only measures the final deviance
