@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.functions.cleaning import round_columns
@@ -56,7 +56,7 @@ CONDITION_MODELS = (
 QUANTILES = (0.05, 0.5, 0.95)
 
 
-def _renamed(df: DataFrame, keys: list[str], f: Formula, *stats: str) -> list:
+def _renamed(f: Formula, *stats: str) -> list[Column]:
     """Coefficients by predictor name and the chosen statistics of one formula."""
     columns = [F.col(f"{f.name}_b0").alias(f"{f.name}_intercept")]
     columns += [F.col(f"{f.name}_b_{i}").alias(f"{f.name}_{x}") for i, x in enumerate(f.xs)]
@@ -107,7 +107,7 @@ def ols_multi_predict(spark: SparkSession, folder: str) -> DataFrame:
     )
     out = predict(fits.join(F.broadcast(scoring), "model"), [PRICE])
     return round_columns(
-        out.select(*_renamed(out, [], PRICE, "r2", "fit"), F.col("price_n").alias("n")), 4
+        out.select(*_renamed(PRICE, "r2", "fit"), F.col("price_n").alias("n")), 4
     )
 
 
@@ -115,7 +115,7 @@ def ols_by_supplier(spark: SparkSession, folder: str) -> DataFrame:
     """Three-term fit for every supplier."""
     fits = ols_by_key(table(spark, folder, "lineitem"), ["l_suppkey"], [SUPPLIER])
     return round_columns(
-        fits.select("l_suppkey", *_renamed(fits, [], SUPPLIER, "r2", "df"), F.sqrt("price_mse").alias("rmse")), 4
+        fits.select("l_suppkey", *_renamed(SUPPLIER, "r2", "df"), F.sqrt("price_mse").alias("rmse")), 4
     )
 
 
@@ -125,7 +125,7 @@ def holdout_by_supplier(spark: SparkSession, folder: str) -> DataFrame:
     fits = holdout_fits(items, ["l_suppkey"], "year", [SUPPLIER])
     return round_columns(
         fits.select(
-            "l_suppkey", "year", *_renamed(fits, [], SUPPLIER, "r2"), F.col("price_n").alias("n")
+            "l_suppkey", "year", *_renamed(SUPPLIER, "r2"), F.col("price_n").alias("n")
         ),
         4,
     )
@@ -142,8 +142,8 @@ def ols_per_unit(spark: SparkSession, folder: str) -> DataFrame:
         fits.select(
             "unit",
             "party",
-            *_renamed(fits, [], PLUS, "r2", "mse", "df"),
-            *_renamed(fits, [], POLLS, "r2", "mse", "df"),
+            *_renamed(PLUS, "r2", "mse", "df"),
+            *_renamed(POLLS, "r2", "mse", "df"),
         )
     )
 
@@ -155,8 +155,8 @@ def ols_fixed_effects(spark: SparkSession, folder: str) -> DataFrame:
         fits.select(
             "unit",
             "party",
-            *_renamed(fits, [], PLUS, "r2", "mse", "df"),
-            *_renamed(fits, [], POLLS, "r2", "mse", "df"),
+            *_renamed(PLUS, "r2", "mse", "df"),
+            *_renamed(POLLS, "r2", "mse", "df"),
         )
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.functions.cleaning import fill_from, numeric_columns, round_columns
-from panelcast.functions.shares import lean, share_of, two_party_margin, winner, winner_or_second
+from panelcast.functions.shares import lean, two_party_margin, winner, winner_or_second
 from panelcast.operators.panel import (
     assemble_features,
     change_columns,
