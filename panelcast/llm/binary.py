@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from panelcast.llm.shared import cuts, shared_folder, table
 from panelcast.llm.tokens import encoder, tokenizer_path
+from panelcast.session import small_side
 
 #: Ids are delta encoded; the few-valued file number keeps a dictionary. Row groups and
 #: pages are small enough to skip by the page index, which the writer always adds.
@@ -82,7 +83,8 @@ def write_tokens(
 def read_tokens(spark: SparkSession, folder: str, columns: tuple[str, ...] = ("n_tokens", "ids")) -> DataFrame:
     """Documents of a token folder with ``start``, the ids of all documents before them.
 
-    Only the columns asked for are read: without ``ids`` the token pages stay untouched.
+    Only the columns asked for are read: without ``ids`` the token pages stay untouched. The
+    table of files is counted, and joined by broadcast while it is small.
     """
     rows = spark.read.schema(SCHEMA).parquet(folder)
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("in_file"))
@@ -90,7 +92,7 @@ def read_tokens(spark: SparkSession, folder: str, columns: tuple[str, ...] = ("n
         F.col("file"),
         (F.sum("in_file").over(Window.orderBy("file")) - F.col("in_file")).alias("before"),
     )
-    return rows.join(before, "file").select(
+    return rows.join(small_side(before), "file").select(
         "doc_id", (F.col("before") + F.col("file_start")).alias("start"), *columns
     )
 
