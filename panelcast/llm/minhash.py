@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from panelcast.llm.components import LocalSets, components
 from panelcast.llm.shared import WordHashes, by_group, mixed, sorted_groups, table, written
+from panelcast.session import small_side
 
 SIGNATURE = 128
 TREES = 12
@@ -21,8 +22,10 @@ LEAF = 100
 #: Sets of a candidate cluster that one task verifies against each other.
 BLOCK = 400
 PERCENT = 80
-#: Equal signature places below which a pair cannot have the asked similarity: at 0.8 the
-#: expected number is 102 with a deviation of 4.5.
+#: Documents with candidates whose ids are sent to all tasks: 8 bytes each.
+MEMBERS = 1_000_000
+#: Equal signature places below which a pair does not have a similarity of 0.8 or more: the
+#: expected number is 102 with a deviation of 4.5, which leaves one pair in 50 million.
 LEAST_EQUAL = 77
 
 _RNG = np.random.Generator(np.random.PCG64(20))
@@ -233,10 +236,11 @@ def verified_links(docs: DataFrame, clusters: DataFrame, size: int, percent: int
     """
     sizes = clusters.groupBy("component").agg(F.count("*").alias("n")).where("n > 1")
     members = clusters.join(sizes, "component").select(F.col("component").alias("cluster"), F.col("node").alias("rep"), "n")
+    # Few documents have candidates: their ids are counted and sent to the texts up to a limit,
+    # beyond it the texts are shuffled to them.
+    members = small_side(members, MEMBERS)
     texts = docs.join(members, docs["doc_id"] == members["rep"]).select("cluster", "rep", "n", "text")
-    sets = written(
-        texts.mapInArrow(_full_sets(size), "cluster long, rep long, n long, hashes array<bigint>").dropDuplicates(["rep"]), "full-sets"
-    )
+    sets = written(texts.mapInArrow(_full_sets(size), "cluster long, rep long, n long, hashes array<bigint>"), "full-sets")
     blocks = F.ceil(F.col("n") / block).cast("int")
     none = F.lit(None).cast("long")
     sets = sets.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
@@ -278,18 +282,16 @@ def near_documents(docs: DataFrame, size: int = 5, percent: int = PERCENT) -> Da
         texts.mapInArrow(_describe(size), "doc_id long, n_shingles long, key binary, signature array<int>, brief binary"), "signatures"
     )
     usable = rows.where("key IS NOT NULL AND doc_id IS NOT NULL")
-    owners = usable.groupBy("key").agg(F.min("doc_id").alias("rep"))
     mine = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key"))
-    reps = owners.select(F.col("rep").alias("doc_id"), "key")
     classes = written(
-        usable.join(reps, ["doc_id", "key"])
-        .select(F.col("doc_id").alias("rep"), "signature", "brief")
-        .dropDuplicates(["rep"]),
+        usable.groupBy("key").agg(
+            F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("brief").alias("brief")
+        ),
         "set-classes",
     )
     clusters = components(candidate_links(classes))
     joined = components(verified_links(texts, clusters, size, percent)).withColumnRenamed("node", "rep")
-    settled = owners.join(joined, "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))
+    settled = classes.select("key", "rep").join(joined, "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))
     out = mine.join(settled, "key", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))

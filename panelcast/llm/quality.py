@@ -120,9 +120,12 @@ def discriminant(moments: list, to_pooled: float = 0.1, to_spherical: float = 0.
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Discriminant:
-    """Fit on all rows of ``docs`` that carry a label of 0 or 1; null labels are no labels."""
+    """Fit on all rows of ``docs`` that carry a label of 0 or 1; null labels are no labels.
+
+    Statistics are taken where the texts lie, so no text is moved to its label.
+    """
     marked = labels.select("doc_id", F.col(label).cast("int").alias("label")).where("label IN (0, 1)")
-    rows = docs.select("doc_id", "text").join(marked, "doc_id").select("label", statistics_column(F.col("text")).alias("x"))
+    rows = docs.select("doc_id", statistics_column(F.col("text")).alias("x")).join(marked, "doc_id")
     return discriminant(class_moments(rows).collect())
 
 

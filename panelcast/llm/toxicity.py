@@ -236,7 +236,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataF
     """Texts with a label of 0 or 1, at most ``most`` of them, chosen by the hash of their id."""
     marked = labels.select("doc_id", F.col(label).cast("int").alias("label")).where("label IN (0, 1) AND doc_id IS NOT NULL")
     sample = marked.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(most)
-    return docs.select("doc_id", "text").join(sample, "doc_id").select("text", "label")
+    # The sample has at most ``most`` pairs of numbers, so the texts stay where they are.
+    return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "label")
 
 
 def _word_counts(rows: DataFrame) -> DataFrame:
