@@ -19,12 +19,15 @@ from panelcast.functions.shares import two_party_margin
 
 
 def _spread(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Rows spread over twice the cluster's cores.
+    """Rows spread over the configured shuffle partitions, at least twice the cores now present.
 
     A number is given because adaptive execution would merge these tiny partitions,
-    and their rows are cheap to ship but expensive to expand.
+    and their rows are cheap to ship but expensive to expand. The cores alone would not do: with
+    dynamic allocation few are there when the plan is made.
     """
-    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, *columns)
+    spark = df.sparkSession
+    configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(configured, 2 * spark.sparkContext.defaultParallelism), *columns)
 
 
 def binomial_draws(
@@ -38,7 +41,8 @@ def binomial_draws(
 ) -> DataFrame:
     """``n_draws`` binomial counts per key and side: ``{output column: probability column}``.
 
-    One output row per key and draw, numbered from 1.
+    One output row per key and draw, numbered from 1. A key without a size or with a
+    missing probability keeps its rows, with NULL counts where nothing can be drawn.
     """
     blocks = -(-n_draws // block)
     names = list(sides)
@@ -55,26 +59,37 @@ def binomial_draws(
 
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for row in batch.to_dict("records"):
-                start = row["__block"] * block
-                count = min(block, n_draws - start)
-                rng = np.random.Generator(np.random.Philox(key=row["__seed"] % (1 << 64)))
-                out = {k: [row[k]] * count for k in keys}
-                out["draw"] = np.arange(start + 1, start + count + 1)
-                for name, p in zip(names, probability_columns, strict=True):
-                    out[name] = rng.binomial(int(row["__size"]), min(max(float(row[p]), 0.0), 1.0), count)
-                yield pd.DataFrame(out)
-
-    complete = F.col("__size").isNotNull()
-    for p in probability_columns:
-        complete = complete & F.col(p).isNotNull()
-    return _spread(tasks.filter(complete), [*keys, "__block"]).mapInPandas(expand, out_schema)
+            if batch.empty:
+                continue
+            starts = batch["__block"].to_numpy() * block
+            counts = np.minimum(block, n_draws - starts)
+            out = {k: batch[k].repeat(counts).reset_index(drop=True) for k in keys}
+            out["draw"] = np.concatenate([np.arange(a + 1, a + c + 1) for a, c in zip(starts, counts, strict=True)])
+            drawn: dict[str, list[np.ndarray]] = {name: [] for name in names}
+            columns = [batch[c].to_numpy(dtype=float) for c in ("__size", *probability_columns)]
+            for seed_value, count, size_value, *chances in zip(batch["__seed"], counts, *columns, strict=True):
+                rng = np.random.Generator(np.random.Philox(key=int(seed_value) % (1 << 64)))
+                for name, p in zip(names, chances, strict=True):
+                    if np.isnan(size_value) or np.isnan(p):
+                        drawn[name].append(np.full(count, np.nan))
+                    else:
+                        drawn[name].append(rng.binomial(int(size_value), min(max(p, 0.0), 1.0), count).astype(float))
+            # Counts are far below 2**53, so they pass through doubles unchanged.
+            for name in names:
+                out[name] = pd.Series(np.concatenate(drawn[name])).astype("Int64")
+            yield pd.DataFrame(out)
+
+    return _spread(tasks, [*keys, "__block"]).mapInPandas(expand, out_schema)
 
 
 def margin_summary(
     draws: DataFrame, keys: Sequence[str], d: str, r: str, quantiles: Sequence[float]
 ) -> DataFrame:
-    """Win rate of the first side, median and quantiles of the two-party margin."""
+    """Win rate of the first side, median and quantiles of the two-party margin.
+
+    One key's draws meet in one exact-percentile buffer, which ``n_draws`` bounds. A key
+    without any margin keeps its row, with zero draws and NULL statistics.
+    """
     margin = draws.withColumn("margin", two_party_margin(d, r))
     marks = F.percentile("margin", F.array(*[F.lit(float(q)) for q in quantiles]))
     out = margin.groupBy(*keys).agg(

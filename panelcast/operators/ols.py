@@ -276,9 +276,12 @@ def correlation(f: Formula, i: int = 0) -> Column:
 def residuals(
     df: DataFrame, fits: DataFrame, keys: Sequence[str], formulas: Sequence[Formula]
 ) -> DataFrame:
-    """Per-row residual of every formula: rows joined back to their key's coefficients."""
+    """Per-row residual of every formula: rows joined back to their key's coefficients.
+
+    Fits that are counted small are broadcast, so that the rows stay where they are.
+    """
     names = [c for f in formulas for c in [f"{f.name}_b0", *[f"{f.name}_b_{i}" for i in range(f.k)]]]
-    out = predict(df.join(fits.select(*keys, *names), list(keys)), formulas)
+    out = predict(df.join(small_side(fits.select(*keys, *names)), list(keys)), formulas)
     return out.selectExpr(
         without(names),
         *[f"CAST(`{f.y}` AS DOUBLE) - {f.name}_fit AS {f.name}_residual" for f in formulas],

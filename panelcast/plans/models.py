@@ -350,21 +350,23 @@ def margin_histogram(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _logit(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    features = domain.feature_rows(spark, folder)
-    fits = logit_by_key(features, ["unit", "party"], "successes", "trials", ["avg_poll"])
-    _, score = domain.train_and_score(features)
-    return fits, score
+    """Fits on earlier periods, and the period they predict."""
+    train, score = domain.train_and_score(domain.feature_rows(spark, folder))
+    return logit_by_key(train, ["unit", "party"], "successes", "trials", ["avg_poll"]), score
 
 
 def _responses(fits: DataFrame, score: DataFrame) -> DataFrame:
-    scored = fits.join(score.select("unit", "party", "avg_poll", "trials"), ["unit", "party"])
-    return scored.selectExpr("*", f"{response(['avg_poll'])} AS probability")
+    """Every scored key; one without a fit has NULLs and has not converged."""
+    scored = score.select("unit", "party", "avg_poll", "trials").join(fits, ["unit", "party"], "left")
+    return scored.withColumn("converged", F.coalesce("converged", F.lit(False))).selectExpr(
+        "*", f"{response(['avg_poll'])} AS probability"
+    )
 
 
 def binomial_per_unit(spark: SparkSession, folder: str) -> DataFrame:
     fits, score = _logit(spark, folder)
     return round_columns(
-        _responses(fits, score).select("unit", "party", "b0", "b_0", "probability")
+        _responses(fits, score).select("unit", "party", "b0", "b_0", "probability", "converged")
     )
 
 
@@ -382,6 +384,7 @@ def _side_probabilities(spark: SparkSession, folder: str) -> DataFrame:
     rows = _responses(fits, score)
     return rows.groupBy("unit").agg(
         F.max("trials").alias("trials"),
+        F.bool_and("converged").alias("converged"),
         F.max(F.when(F.col("party") == "D", F.col("probability"))).alias("p_d"),
         F.max(F.when(F.col("party") == "R", F.col("probability"))).alias("p_r"),
     )
@@ -389,18 +392,18 @@ def _side_probabilities(spark: SparkSession, folder: str) -> DataFrame:
 
 def draw_distribution(spark: SparkSession, folder: str) -> DataFrame:
     """10,000 outcome draws per unit: win rate, mean, median and tails of the margin."""
-    draws = binomial_draws(
-        _side_probabilities(spark, folder), ["unit"], "trials", {"d": "p_d", "r": "p_r"}, 10_000, seed=42
-    )
-    return round_columns(margin_summary(draws, ["unit"], "d", "r", QUANTILES))
+    sides = cut_lineage(_side_probabilities(spark, folder))
+    draws = binomial_draws(sides, ["unit"], "trials", {"d": "p_d", "r": "p_r"}, 10_000, seed=42)
+    summary = margin_summary(draws, ["unit"], "d", "r", QUANTILES)
+    return round_columns(summary.join(sides.select("unit", "converged"), "unit"))
 
 
 def turnout_scenarios(spark: SparkSession, folder: str) -> DataFrame:
     """1,000 turnout draws per unit and scenario."""
-    votes = turnout_draws(
-        _side_probabilities(spark, folder), ["unit"], "trials", "p_d", "p_r", TURNOUT_SCENARIOS, 1_000, seed=42
-    )
-    return round_columns(margin_summary(votes, ["unit", "scenario"], "d_votes", "r_votes", QUANTILES))
+    sides = cut_lineage(_side_probabilities(spark, folder))
+    votes = turnout_draws(sides, ["unit"], "trials", "p_d", "p_r", TURNOUT_SCENARIOS, 1_000, seed=42)
+    summary = margin_summary(votes, ["unit", "scenario"], "d_votes", "r_votes", QUANTILES)
+    return round_columns(summary.join(sides.select("unit", "converged"), "unit"))
 
 
 QUERIES = {

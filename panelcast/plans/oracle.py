@@ -656,11 +656,12 @@ def _binomial_with_demographics() -> str:
 
 
 PROBABILITIES = [
-    *newton("features", ["avg_poll"], 8),
+    *newton("train", ["avg_poll"], 8),
     (
         "responses",
-        """SELECT unit, party, i0, b1, trials, 1.0 / (1.0 + exp(-(i0 + b1 * avg_poll))) AS probability
-           FROM logit JOIN score USING (unit, party)""",
+        """SELECT unit, party, i0, b1, trials, 1.0 / (1.0 + exp(-(i0 + b1 * avg_poll))) AS probability,
+               i0 IS NOT NULL AS converged
+           FROM score LEFT JOIN logit USING (unit, party)""",
     ),
 ]
 
@@ -676,12 +677,12 @@ def _turnout() -> str:
         *PROBABILITIES,
         (
             "sides",
-            f"""SELECT unit, max(trials) AS trials, {_pick('D', 'probability')} AS p_d, {_pick('R', 'probability')} AS p_r
+            f"""SELECT unit, max(trials) AS trials, bool_and(converged) AS converged, {_pick('D', 'probability')} AS p_d, {_pick('R', 'probability')} AS p_r
                 FROM responses GROUP BY 1""",
         ),
         (
             "votes",
-            f"""SELECT unit, scenario, trials * p_d * (d_lo + {u('d')} * (d_hi - d_lo)) AS d,
+            f"""SELECT unit, scenario, converged, trials * p_d * (d_lo + {u('d')} * (d_hi - d_lo)) AS d,
                        trials * p_r * (r_lo + {u('r')} * (r_hi - r_lo)) AS r
                 FROM sides, {scenarios}, (SELECT unnest(range(1, 1001)) AS draw)""",
         ),
@@ -691,8 +692,8 @@ def _turnout() -> str:
         r(f"quantile_cont(margin, {q})", f"q{round(q * 100):02d}") for q in (0.05, 0.5, 0.95)
     )
     body = f"""SELECT unit, scenario, count(margin) AS draws, {r('avg(CAST(margin > 0 AS INTEGER))', 'win_rate')},
-               {r('avg(margin)', 'mean_margin')}, {quantiles} FROM drawn GROUP BY 1, 2"""
-    return query(["features", "score"], body, extra)
+               {r('avg(margin)', 'mean_margin')}, {quantiles}, bool_and(converged) AS converged FROM drawn GROUP BY 1, 2"""
+    return query(["features", "train", "score"], body, extra)
 
 
 # -- histograms -----------------------------------------------------------------------------
@@ -892,9 +893,11 @@ def statements() -> dict[str, str]:
         ),
         "inline_dimension": query(
             ["national"],
-            f"""SELECT year, CASE WHEN year <= 1998 THEN 'early' ELSE 'late' END AS era,
-                CASE WHEN year <= 1998 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS weight, {r('d_pv2p', 'd_pv2p')},
-                {r('d_pv2p * CASE WHEN year <= 1998 THEN 0.5 ELSE 1.0 END', 'weighted')} FROM national""",
+            f"""SELECT year, CASE WHEN year BETWEEN 1995 AND 1998 THEN 'early' WHEN year BETWEEN 1999 AND 2001 THEN 'late' END AS era,
+                CASE WHEN year BETWEEN 1995 AND 1998 THEN 0.5::DOUBLE WHEN year BETWEEN 1999 AND 2001 THEN 1.0::DOUBLE END AS weight,
+                {r('d_pv2p', 'd_pv2p')},
+                {r('d_pv2p * CASE WHEN year BETWEEN 1995 AND 1998 THEN 0.5 WHEN year BETWEEN 1999 AND 2001 THEN 1.0 END', 'weighted')}
+                FROM national""",
         ),
         "incumbent_side": query(
             ["features"],
@@ -1085,8 +1088,9 @@ def statements() -> dict[str, str]:
         "fit_histograms": _fit_histograms(),
         "margin_histogram": _margin_histogram(),
         "binomial_per_unit": query(
-            ["features", "score"],
-            f"""SELECT unit, party, {r('i0', 'b0')}, {r('b1', 'b_0')}, {r('probability', 'probability')} FROM responses""",
+            ["features", "train", "score"],
+            f"""SELECT unit, party, {r('i0', 'b0')}, {r('b1', 'b_0')}, {r('probability', 'probability')}, converged
+                FROM responses""",
             PROBABILITIES,
         ),
         "binomial_with_demographics": _binomial_with_demographics(),

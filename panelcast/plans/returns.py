@@ -226,14 +226,14 @@ def wide_to_long_series(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def inline_dimension(spark: SparkSession, folder: str) -> DataFrame:
-    """National shares with a literal table of period labels."""
+    """National shares with a literal table of period labels; periods it does not name have NULLs."""
     labels = broadcast_inline(
         spark,
         [(y, "early" if y <= 1998 else "late", 0.5 if y <= 1998 else 1.0) for y in domain.YEARS],
         "year INT, era STRING, weight DOUBLE",
     )
     national = domain.national_shares(domain.unit_returns(spark, folder))
-    out = national.join(labels, "year").withColumn("weighted", F.col("d_pv2p") * F.col("weight"))
+    out = national.join(labels, "year", "left").withColumn("weighted", F.col("d_pv2p") * F.col("weight"))
     return round_columns(out.select("year", "era", "weight", "d_pv2p", "weighted"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -21,23 +22,36 @@ def read_csv(
 ) -> DataFrame:
     """Header CSV with a declared schema and no inference pass.
 
-    Columns are matched by header name, so files with more columns or another
-    order still land in the declared ones.
+    Columns are matched by each file's own header, so files with more columns or
+    another order still land in the declared ones.
     """
     declared = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
-    header = (
-        spark.read.option("header", True).option("nullValue", null_value).option("inferSchema", False)
-    ).csv(path)
-    lookup = {c.lower(): c for c in header.columns}
-    missing = [f.name for f in declared.fields if f.name.lower() not in lookup]
-    if missing:
-        raise ValueError(f"columns missing from {path}: {missing}")
-    return header.select(
-        *[
-            header[f"`{lookup[f.name.lower()]}`"].try_cast(f.dataType).alias(f.name)
-            for f in declared.fields
-        ]
-    )
+    parts = []
+    for header, files in _files_by_header(spark, path).items():
+        lookup = {c.lower(): c for c in header}
+        missing = [f.name for f in declared.fields if f.name.lower() not in lookup]
+        if missing:
+            raise ValueError(f"columns missing from {files}: {missing}")
+        rows = spark.read.option("header", True).option("nullValue", null_value).csv(files)
+        parts.append(
+            rows.select(
+                *[rows[f"`{lookup[f.name.lower()]}`"].try_cast(f.dataType).alias(f.name) for f in declared.fields]
+            )
+        )
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _files_by_header(spark: SparkSession, path: str | list[str]) -> dict[tuple[str, ...], list[str]]:
+    """The files that a path, glob or list names, grouped by their own header line.
+
+    Spark takes the first file's header for all files of a read, by position; files
+    with another header therefore get a read of their own. One line of each file is read.
+    """
+    named = spark.read.format("binaryFile").load(path).select("path").collect()
+    found: dict[tuple[str, ...], list[str]] = {}
+    for file in sorted(r["path"] for r in named):
+        found.setdefault(tuple(spark.read.option("header", True).csv(file).columns), []).append(file)
+    return found
 
 
 def read_source(spark: SparkSession, kind: str, path: str | list[str]) -> DataFrame:

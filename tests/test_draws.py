@@ -49,11 +49,18 @@ def test_mean_and_variance(spark):
         assert abs(r["v"] - variance) < 4 * variance * math.sqrt(2 / 5000)
 
 
-def test_keys_without_a_probability_are_left_out(spark):
-    rows = [("a", 10, None, 0.5), ("b", 10, 0.0, 1.0)]
+def test_keys_without_a_probability_stay_with_nulls(spark):
+    rows = [("a", 10, None, 0.5), ("b", 10, 0.0, 1.0), ("c", None, 0.5, 0.5)]
     df = spark.createDataFrame(rows, "unit STRING, n BIGINT, p_d DOUBLE, p_r DOUBLE")
-    got = binomial_draws(df, ["unit"], "n", {"d": "p_d", "r": "p_r"}, 5, 1).collect()
-    assert {(r["unit"], r["d"], r["r"]) for r in got} == {("b", 0, 10)}
+    draws = binomial_draws(df, ["unit"], "n", {"d": "p_d", "r": "p_r"}, 5, 1)
+    got = draws.collect()
+    assert sorted({(r["unit"], r["draw"]) for r in got}) == [(u, i) for u in "abc" for i in range(1, 6)]
+    assert {(r["d"], r["r"]) for r in got if r["unit"] == "b"} == {(0, 10)}
+    assert all(r["d"] is None and r["r"] is not None for r in got if r["unit"] == "a")
+    assert all(r["d"] is None and r["r"] is None for r in got if r["unit"] == "c")
+    summary = {r["k"]: r for r in margin_summary(draws.withColumnRenamed("unit", "k"), ["k"], "d", "r", (0.5,)).collect()}
+    assert (summary["a"]["draws"], summary["a"]["win_rate"], summary["a"]["q50"]) == (0, None, None)
+    assert summary["b"]["draws"] == 5 and set(summary) == {"a", "b", "c"}
 
 
 def test_margin_summary(spark):

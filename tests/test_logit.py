@@ -103,3 +103,20 @@ def test_edge_keys(spark):
     assert math.isclose(1 / (1 + math.exp(-got["flat"]["b0"])), 26 / 80, rel_tol=1e-8)
     rate = [1 / (1 + math.exp(-(got["gap"]["b0"] + got["gap"]["b_0"] * x))) for x in (1.0, 2.0)]
     assert np.allclose(rate, [5 / 20, 9 / 20], rtol=1e-7)
+
+
+def test_binomial_forecast_does_not_see_the_scored_period(spark, small, monkeypatch):
+    """Other outcomes of the scored period leave the coefficients as they are."""
+    from panelcast.plans import domain, models
+
+    before = {(r["unit"], r["party"]): (r["b0"], r["b_0"]) for r in models.binomial_per_unit(spark, small).collect()}
+    features = domain.feature_rows
+
+    def changed(spark, folder):
+        last = F.col("year") == domain.LAST_YEAR
+        return features(spark, folder).withColumn("successes", F.when(last, F.lit(0)).otherwise(F.col("successes")))
+
+    monkeypatch.setattr(domain, "feature_rows", changed)
+    after = models.binomial_per_unit(spark, small).collect()
+    assert {(r["unit"], r["party"]): (r["b0"], r["b_0"]) for r in after} == before
+    assert all(r["converged"] is not None for r in after)

@@ -44,6 +44,17 @@ def test_feed_reads_every_file_of_a_glob(spark, tmp_path):
     assert [r["state"] for r in rows] == [None, "Ohio"]
 
 
+def test_each_file_of_a_feed_is_read_by_its_own_header(spark, tmp_path):
+    write(tmp_path / "p1.csv", "state,candidate_name,fte_grade,pct,start_date,end_date\nOhio,X,A,45.5,9/1/20,9/3/20\n")
+    write(tmp_path / "p2.csv", "note,candidate_name,state,pct,fte_grade,end_date,start_date\nn,Y,Iowa,44,B,9/3/20,9/1/20\n")
+    write(tmp_path / "p3.csv", "state,candidate_name,fte_grade,pct,start_date,end_date\nUtah,Z,C,43,9/1/20,9/3/20\n")
+    rows = read_feed(spark, str(tmp_path / "p*.csv")).orderBy("pct").collect()
+    assert [(r["state"], r["candidate_name"], r["fte_grade"]) for r in rows] == [("Utah", "Z", "C"), ("Iowa", "Y", "B"), ("Ohio", "X", "A")]
+    assert "note" not in rows[0]
+    listed = read_source(spark, "poll_feed", [str(tmp_path / "p2.csv"), str(tmp_path / "p3.csv")])
+    assert {r["state"] for r in listed.collect()} == {"Iowa", "Utah"}
+
+
 def test_padding_around_a_table_is_dropped(spark, tmp_path):
     path = write(
         tmp_path / "r.csv",
