@@ -21,6 +21,10 @@ DEPTH = 3
 LEAF = 100
 #: Sets of a candidate cluster that one task verifies against each other.
 BLOCK = 400
+#: Hashes of such a block together, about; long documents make smaller blocks.
+BLOCK_HASHES = 500_000
+#: Rows with full sets that are sent to Python at once.
+SET_ROWS = 200
 PERCENT = 80
 #: Documents with candidates whose ids are sent to all tasks: 8 bytes each.
 MEMBERS = 1_000_000
@@ -217,7 +221,7 @@ def _full_sets(size: int):
 def _links(groups: DataFrame, percent: int) -> DataFrame:
     """Groups of (cluster, block, rep, part, hashes) to verified links, written."""
     rows = by_group(groups.select("cluster", "block", "rep", "part", "hashes"), "cluster", "block")
-    return written(rows.mapInArrow(_verify(percent), "a long, b long"), "verified-links")
+    return written(rows.mapInArrow(_verify(percent), "a long, b long"), "verified-links", SET_ROWS)
 
 
 def _with_component(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -228,8 +232,8 @@ def _with_component(members: DataFrame, links: DataFrame) -> DataFrame:
 def verified_links(docs: DataFrame, clusters: DataFrame, size: int, percent: int, block: int = BLOCK) -> DataFrame:
     """Links with the components of all similar pairs inside each cluster, from full sets.
 
-    Clusters of at most ``block`` sets are verified pair by pair in one group. A larger one is
-    dealt into blocks, each verified within itself. Then the first members of the blocks'
+    Clusters of at most ``block`` sets and ``BLOCK_HASHES`` hashes are verified pair by pair in
+    one group. A larger one is dealt into blocks, each verified within itself. Then the first members of the blocks'
     components are verified with each other. Where a cluster still has several components,
     the members outside its largest are verified with all blocks, so every pair of different
     components has been looked at.
@@ -240,17 +244,18 @@ def verified_links(docs: DataFrame, clusters: DataFrame, size: int, percent: int
     # beyond it the texts are shuffled to them.
     members = small_side(members, MEMBERS)
     texts = docs.join(members, docs["doc_id"] == members["rep"]).select("cluster", "rep", "n", "text")
-    sets = written(texts.mapInArrow(_full_sets(size), "cluster long, rep long, n long, hashes array<bigint>"), "full-sets")
-    blocks = F.ceil(F.col("n") / block).cast("int")
+    sets = written(texts.mapInArrow(_full_sets(size), "cluster long, rep long, n long, hashes array<bigint>"), "full-sets", 2000)
+    held = F.greatest(F.count("*") / block, F.sum(F.size("hashes")) / BLOCK_HASHES)
+    blocks = sets.groupBy("cluster").agg(F.ceil(held).cast("int").alias("blocks"))
     none = F.lit(None).cast("long")
-    sets = sets.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
+    sets = sets.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     links = _links(sets.withColumn("part", none), percent)
     large = sets.where("blocks > 1")
     if large.isEmpty():
         return links
     heads = _with_component(large, links).where("rep = component")
     while True:
-        counts = heads.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("rounds"))
+        counts = heads.groupBy("cluster").agg(F.ceil(held).cast("int").alias("rounds"))
         dealt = heads.join(counts, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("rounds")).cast("int"))
         new = _links(dealt.withColumn("part", none), percent)
         links = links.unionByName(new)
@@ -262,10 +267,15 @@ def verified_links(docs: DataFrame, clusters: DataFrame, size: int, percent: int
     largest = weights.groupBy("cluster").agg(F.max_by("component", F.struct("w", "component")).alias("largest"), F.count("*").alias("k"))
     open_sets = parted.join(largest.where("k > 1"), "cluster").withColumn("part", F.col("component"))
     outside = open_sets.where("component <> largest")
-    spread = outside.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    inside = open_sets.where("component = largest")
-    columns = ["cluster", "block", "rep", "part", "hashes"]
-    return links.unionByName(_links(inside.select(*columns).unionByName(spread.select(*columns)), percent))
+    chunks = outside.groupBy("cluster").agg(F.ceil(held).cast("int").alias("chunks"))
+    # Every block meets every chunk of the members outside, in a group of its own.
+    group = (F.col("block") * F.col("chunks") + F.col("chunk")).alias("block")
+    columns = ["cluster", group, "rep", "part", "hashes"]
+    numbers = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    sides = open_sets.join(chunks, "cluster").withColumn("chunk", numbers("chunks"))
+    dealt = outside.join(chunks, "cluster").withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("chunks")).cast("int"))
+    dealt = dealt.withColumn("block", numbers("blocks"))
+    return links.unionByName(_links(sides.select(*columns).unionByName(dealt.select(*columns)), percent))
 
 
 def near_documents(docs: DataFrame, size: int = 5, percent: int = PERCENT) -> DataFrame:

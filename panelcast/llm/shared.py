@@ -22,15 +22,22 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """``df`` written to the shared folder and read again: lineage ends there.
 
     The files stay until the checkpoint folder is cleared, so that a lost
-    executor costs a task and never the table.
+    executor costs a task and never the table. ``batch_rows`` holds for this one write: rows
+    that go to Python at once, fewer where rows are long.
     """
-    folder = shared_folder(df.sparkSession, name)
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    spark, setting = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    folder, before = shared_folder(spark, name), spark.conf.get(setting)
+    if batch_rows:
+        spark.conf.set(setting, str(batch_rows))
+    try:
+        df.write.parquet(folder)
+    finally:
+        spark.conf.set(setting, before)
+    return spark.read.schema(df.schema).parquet(folder)
 
 
 class WordHashes:
