@@ -348,10 +348,25 @@ def test_vectors(spark, block):
     assert pivots.near_vectors(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize(("size", "leaf", "block"), [(2, 100, 400), (5, 2, 3)])
-def test_near_documents(spark, docs, empty, size, leaf, block, monkeypatch):
-    monkeypatch.setattr(minhash.candidate_links, "__defaults__", (minhash.TREES, minhash.DEPTH, leaf))
-    monkeypatch.setattr(minhash.verified_links, "__defaults__", (block,))
+def test_clusters_larger_than_a_block(spark):
+    """Blocks of three sets: heads, then the members outside the largest component, find all links."""
+    rng = random.Random(8)
+    rows = []
+    for k in range(14):
+        w = [f"{'wz'[k % 4 == 0]}{i}" for i in range(160)]
+        for _ in range(k % 7):
+            w[rng.randrange(160)] = f"v{rng.randrange(999)}"
+        rows.append((k, " ".join(w)))
+    texts = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    clusters = spark.createDataFrame([(k, 0) for k, _ in rows], "node long, component long").coalesce(1)
+    got = [(r["a"], r["b"]) for r in minhash.verified_links(texts, clusters, 2, 80, 3).collect()]
+    sets = {k: set(zip(t.split(), t.split()[1:], strict=False)) for k, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert reach(14, got) == reach(14, links) and len(set(reach(14, links))) == 2
+
+
+def test_near_documents(spark, docs, empty):
+    size = 2
     rng = random.Random(8)
     near = []
     for k in range(40):
