@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcast.functions.shares import challenger_party, incumbent_party, side_value
-from panelcast.session import cut_lineage
+from panelcast.session import cut_lineage, small_side
 
 
 def _window(units: Sequence[str], period: str):
@@ -163,7 +163,7 @@ def assemble_features(
     joined = (
         polls.join(economy, ["unit", "year"], "left")
         .join(returns, ["unit", "year", "party"], "full")
-        .join(in_office, "year", "left")
+        .join(small_side(in_office), "year", "left")
         .join(demographics, ["unit", "year"], "left")
     )
     flag = F.col("in_office") == F.col("party")

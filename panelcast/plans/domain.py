@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from panelcast.functions.shares import DEMOCRAT, REPUBLICAN, share_of, two_party_share, winner
 from panelcast.operators.panel import change_columns, lag_columns
-from panelcast.session import cut_lineage
+from panelcast.session import cut_lineage, small_side
 from panelcast.sources.inline import broadcast_inline
 from panelcast.sources.readers import table
 
@@ -77,6 +77,11 @@ _SEGMENT_VALUES = [
     for s in SEGMENTS
 ]
 
+_SUBUNIT_VOTES = [
+    f"sum(CASE WHEN o_orderstatus = '{status}' THEN o_totalprice ELSE 0D END) AS {name}"
+    for status, name in (("F", "d"), ("O", "r"))
+]
+
 
 def _aggregates(texts: Sequence[str]) -> list[Column]:
     return [F.expr(t) for t in texts]
@@ -140,17 +145,19 @@ def with_shares(returns: DataFrame) -> DataFrame:
 
 def subunit_returns(spark: SparkSession, folder: str) -> DataFrame:
     """Votes per sub-unit and year, one shuffle and no join; a side without votes has zero."""
-    votes = [
-        f"sum(CASE WHEN o_orderstatus = '{status}' THEN o_totalprice ELSE 0D END) AS {name}"
-        for status, name in (("F", "d"), ("O", "r"))
-    ]
     return (
         table(spark, folder, "orders")
         .groupBy(F.col("o_custkey").alias("subunit"), F.year("o_orderdate").alias("year"))
-        .agg(*_aggregates(votes))
+        .agg(*_aggregates(_SUBUNIT_VOTES))
     )
 
 
+def subunit_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """Votes per sub-unit over all years, one shuffle."""
+    orders = table(spark, folder, "orders")
+    return orders.groupBy(F.col("o_custkey").alias("subunit")).agg(*_aggregates(_SUBUNIT_VOTES))
+
+
 def monthly_panel(spark: SparkSession, folder: str) -> DataFrame:
     """Everything the models need, per unit, year and month, from one scan of the orders."""
     grouped = (
@@ -203,7 +210,7 @@ def features_from(yearly: DataFrame, in_office: DataFrame) -> DataFrame:
     """One row per unit, year and side with response, predictors and turnout."""
     # joined first: the window then leaves rows partitioned by unit, which is all the
     # per-unit fits need, so they add no shuffle of their own
-    panel = yearly.join(in_office, "year", "left")
+    panel = yearly.join(small_side(in_office), "year", "left")
     panel = lag_columns(
         panel, ["unit"], "year", {"lag_d_pv2p": ("d_pv2p", 1), "lag_r_pv2p": ("r_pv2p", 1)}
     )
@@ -222,8 +229,7 @@ def features_from(yearly: DataFrame, in_office: DataFrame) -> DataFrame:
 def feature_rows(spark: SparkSession, folder: str) -> DataFrame:
     """The model input. The yearly panel is written once because several steps read it.
 
-    The office table has one row per period; adaptive execution broadcasts it by
-    its measured size.
+    The office table has one row per period; it is counted before it is broadcast.
     """
     yearly = cut_lineage(yearly_panel(monthly_panel(spark, folder)))
     return features_from(yearly, incumbents(yearly))
@@ -258,15 +264,14 @@ def battlegrounds(spark: SparkSession) -> DataFrame:
     )
 
 
-def quarterly_growth(spark: SparkSession, folder: str) -> DataFrame:
-    """National value per quarter and its growth on the quarter before.
+def quarterly_growth(monthly: DataFrame) -> DataFrame:
+    """National value per quarter and its growth on the quarter before, from the monthly panel.
 
     The previous quarter is found by key, so no window spans the whole series.
     """
     quarters = (
-        table(spark, folder, "orders")
-        .groupBy(F.year("o_orderdate").alias("year"), F.quarter("o_orderdate").alias("quarter"))
-        .agg(F.sum("o_totalprice").alias("value"))
+        monthly.groupBy("year", F.ceil(F.col("month") / 3).cast("int").alias("quarter"))
+        .agg(F.sum("total").alias("value"))
         .withColumn("at", F.col("year") * 4 + F.col("quarter"))
     )
     before = quarters.select((F.col("at") + 1).alias("at"), F.col("value").alias("previous"))
@@ -287,7 +292,7 @@ def national_shares(returns: DataFrame) -> DataFrame:
     )
 
 
-def national_conditions(spark: SparkSession, folder: str, monthly: DataFrame) -> DataFrame:
+def national_conditions(monthly: DataFrame) -> DataFrame:
     """Per period: side in office, whether it was in office before, net approval, growth.
 
     Net approval is the late national support of the side in office minus that of the
@@ -301,7 +306,7 @@ def national_conditions(spark: SparkSession, folder: str, monthly: DataFrame) ->
     )
     office = incumbents(monthly)
     before = office.selectExpr("year + 1 AS year", "in_office AS before")
-    quarters = quarterly_growth(spark, folder).filter(F.col("quarter") == 2)
+    quarters = quarterly_growth(monthly).filter(F.col("quarter") == 2)
     last_year = quarters.selectExpr("year + 1 AS year", "value AS earlier")
     growth = quarters.join(last_year, "year", "left").selectExpr(
         "year", "growth AS growth_q2", "try_divide((value - earlier) * 100D, earlier) AS income_growth"

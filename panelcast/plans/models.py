@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.functions.cleaning import round_columns
-from panelcast.functions.shares import lean, share_of
+from panelcast.functions.shares import lean, share_of, two_party_margin
 from panelcast.operators.draws import binomial_draws, margin_summary, turnout_draws
 from panelcast.operators.ensemble import (
     FORMULAS,
@@ -39,7 +39,8 @@ from panelcast.operators.outcomes import (
 )
 from panelcast.operators.panel import order_index
 from panelcast.plans import domain
-from panelcast.session import cut_lineage
+from panelcast.plans.returns import unit_classes
+from panelcast.session import cut_lineage, small_side
 from panelcast.sources.inline import TURNOUT_SCENARIOS, broadcast_inline, inline_table
 from panelcast.sources.readers import table
 
@@ -148,6 +149,21 @@ def ols_per_unit(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def ols_by_class(spark: SparkSession, folder: str) -> DataFrame:
+    """The per-unit fits pooled within each class of units, per side."""
+    train, _ = _train(spark, folder)
+    classes = small_side(unit_classes(spark, folder).select("unit", "class"))
+    fits = ols_by_key(train.join(classes, "unit"), ["class", "party"], FORMULAS)
+    return round_columns(
+        fits.select(
+            "class",
+            "party",
+            *_renamed(PLUS, "r2", "mse", "df"),
+            *_renamed(POLLS, "r2", "mse", "df"),
+        )
+    )
+
+
 def ols_fixed_effects(spark: SparkSession, folder: str) -> DataFrame:
     train, _ = _train(spark, folder)
     fits = pooled_ols(train, ["unit", "party"], ["party"], FORMULAS)
@@ -189,11 +205,16 @@ def pooled_intervals(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def interval_feed(spark: SparkSession, folder: str) -> DataFrame:
-    """Point, low and high per unit, side and model, with the unit's place in the order of its polls."""
+    """Point, low and high per unit, side and model, with the unit's place in four orders.
+
+    ``order_index`` goes by the first side's polls; the others name their side and model.
+    """
     train, score = _train(spark, folder)
     wide = interval_columns(unpooled_rows(train, score, level=LEVEL), ["unit"])
-    placed = order_index(wide, [F.asc_nulls_first("d_polls"), "unit"])
-    return round_columns(interval_rows(placed, ["unit", "order_index"]))
+    orders = {"order_index": "d_polls", **{f"order_{c}": c for c in ("d_plus", "r_polls", "r_plus")}}
+    for name, c in orders.items():
+        wide = order_index(wide, [F.asc_nulls_first(c), "unit"], name)
+    return round_columns(interval_rows(wide, ["unit", *orders]))
 
 
 def _holdout(features: DataFrame, pooled: bool) -> DataFrame:
@@ -249,7 +270,7 @@ def model_summaries(spark: SparkSession, folder: str) -> DataFrame:
     """
     monthly = cut_lineage(domain.monthly_panel(spark, folder))
     yearly = domain.yearly_panel(monthly)
-    conditions = cut_lineage(domain.national_conditions(spark, folder, monthly))
+    conditions = cut_lineage(domain.national_conditions(monthly))
     features = domain.features_from(yearly, conditions.select("year", "in_office"))
     rows = features.join(conditions, "year").withColumn("held", F.col("party") == F.col("in_office"))
     fits = ols_by_key(rows.filter(F.col("year") < domain.LAST_YEAR), ["held"], CONDITION_MODELS)
@@ -398,10 +419,24 @@ def draw_distribution(spark: SparkSession, folder: str) -> DataFrame:
     return round_columns(summary.join(sides.select("unit", "converged"), "unit"))
 
 
+def _turnout(sides: DataFrame) -> DataFrame:
+    return turnout_draws(sides, ["unit"], "trials", "p_d", "p_r", TURNOUT_SCENARIOS, 1_000, seed=42)
+
+
+def draw_histogram(spark: SparkSession, folder: str) -> DataFrame:
+    """Distribution of the drawn margins per unit and scenario, 100 bins, edges to three digits.
+
+    The margins rest on an iterated fit, whose last digits depend on the order of its sums.
+    """
+    votes = _turnout(cut_lineage(_side_probabilities(spark, folder)))
+    margins = votes.select("unit", "scenario", two_party_margin("d_votes", "r_votes").alias("margin"))
+    return round_columns(histogram(cut_lineage(margins), ["unit", "scenario"], "margin", 100), 3)
+
+
 def turnout_scenarios(spark: SparkSession, folder: str) -> DataFrame:
     """1,000 turnout draws per unit and scenario."""
     sides = cut_lineage(_side_probabilities(spark, folder))
-    votes = turnout_draws(sides, ["unit"], "trials", "p_d", "p_r", TURNOUT_SCENARIOS, 1_000, seed=42)
+    votes = _turnout(sides)
     summary = margin_summary(votes, ["unit", "scenario"], "d_votes", "r_votes", QUANTILES)
     return round_columns(summary.join(sides.select("unit", "converged"), "unit"))
 
@@ -415,6 +450,7 @@ QUERIES = {
         ols_by_supplier,
         holdout_by_supplier,
         ols_per_unit,
+        ols_by_class,
         ols_fixed_effects,
         fit_residuals,
         unpooled_forecast,
@@ -435,6 +471,7 @@ QUERIES = {
         binomial_per_unit,
         binomial_with_demographics,
         draw_distribution,
+        draw_histogram,
         turnout_scenarios,
     )
 }

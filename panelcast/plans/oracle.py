@@ -666,14 +666,14 @@ PROBABILITIES = [
 ]
 
 
-def _turnout() -> str:
+def _turnout_draws() -> list[tuple[str, str]]:
     scenarios = _values(TURNOUT_SCENARIOS, "scenario, d_lo, d_hi, r_lo, r_hi")
 
     def u(side: str) -> str:
         text = f"concat_ws('|', '42', unit, scenario, '{side}', CAST(draw AS VARCHAR))"
         return f"(CAST(('0x' || substr(md5({text}), 1, 13)) AS BIGINT) / 4503599627370496.0)"
 
-    extra = [
+    return [
         *PROBABILITIES,
         (
             "sides",
@@ -688,18 +688,21 @@ def _turnout() -> str:
         ),
         ("drawn", "SELECT *, (d - r) * 100.0 / (d + r) AS margin FROM votes"),
     ]
+
+
+def _turnout() -> str:
     quantiles = ", ".join(
         r(f"quantile_cont(margin, {q})", f"q{round(q * 100):02d}") for q in (0.05, 0.5, 0.95)
     )
     body = f"""SELECT unit, scenario, count(margin) AS draws, {r('avg(CAST(margin > 0 AS INTEGER))', 'win_rate')},
                {r('avg(margin)', 'mean_margin')}, {quantiles}, bool_and(converged) AS converged FROM drawn GROUP BY 1, 2"""
-    return query(["features", "train", "score"], body, extra)
+    return query(["features", "train", "score"], body, _turnout_draws())
 
 
 # -- histograms -----------------------------------------------------------------------------
 
 
-def _histogram(facets: Sequence[str], source: str, value: str, bins: int) -> tuple[list[tuple[str, str]], str]:
+def _histogram(facets: Sequence[str], source: str, value: str, bins: int, digits: int = 6) -> tuple[list[tuple[str, str]], str]:
     by = ", ".join(facets)
     extra = [
         (
@@ -713,8 +716,8 @@ def _histogram(facets: Sequence[str], source: str, value: str, bins: int) -> tup
                 FROM ranged""",
         ),
     ]
-    body = f"""SELECT {by}, bin, {r('min(lo) + (bin - 1) * min(width)', 'bin_from')},
-               {r('min(lo) + bin * min(width)', 'bin_to')}, count(*) AS rows FROM binned GROUP BY {by}, bin"""
+    body = f"""SELECT {by}, bin, {r('min(lo) + (bin - 1) * min(width)', 'bin_from', digits)},
+               {r('min(lo) + bin * min(width)', 'bin_to', digits)}, count(*) AS rows FROM binned GROUP BY {by}, bin"""
     return extra, body
 
 
@@ -734,6 +737,11 @@ def _fit_histograms() -> str:
     return query(["train"], body, [*extra, *more])
 
 
+def _draw_histogram() -> str:
+    more, body = _histogram(["unit", "scenario"], "drawn", "margin", 100, 3)
+    return query(["features", "train", "score"], body, [*_turnout_draws(), *more])
+
+
 def _margin_histogram() -> str:
     extra = [
         (
@@ -1020,6 +1028,19 @@ def statements() -> dict[str, str]:
             "held",
         ),
         "ols_per_unit": query(["train"], _fit_table(["unit", "party"]), _unpooled("train", ["unit", "party"])),
+        "ols_by_class": query(
+            ["train"],
+            _fit_table(["class", "party"]),
+            [
+                (
+                    "classed",
+                    f"""SELECT t.*, class FROM train t JOIN nation ON unit = n_name
+                        JOIN region ON n_regionkey = r_regionkey
+                        LEFT JOIN {_values(domain.REGION_CLASSES, 'region_name, class')} ON region_name = r_name""",
+                ),
+                *_unpooled("classed", ["class", "party"]),
+            ],
+        ),
         "ols_fixed_effects": query(["train"], _fit_table(["unit", "party"]), POOLED_ROWS[:10]),
         "fit_residuals": query(
             ["train"],
@@ -1035,7 +1056,7 @@ def statements() -> dict[str, str]:
         "interval_feed": query(
             FORECAST_NEEDS,
             " UNION ALL ".join(
-                f"""SELECT unit, order_index, '{party}' AS party, '{m}' AS model, {r(f'{m}_fit', 'point')},
+                f"""SELECT unit, order_index, order_d_plus, order_r_polls, order_r_plus, '{party}' AS party, '{m}' AS model, {r(f'{m}_fit', 'point')},
                     {r(f'{m}_fit - {m}_half', 'low')}, {r(f'{m}_fit + {m}_half', 'high')}
                     FROM predicted JOIN places USING (unit) WHERE party = '{party}'"""
                 for party in ("D", "R")
@@ -1045,8 +1066,17 @@ def statements() -> dict[str, str]:
                 *UNPOOLED_ROWS,
                 (
                     "places",
-                    """SELECT unit, row_number() OVER (ORDER BY polls_fit NULLS FIRST, unit) AS order_index
-                       FROM predicted WHERE party = 'D'""",
+                    "SELECT unit, "
+                    + ", ".join(
+                        f"row_number() OVER (ORDER BY {_pick(party, f'{m}_fit')} NULLS FIRST, unit) AS {name}"
+                        for name, party, m in (
+                            ("order_index", "D", "polls"),
+                            ("order_d_plus", "D", "plus"),
+                            ("order_r_polls", "R", "polls"),
+                            ("order_r_plus", "R", "plus"),
+                        )
+                    )
+                    + " FROM predicted GROUP BY unit",
                 ),
             ],
         ),
@@ -1094,6 +1124,7 @@ def statements() -> dict[str, str]:
             PROBABILITIES,
         ),
         "binomial_with_demographics": _binomial_with_demographics(),
+        "draw_histogram": _draw_histogram(),
         "turnout_scenarios": _turnout(),
     }
     return out

@@ -140,7 +140,7 @@ def _national_panel(spark: SparkSession, folder: str) -> DataFrame:
     monthly = cut_lineage(domain.monthly_panel(spark, folder))
     national = domain.national_shares(monthly)
     growth = (
-        domain.quarterly_growth(spark, folder)
+        domain.quarterly_growth(monthly)
         .filter(F.col("quarter") == 2)
         .select("year", F.col("growth").alias("growth_q2"))
     )

@@ -289,9 +289,7 @@ def turnout_range(spark: SparkSession, folder: str) -> DataFrame:
 def strongest_units(spark: SparkSession, folder: str) -> DataFrame:
     """The ten strongest sub-units of either side over all periods."""
     totals = (
-        domain.subunit_returns(spark, folder)
-        .groupBy("subunit")
-        .agg(F.sum("d").alias("d"), F.sum("r").alias("r"))
+        domain.subunit_totals(spark, folder)
         .select("subunit", F.round(two_party_margin("d", "r"), 6).alias("margin"))
         .filter(F.col("margin").isNotNull())
     )
@@ -301,9 +299,7 @@ def strongest_units(spark: SparkSession, folder: str) -> DataFrame:
 def ranked_units(spark: SparkSession, folder: str) -> DataFrame:
     """Position of every sub-unit in the order of its overall margin."""
     totals = (
-        domain.subunit_returns(spark, folder)
-        .groupBy("subunit")
-        .agg(F.sum("d").alias("d"), F.sum("r").alias("r"))
+        domain.subunit_totals(spark, folder)
         .select("subunit", F.round(two_party_margin("d", "r"), 6).alias("margin"))
         .filter(F.col("margin").isNotNull())
     )

@@ -6,81 +6,65 @@ from pyspark.sql import DataFrame, SparkSession
 
 from panelcast.sources.inline import broadcast_inline
 
-# Name, postal code, electoral votes.
+# Name, postal code, electoral votes, class, battleground.
 STATES = [
-    ("Alabama", "AL", 9),
-    ("Alaska", "AK", 3),
-    ("Arizona", "AZ", 11),
-    ("Arkansas", "AR", 6),
-    ("California", "CA", 55),
-    ("Colorado", "CO", 9),
-    ("Connecticut", "CT", 7),
-    ("Delaware", "DE", 3),
-    ("Florida", "FL", 29),
-    ("Georgia", "GA", 16),
-    ("Hawaii", "HI", 4),
-    ("Idaho", "ID", 4),
-    ("Illinois", "IL", 20),
-    ("Indiana", "IN", 11),
-    ("Iowa", "IA", 6),
-    ("Kansas", "KS", 6),
-    ("Kentucky", "KY", 8),
-    ("Louisiana", "LA", 8),
-    ("Maine", "ME", 4),
-    ("Maryland", "MD", 10),
-    ("Massachusetts", "MA", 11),
-    ("Michigan", "MI", 16),
-    ("Minnesota", "MN", 10),
-    ("Mississippi", "MS", 6),
-    ("Missouri", "MO", 10),
-    ("Montana", "MT", 3),
-    ("Nebraska", "NE", 5),
-    ("Nevada", "NV", 6),
-    ("New Hampshire", "NH", 4),
-    ("New Jersey", "NJ", 14),
-    ("New Mexico", "NM", 5),
-    ("New York", "NY", 29),
-    ("North Carolina", "NC", 15),
-    ("North Dakota", "ND", 3),
-    ("Ohio", "OH", 18),
-    ("Oklahoma", "OK", 7),
-    ("Oregon", "OR", 7),
-    ("Pennsylvania", "PA", 20),
-    ("Rhode Island", "RI", 4),
-    ("South Carolina", "SC", 9),
-    ("South Dakota", "SD", 3),
-    ("Tennessee", "TN", 11),
-    ("Texas", "TX", 38),
-    ("Utah", "UT", 6),
-    ("Vermont", "VT", 3),
-    ("Virginia", "VA", 13),
-    ("Washington", "WA", 12),
-    ("West Virginia", "WV", 5),
-    ("Wisconsin", "WI", 10),
-    ("Wyoming", "WY", 3),
+    ("Alabama", "AL", 9, "Red", False),
+    ("Alaska", "AK", 3, "Red", False),
+    ("Arizona", "AZ", 11, "Sun Swing", True),
+    ("Arkansas", "AR", 6, "Red", False),
+    ("California", "CA", 55, "Blue", False),
+    ("Colorado", "CO", 9, "Blue", False),
+    ("Connecticut", "CT", 7, "Blue", False),
+    ("Delaware", "DE", 3, "Blue", False),
+    ("Florida", "FL", 29, "Sun Swing", True),
+    ("Georgia", "GA", 16, "Sun Swing", True),
+    ("Hawaii", "HI", 4, "Blue", False),
+    ("Idaho", "ID", 4, "Red", False),
+    ("Illinois", "IL", 20, "Blue", False),
+    ("Indiana", "IN", 11, "Red", False),
+    ("Iowa", "IA", 6, "Swing", True),
+    ("Kansas", "KS", 6, "Red", False),
+    ("Kentucky", "KY", 8, "Red", False),
+    ("Louisiana", "LA", 8, "Red", False),
+    ("Maine", "ME", 4, "Blue", False),
+    ("Maryland", "MD", 10, "Blue", False),
+    ("Massachusetts", "MA", 11, "Blue", False),
+    ("Michigan", "MI", 16, "Swing", True),
+    ("Minnesota", "MN", 10, "Blue", True),
+    ("Mississippi", "MS", 6, "Red", False),
+    ("Missouri", "MO", 10, "Red", False),
+    ("Montana", "MT", 3, "Red", False),
+    ("Nebraska", "NE", 5, "Red", False),
+    ("Nevada", "NV", 6, "Blue", True),
+    ("New Hampshire", "NH", 4, "Swing", True),
+    ("New Jersey", "NJ", 14, "Blue", False),
+    ("New Mexico", "NM", 5, "Blue", False),
+    ("New York", "NY", 29, "Blue", False),
+    ("North Carolina", "NC", 15, "Sun Swing", True),
+    ("North Dakota", "ND", 3, "Red", False),
+    ("Ohio", "OH", 18, "Swing", True),
+    ("Oklahoma", "OK", 7, "Red", False),
+    ("Oregon", "OR", 7, "Blue", False),
+    ("Pennsylvania", "PA", 20, "Swing", True),
+    ("Rhode Island", "RI", 4, "Blue", False),
+    ("South Carolina", "SC", 9, "Red", False),
+    ("South Dakota", "SD", 3, "Red", False),
+    ("Tennessee", "TN", 11, "Red", False),
+    ("Texas", "TX", 38, "Sun Swing", True),
+    ("Utah", "UT", 6, "Red", False),
+    ("Vermont", "VT", 3, "Blue", False),
+    ("Virginia", "VA", 13, "Blue", False),
+    ("Washington", "WA", 12, "Blue", False),
+    ("West Virginia", "WV", 5, "Red", False),
+    ("Wisconsin", "WI", 10, "Swing", True),
+    ("Wyoming", "WY", 3, "Red", False),
 ]
 
 # Fixed value: the district votes outside the state table.
 EXTERNAL_VOTES = ("D", 3)
 
-# States that are not safely blue, by class; all others are Blue.
-RED = "AL AK AR ID IN KS KY LA MS MO MT NE ND OK SC SD TN UT WV WY".split()
-SWING = "IA MI NH OH PA WI".split()
-SUN_SWING = "AZ FL GA NC TX".split()
-
-# Battlegrounds of the error tables.
-BATTLEGROUND = "AZ FL GA IA MI MN NC NH NV OH PA TX WI".split()
-
-
-def state_class(code: str) -> str:
-    for name, codes in (("Red", RED), ("Swing", SWING), ("Sun Swing", SUN_SWING)):
-        if code in codes:
-            return name
-    return "Blue"
-
 
 def state_dimension(spark: SparkSession) -> DataFrame:
     """One row per state: name, code, votes, class, battleground flag."""
-    rows = [(n, c, v, state_class(c), c in BATTLEGROUND) for n, c, v in STATES]
     schema = "unit STRING, code STRING, ev BIGINT, class STRING, is_battleground BOOLEAN"
-    return broadcast_inline(spark, rows, schema)
+    return broadcast_inline(spark, STATES, schema)

@@ -162,7 +162,7 @@ def test_counties(spark):
 
 
 def test_state_table(spark):
-    assert len(STATES) == 50 and sum(v for _, _, v in STATES) + EXTERNAL_VOTES[1] == 538
+    assert len(STATES) == 50 and sum(row[2] for row in STATES) + EXTERNAL_VOTES[1] == 538
     counts = {r[0]: r[1] for r in state_dimension(spark).groupBy("class").count().collect()}
     assert counts == {"Red": 20, "Blue": 19, "Swing": 6, "Sun Swing": 5}
     assert state_dimension(spark).filter("is_battleground").count() == 13

@@ -17,6 +17,7 @@ from panelcast.operators.panel import (
     strongest,
     wide_to_long,
 )
+from panelcast.plans import domain
 from pyspark.sql import functions as F
 
 
@@ -142,3 +143,16 @@ def test_histogram_bins(spark):
     assert [got["a", b]["rows"] for b in range(1, 6)] == [2, 2, 2, 2, 3]
     assert got["flat", 1]["rows"] == 2 and got["flat", 1]["bin_to"] == 3.0
     assert got["a", 5]["bin_to"] == 10.0
+
+
+def test_national_tables_come_from_the_written_panel(spark, small):
+    """The monthly panel is the one scan of the orders."""
+    monthly = domain.cut_lineage(domain.monthly_panel(spark, small))
+    for df in (domain.quarterly_growth(monthly), domain.national_conditions(monthly)):
+        assert "orders.parquet" not in "".join(df.inputFiles())
+        assert df.count() > 0
+
+
+def test_strongest_units_shuffle_the_orders_once(spark, small):
+    plan = domain.subunit_totals(spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
