@@ -26,7 +26,8 @@ BLOCK_HASHES = 500_000
 #: Rows with full sets that are sent to Python at once.
 SET_ROWS = 200
 PERCENT = 80
-#: Documents with candidates whose ids are sent to all tasks: 8 bytes each.
+#: Documents with candidates, their clusters, or nodes that are branched further, whose ids are
+#: sent to all tasks up to this number: 16 bytes each.
 MEMBERS = 1_000_000
 #: Leaves compare two bits of each signature place, which agree by chance in a quarter. A pair
 #: at a similarity of 0.8 agrees in 108.8 of 128 with a deviation of 4.0; fewer than this
@@ -152,19 +153,23 @@ def candidate_links(classes: DataFrame, trees: int = TREES, depth: int = DEPTH,
     level = sets.select("rep", "signature", roots.alias("path"))
     found = None
     for d in range(1, depth + 1):
-        nodes = written(
-            level.select(F.explode(_branches(F.col("path"), F.col("signature"))).alias("path"), "rep"), "tree-nodes"
-        )
-        sizes = nodes.groupBy("path").agg(F.count("*").alias("n"), F.min("rep").alias("least")).where("n > 1")
-        shared = written(nodes.join(sizes, "path"), "tree-nodes")
-        small = shared.where(F.col("n") <= leaf).select("path", "rep")
+        branched = level.select("rep", "signature", F.explode(_branches(F.col("path"), F.col("signature"))).alias("path"))
+        nodes = written(branched.select("path", "rep"), "tree-nodes")
+        counts = nodes.groupBy("path").agg(F.count("*").alias("n"), F.min("rep").alias("least"))
+        sizes = written(counts.where("n > 1"), "node-sizes")
+        small = nodes.join(sizes.where(F.col("n") <= leaf).select("path"), "path", "left_semi")
         briefs = small.join(classes.select("rep", "brief"), "rep").select("path", "rep", "brief")
         links = by_group(briefs, "path").mapInArrow(_compare_leaves, "a long, b long")
-        large = shared.where(F.col("n") > leaf)
+        large = sizes.where(F.col("n") > leaf).select("path", "least")
+        few = large.count() <= MEMBERS
+        large = F.broadcast(large) if few else large
         if d == depth:
-            links = links.unionByName(large.select(F.col("rep").alias("a"), F.col("least").alias("b")))
+            links = links.unionByName(nodes.join(large, "path").select(F.col("rep").alias("a"), F.col("least").alias("b")))
+        elif few:
+            # The signatures stay where they are: the nodes to go on with are sent to them.
+            level = branched.join(large, "path", "left_semi")
         else:
-            level = large.select("path", "rep").join(sets, "rep")
+            level = nodes.join(large, "path", "left_semi").join(sets, "rep")
         links = written(links.where("a <> b").distinct(), "candidate-links")
         found = links if found is None else found.unionByName(links)
     return found
