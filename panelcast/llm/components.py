@@ -35,10 +35,19 @@ class LocalSets:
             self.parent = up
 
 
+def _settled(pairs: DataFrame) -> bool:
+    """Whether every larger end has one smaller end that is no larger end itself: stars only."""
+    ends = pairs.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        pairs.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    )
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return nodes.agg(F.count_if((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0)))).first()[0] == 0
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``component``, the smallest node reachable, for every node of ``edges`` (a, b).
 
-    Alternates two steps until nothing changes: every larger neighbour of a node is hung on
+    Alternates two steps until only stars are left: every larger neighbour of a node is hung on
     the node's smallest neighbour, then every node's smaller neighbours are. Both
     keep the components and shorten paths, so the rounds grow with the logarithm of the
     longest path. Each round is written to the shared folder. Loops and repeated edges
@@ -46,8 +55,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     directed = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
     pairs = written(directed.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    state = None
-    while True:
+    while not _settled(pairs):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -59,9 +67,6 @@ def components(edges: DataFrame) -> DataFrame:
             .unionByName(least.withColumnRenamed("m", "v"))
         )
         pairs = written(small.where("u <> v").distinct(), "edges")
-        seen = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == tuple(seen):
-            return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-                pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            )
-        state = tuple(seen)
+    return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
+        pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    )

@@ -264,7 +264,7 @@ def verified_links(docs: DataFrame, clusters: DataFrame, size: int, percent: int
     texts = docs.join(members, docs["doc_id"] == members["rep"]).select("cluster", "rep", "n", "text")
     sets = written(texts.mapInArrow(_full_sets(size), "cluster long, rep long, n long, hashes array<bigint>"), "full-sets", 2000)
     held = F.greatest(F.count("*") / block, F.sum(F.size("hashes")) / BLOCK_HASHES)
-    blocks = sets.groupBy("cluster").agg(F.ceil(held).cast("int").alias("blocks"))
+    blocks = small_side(sets.groupBy("cluster").agg(F.ceil(held).cast("int").alias("blocks")), MEMBERS)
     none = F.lit(None).cast("long")
     sets = sets.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     links = _links(sets.withColumn("part", none), percent)
@@ -283,7 +283,10 @@ def verified_links(docs: DataFrame, clusters: DataFrame, size: int, percent: int
     parted = written(_with_component(large, links), "parted-sets")
     weights = parted.groupBy("cluster", "component").agg(F.count("*").alias("w"))
     largest = weights.groupBy("cluster").agg(F.max_by("component", F.struct("w", "component")).alias("largest"), F.count("*").alias("k"))
-    open_sets = parted.join(largest.where("k > 1"), "cluster").withColumn("part", F.col("component"))
+    unsettled = small_side(largest.where("k > 1"), MEMBERS)
+    if unsettled.isEmpty():
+        return links
+    open_sets = parted.join(unsettled, "cluster").withColumn("part", F.col("component"))
     outside = open_sets.where("component <> largest")
     chunks = outside.groupBy("cluster").agg(F.ceil(held).cast("int").alias("chunks"))
     # Every block meets every chunk of the members outside, in a group of its own.
