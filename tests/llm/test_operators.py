@@ -365,6 +365,16 @@ def test_clusters_larger_than_a_block(spark):
     assert reach(14, got) == reach(14, links) and len(set(reach(14, links))) == 2
 
 
+def test_briefs_count_equal_places():
+    rng = np.random.default_rng(3)
+    signatures = rng.integers(0, 1 << 32, (20, minhash.SIGNATURE), dtype=np.uint32)
+    signatures[1:, :100] = signatures[0, :100]
+    m = np.frombuffer(b"".join(map(minhash.brief, signatures)), np.uint64).reshape(20, -1)
+    for i in range(20):
+        expected = ((signatures[i + 1 :] & 3) == (signatures[i] & 3)).sum(axis=1)
+        assert minhash.equal_places(m, i).tolist() == expected.tolist()
+
+
 def test_near_documents(spark, docs, empty):
     size = 2
     rng = random.Random(8)
