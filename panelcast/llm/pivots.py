@@ -11,15 +11,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm.components import LocalSets, components
+from panelcast.llm.components import components
 from panelcast.llm.shared import by_group, sorted_groups, table, written
 
 #: Nearest reference points that describe a vector, in order.
 PREFIX = 8
-#: Reference points two vectors must share to be compared.
-SHARED = 2
 #: Most reference points; their vectors are what is sent to executors.
 PIVOTS = 4096
+#: Cosine that no two reference points exceed, so that a dense group hangs on one point.
+APART = 0.8
+#: Vectors of a label up to which all are compared with each other.
+WHOLE = 1024
 #: Vectors of an inverted list that one task compares with each other.
 BLOCK = 1024
 LEAST_COSINE = 0.98
@@ -52,8 +54,25 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _describe(pivots: dict[int, np.ndarray], prefix: int):
-    """One row for each reference point in a vector's prefix; the prefix travels along."""
+def _thinned(vectors: list, apart: float) -> np.ndarray:
+    """Unit vectors of which no two have a cosine above ``apart``, those standing for most others first."""
+    unit = np.array(vectors, dtype=np.float64)
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    kept, stands, left = [], [], np.arange(len(unit))
+    while len(left):
+        near = unit[left] @ unit[left[0]] > apart
+        near[0] = True
+        kept.append(left[0])
+        stands.append(np.count_nonzero(near))
+        left = left[~near]
+    return unit[np.array(kept)[np.argsort(-np.array(stands), kind="stable")]]
+
+
+def _describe(pivots: dict[int, np.ndarray], prefix: int, large: set[tuple[str, int]]):
+    """One row for each reference point in a vector's prefix; the prefix travels along.
+
+    Vectors of a label outside ``large`` are all in one list.
+    """
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -62,20 +81,35 @@ def _describe(pivots: dict[int, np.ndarray], prefix: int):
             for label, rep, n, vector in zip(rows["label"], rows["rep"], rows["n"], rows["vector"], strict=True):
                 v = np.asarray(vector)
                 unit = v / np.linalg.norm(v)
-                points = pivots.get(len(v))
+                points = pivots.get(len(v)) if (label, len(v)) in large else None
                 nearest = [-1] if points is None else np.argsort(-(points @ unit), kind="stable")[:prefix].tolist()
-                out += [(label, len(v), p, rep, n, vector, nearest) for p in nearest]
-            types = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int32())]
+                out += [(label, len(v), p, min(nearest), rep, n, vector, nearest) for p in nearest]
+            types = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int32())]
             columns = list(zip(*out, strict=True)) or [()] * len(types)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(c), t) for c, t in zip(columns, types, strict=True)],
-                ["label", "size", "pivot", "rep", "n", "vector", "prefix"],
+                ["label", "size", "pivot", "earliest", "rep", "n", "vector", "prefix"],
             )
 
     return describe
 
 
-def _compare(least: float, shared: int):
+def _local_components(near: np.ndarray, linked: np.ndarray) -> np.ndarray:
+    """For each place the first place it is connected to; every place is expanded once."""
+    roots, seen = np.arange(len(near)), np.zeros(len(near), bool)
+    for start in linked:
+        if seen[start]:
+            continue
+        seen[start] = True
+        stack = [start]
+        while stack:
+            new = np.flatnonzero(near[stack.pop()] & ~seen)
+            seen[new], roots[new] = True, start
+            stack.extend(new)
+    return roots
+
+
+def _compare(least: float):
     """Links inside one block, or between two; each pair counts in its first shared list only."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +124,6 @@ def _compare(least: float, shared: int):
             holds[np.repeat(np.arange(len(rows)), [len(p) for p in prefixes]), at] = 1
             earlier = holds[:, points < pivot]
             near = unit @ unit.T >= least
-            near &= holds @ holds.T >= min(shared, len(prefixes[0]))
             near &= earlier @ earlier.T == 0
             if low != high:
                 own = np.array(own)
@@ -99,11 +132,7 @@ def _compare(least: float, shared: int):
             linked = np.flatnonzero(near.any(axis=1))
             if not len(linked):
                 continue
-            sets = LocalSets(len(rows))
-            for i in linked:
-                for j in np.flatnonzero(near[i]):
-                    sets.join(int(i), int(j))
-            roots = sets.roots()
+            roots = _local_components(near, linked)
             links = near.astype(np.int64) @ np.array(times, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -121,19 +150,22 @@ def near_vectors(
     vectors: DataFrame,
     least: float = LEAST_COSINE,
     prefix: int = PREFIX,
-    shared: int = SHARED,
     most_pivots: int = PIVOTS,
     block: int = BLOCK,
+    whole: int = WHOLE,
 ) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every vector.
 
-    Vectors of a label with equal components are one class, so copies are never compared. Each
-    class is described by its ``prefix`` nearest reference points, in order; it is listed under
-    each of them, and classes of a list that share at least ``shared`` points are verified by
-    their cosine. Reference points are classes with the smallest key digests: a
-    sample that grows with the square root of the classes, up to ``most_pivots``. Lists longer
-    than ``block`` are compared in pairs of blocks, so none is skipped and no pair is written:
-    a group returns each member's number of links and its local component.
+    Vectors of a label with equal components are one class, so copies are never compared. Labels
+    of up to ``whole`` classes are compared completely. In larger ones each class is described by its
+    ``prefix`` nearest reference points; it is listed under each of them, and all
+    classes of a list are verified by their cosine. Reference points are thinned from the classes
+    with the smallest key digests, a sample that grows with the square root of the classes, up
+    to ``most_pivots``: no two are closer than a cosine of ``APART``, so members of a dense group
+    hang on the same points. Lists longer than ``block`` are compared in pairs of blocks, so
+    none is skipped and no pair is written: a group returns each member's number of
+    links and its local component. Classes of a long list that were all compared in one and the same
+    earlier list are not compared with each other again.
 
     Vectors that are null, empty, zero, or hold nulls or non-finite numbers, and those
     without a label, link with nothing. Repeated rows count as vectors of their own; vectors
@@ -153,27 +185,44 @@ def near_vectors(
     by_size: dict[int, list] = {}
     for r in sample:
         by_size.setdefault(len(r["vector"]), []).append(r["vector"])
-    pivots = {size: (m := np.array(v)) / np.linalg.norm(m, axis=1)[:, None] for size, v in by_size.items()}
+    pivots = {size: _thinned(v, APART) for size, v in by_size.items()}
+    # At most one row for each ``whole`` classes.
+    counts = classes.groupBy("label", F.size("vector").alias("size")).agg(F.count("*").alias("m")).where(F.col("m") > whole)
+    large = {(r["label"], r["size"]) for r in counts.collect()}
     listed = written(
         classes.select("label", "rep", "n", "vector").mapInArrow(
-            _describe(pivots, prefix),
-            "label string, size int, pivot int, rep long, n long, vector array<double>, prefix array<int>",
+            _describe(pivots, prefix, large),
+            "label string, size int, pivot int, earliest int, rep long, n long, vector array<double>, prefix array<int>",
         ),
         "pivot-lists",
     )
     lists = ["label", "size", "pivot"]
-    blocks = listed.groupBy(*lists).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks >= 1")
-    mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    sublists = listed.groupBy(*lists, "earliest").agg(F.count("*").alias("m"))
+    # Members of the largest sublist that share an earlier point have met there: their blocks skip each other.
+    blocks = (
+        sublists.groupBy(*lists)
+        .agg(F.sum("m").alias("m"), F.max(F.struct("m", "earliest")).alias("most"))
+        .withColumn("met", F.when((F.col("m") > block) & (F.col("most.earliest") < F.col("pivot")), F.col("most.earliest")))
+        .withColumn("met_m", F.when(F.col("met").isNotNull(), F.col("most.m")).otherwise(0))
+        .withColumn("loose", F.ceil((F.col("m") - F.col("met_m")) / block).cast("int"))
+        .withColumn("blocks", F.col("loose") + F.ceil(F.col("met_m") / block).cast("int"))
+        .select(*lists, "met", "loose", "blocks")
+    )
+    is_met = F.coalesce(F.col("earliest") == F.col("met"), F.lit(False))
+    place = lambda low, n: low + F.pmod(F.xxhash64("rep"), n).cast("int")
+    others = F.when(is_met, F.col("loose")).otherwise(F.col("blocks"))
     placed = (
         listed.join(blocks, lists)
-        .withColumn("own", mine)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("own", F.when(is_met, place(F.col("loose"), F.col("blocks") - F.col("loose"))).otherwise(place(F.lit(0), F.col("loose"))))
+        .withColumn("others", others)
+        .where("others > 0")
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
         .select(
             *lists, F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "rep", "n", "vector", "prefix", "own"
         )
     )
     found = written(
-        by_group(placed, *lists, "low", "high").mapInArrow(_compare(least, shared), "a long, b long, links long"), "vector-links"
+        by_group(placed, *lists, "low", "high").mapInArrow(_compare(least), "a long, b long, links long"), "vector-links"
     )
     links = found.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     joined = components(found.select("a", "b"))

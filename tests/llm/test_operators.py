@@ -348,6 +348,28 @@ def test_vectors(spark, block):
     assert pivots.near_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("whole", "block"), [(0, 1024), (0, 200), (4000, 1024)])
+def test_vectors_of_a_dense_group(spark, whole, block):
+    """A third of all vectors are near copies, a fifth lie loosely around them, the rest are near pairs."""
+    rng = np.random.default_rng(4)
+    n, size = 3000, 64
+    centre = rng.normal(size=size)
+    v = rng.normal(size=(n, size))
+    v[:1000] = centre + rng.uniform(0.03, 0.12, (1000, 1)) * v[:1000]
+    v[1000:1600] = centre + rng.uniform(0.2, 0.6, (600, 1)) * v[1000:1600]
+    v[2300:] = v[1600:2300] + 0.1 * v[2300:]
+    df = spark.createDataFrame([(i, x.tolist(), "a") for i, x in enumerate(v)], "vec_id long, embedding array<double>, label string")
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    links = unit @ unit.T >= 0.98
+    np.fill_diagonal(links, False)
+    got = {r["vec_id"]: r["n_links"] for r in pivots.near_vectors(df, whole=whole, block=block).collect()}
+    found = np.array([got[i] for i in range(n)])
+    expected = links.sum(axis=1)
+    assert (found <= expected).all() and expected[:1000].mean() > 900
+    least = 1.0 if whole else 0.999
+    assert found.sum() >= least * expected.sum() and found[1600:].sum() >= least * expected[1600:].sum()
+
+
 def test_clusters_larger_than_a_block(spark):
     """Blocks of three sets: heads, then the members outside the largest component, find all links."""
     rng = random.Random(8)
