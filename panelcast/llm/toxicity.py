@@ -2,8 +2,9 @@
 
 Two words are compared by the letter triples they share as subsequences, each weighted by how
 far it is spread, so letters put between or left out of an insult lower the kernel a
-little and do not hide it. A sentence is read as its words; words learn
-from the labels of the documents they occur in, and a document scores as its most toxic word.
+little and do not hide it. Words learn from the labels of the documents they occur in. The machine
+that scores is trained on whole labelled documents: the sum of the maps of all their words, and the
+decisions of their most toxic words.
 """
 
 from __future__ import annotations
@@ -33,6 +34,12 @@ TRAIN_DOCS = 20_000
 TRAIN_WORDS = 8_000
 #: Times that the top words of clean documents are added as negative examples.
 ROUNDS = 2
+#: Decisions of the most toxic words of a document that its machine sees.
+TOPS = 5
+#: Weight on the coefficients of the machine of documents, over features of equal spread.
+DOCUMENT_PENALTY = 1e-2
+#: Word maps that a worker remembers while it reads the training documents.
+MAPS = 100_000
 
 _SYMBOLS = 32
 #: Signs that stand for letters inside a word.
@@ -137,50 +144,82 @@ class Triples:
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """Decision weights over letter triples, and the line from the top word to a probability."""
+    """Decision weights of words over letter triples, and the machine of documents.
+
+    ``evidence`` holds what a word adds to its document, over letter triples; ``tops`` the
+    weights of the top decisions; ``usual`` is what a word adds on average. ``slope`` and ``offset`` lead to a probability.
+    """
 
     weights: np.ndarray
     bias: float
     slope: float
     offset: float
+    evidence: np.ndarray | None = None
+    tops: tuple[float, ...] = (1.0, *[0.0] * (TOPS - 1))
+    usual: float = 0.0
+
+    def decide(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Distance from the separating plane of words, and what they add to their document.
 
-    def decide(self, words: list[str]) -> np.ndarray:
-        """Distance from the separating plane; words without a triple have the bias."""
-        out = np.full(len(words), self.bias)
+        Words without a triple have the bias and add nothing.
+        """
+        out, adds = np.full(len(words), self.bias), np.zeros(len(words))
         for places, code, weight in features(words):
             norm = np.sqrt((weight**2).sum(axis=1))
-            out[places] += (self.weights[code] * weight).sum(axis=1) / np.where(norm > 0, norm, 1)
-        return out
+            norm = np.where(norm > 0, norm, 1)
+            out[places] += (self.weights[code] * weight).sum(axis=1) / norm
+            if self.evidence is not None:
+                adds[places] += (self.evidence[code] * weight).sum(axis=1) / norm
+        return out, adds
 
-    def probability(self, top: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * top + self.offset, -700, 700)))
+    def probability(self, decision: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * decision + self.offset, -700, 700)))
 
 
 class TopWord:
-    """The largest decision among the words of a text, each distinct word decided once."""
+    """Decisions of the words of a text, each distinct word decided once."""
 
     def __init__(self, model: ToxicityModel, limit: int = 500_000):
         self.model, self.limit = model, limit
         self.known: dict[str, float] = {}
+        self.adds: dict[str, float] = {}
 
     def _learn(self, found: list[str]) -> None:
         cut = [windows(normal(u)) for u in found]
-        flat = [w for ws in cut for w in ws]
-        decided = self.model.decide(flat)
+        decided, adds = self.model.decide([w for ws in cut for w in ws])
         at = 0
         for unit, ws in zip(found, cut, strict=True):
             self.known[unit] = float(decided[at : at + len(ws)].max())
+            self.adds[unit] = float(adds[at : at + len(ws)].sum())
             at += len(ws)
 
-    def of(self, texts: list[str | None]) -> np.ndarray:
+    def tops(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The largest decisions of each text, in falling order and limited to twice the margin, and
+        the sum of what its words add beyond the usual, over the root of their number."""
         if len(self.known) > self.limit:
             self.known.clear()
+            self.adds.clear()
         read = [units(t) for t in texts]
         new = {u for us in read for u in us}.difference(self.known)
         if new:
             self._learn(list(new))
-        get = self.known.__getitem__
-        return np.array([max(map(get, us), default=self.model.bias) for us in read])
+        # Words that a text does not have count as clean ones at the margin.
+        least = min(self.model.bias, -1.0)
+        top, total = np.full((len(texts), TOPS), least), np.zeros(len(texts))
+        for row, us in enumerate(read):
+            if us:
+                decided = np.fromiter(map(self.known.__getitem__, us), float, len(us))
+                largest = np.sort(decided if len(us) <= TOPS else np.partition(decided, -TOPS)[-TOPS:])[::-1]
+                top[row, : len(largest)] = largest
+                top[row, len(largest) :] = min(largest[-1], least)
+                if self.model.evidence is not None:
+                    total[row] = (sum(map(self.adds.__getitem__, us)) - self.model.usual * len(us)) / np.sqrt(len(us))
+        return np.clip(top, -2, 2), total
+
+    def of(self, texts: list[str | None]) -> np.ndarray:
+        """The decision of the machine of documents."""
+        top, total = self.tops(texts)
+        return top @ np.array(self.model.tops) + total
 
     def words(self, texts: list[str | None]) -> list[str | None]:
         """Of texts just decided: the normal form of the top word, at most one window of it."""
@@ -252,19 +291,82 @@ def _word_counts(rows: DataFrame) -> DataFrame:
     )
 
 
-def _train(words: list[str], y: np.ndarray, weight: np.ndarray) -> ToxicityModel:
-    """Landmarks of both kinds, the Nystroem map through them, and the machine on it."""
-    weight = np.where(y > 0, weight * weight[y < 0].sum() / weight[y > 0].sum(), weight)
-    triples = Triples.of(words)
-    marks = _landmarks(triples, np.where(y > 0, weight, 0), LANDMARKS * 2 // 3)
-    marks += _landmarks(triples, np.where(y < 0, weight, 0), LANDMARKS // 3)
+def _nystroem(triples: Triples, importance: list[tuple[np.ndarray, int]]) -> np.ndarray:
+    """The map through landmarks of each importance: one column a dimension, over letter triples."""
+    marks = [m for each, n in importance for m in _landmarks(triples, each, n)]
     z = np.array(marks)
     values, vectors = np.linalg.eigh(z @ z.T)
     kept = values > 1e-6
-    root = vectors[:, kept] / np.sqrt(values[kept])
-    x = np.column_stack([triples.kernel(m) for m in marks]) @ root
+    return z.T @ (vectors[:, kept] / np.sqrt(values[kept]))
+
+
+def _mapped(words: list[str], through: np.ndarray) -> np.ndarray:
+    """Maps of words; words without a triple lie at the origin."""
+    out = np.zeros((len(words), through.shape[1]), np.float32)
+    for low in range(0, len(words), 1000):
+        triples = Triples.of(words[low : low + 1000])
+        if len(triples.word):
+            starts = np.flatnonzero(np.concatenate([[True], triples.word[1:] != triples.word[:-1]]))
+            maps = through[triples.code] * triples.weight.astype(np.float32)[:, None]
+            out[low + triples.word[starts]] = np.add.reduceat(maps, starts, axis=0)
+    return out
+
+
+def _train(words: list[str], y: np.ndarray, weight: np.ndarray) -> tuple[ToxicityModel, np.ndarray]:
+    """Landmarks of both kinds, and the machine of words on the map through them."""
+    weight = np.where(y > 0, weight * weight[y < 0].sum() / weight[y > 0].sum(), weight)
+    triples = Triples.of(words)
+    halves = [(np.where(y > 0, weight, 0), LANDMARKS * 2 // 3), (np.where(y < 0, weight, 0), LANDMARKS // 3)]
+    through = _nystroem(triples, halves)
+    x = np.column_stack([np.bincount(triples.word, c[triples.code] * triples.weight, triples.n) for c in through.T])
     w, bias = _train_machine(x, y, weight)
-    return ToxicityModel(z.T @ (root @ w), float(bias), 1.0, 0.0)
+    return ToxicityModel(through @ w, float(bias), 1.0, 0.0), through
+
+
+def _documents(rows: DataFrame, model: ToxicityModel, through: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of each training document: top decisions, sum of its words' maps, label and number of words."""
+    narrow = through.astype(np.float32)
+
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        top = TopWord(model)
+        known: dict[str, int] = {}
+        maps = np.zeros((0, narrow.shape[1]), np.float32)
+        for whole in batches:
+            for low in range(0, len(whole), 100):
+                batch = whole.iloc[low : low + 100]
+                texts = list(batch["text"])
+                tops, _ = top.tops(texts)
+                read = [units(t) for t in texts]
+                if len(known) > MAPS:
+                    known, maps = {}, maps[:0]
+                new = list({u for us in read for u in us}.difference(known))
+                cut = [windows(normal(u)) for u in new]
+                if cut:
+                    at = np.cumsum([0] + [len(ws) for ws in cut])[:-1]
+                    more = np.add.reduceat(_mapped([w for ws in cut for w in ws], narrow), at, axis=0)
+                    known.update(zip(new, range(len(maps), len(maps) + len(new)), strict=True))
+                    maps = np.concatenate([maps, more])
+                total = [maps[np.array([known[u] for u in us], int)].sum(axis=0) for us in read]
+                yield pd.DataFrame({"tops": list(tops), "total": total, "label": batch["label"].to_numpy(), "n": list(map(len, read))})
+
+    got = rows.mapInPandas(summed, "tops array<double>, total array<float>, label int, n long").toPandas()
+    return np.stack(got["tops"]), np.stack(got["total"]).astype(float), got["label"].to_numpy(), got["n"].to_numpy(float)
+
+
+def _of_documents(rows: DataFrame, model: ToxicityModel, through: np.ndarray) -> ToxicityModel:
+    """``model`` with the machine trained on whole documents."""
+    tops, total, label, n = _documents(rows, model, through)
+    usual = total.sum(axis=0) / max(1.0, n.sum())
+    # A text of usual words lies at the origin, however long it is.
+    x = np.column_stack([tops, (total - n[:, None] * usual) / np.sqrt(np.maximum(n, 1))[:, None]])
+    spread = x.std(axis=0)
+    spread = np.where(spread > 1e-9, spread, np.inf)
+    y = np.where(label > 0, 1.0, -1.0)
+    weight = np.where(label > 0, (label == 0).sum() / max(1, (label > 0).sum()), 1.0)
+    w, _ = _train_machine((x - x.mean(axis=0)) / spread, y, weight, DOCUMENT_PENALTY)
+    w = w / spread
+    slope, offset = _platt(x @ w, label.astype(float))
+    return ToxicityModel(model.weights, model.bias, slope, offset, through @ w[TOPS:], tuple(w[:TOPS].tolist()), float(usual @ w[TOPS:]))
 
 
 def _tops(rows: DataFrame, model: ToxicityModel) -> pd.DataFrame:
@@ -273,7 +375,7 @@ def _tops(rows: DataFrame, model: ToxicityModel) -> pd.DataFrame:
     def tops(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         top = TopWord(model)
         for batch in batches:
-            decisions = top.of(list(batch["text"]))
+            decisions = top.tops(list(batch["text"]))[0][:, 0]
             yield pd.DataFrame({"top": decisions, "word": top.words(list(batch["text"])), "label": batch["label"]})
 
     return rows.mapInPandas(tops, "top double, word string, label int").toPandas()
@@ -285,7 +387,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", train_docs: in
     Words whose sentences are toxic at least eight times as often as others', beyond chance, are the
     positive examples, and the most frequent other words the negative ones, weighted by their
     sentences up to 50. The top words of clean documents are then added as
-    negatives and the machine is trained again.
+    negatives and the machine of words is trained again. The machine of documents is then trained on
+    all of them; where no word is an example, it sees the map of the most frequent words alone.
     """
     rows = written(labelled(docs, labels, label, train_docs), "training-texts")
     totals = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -303,11 +406,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", train_docs: in
     positive = counts.where(signal).orderBy(F.desc("toxic"), "word").limit(TRAIN_WORDS // 4).collect()
     negative = counts.where(~signal).orderBy(F.desc("clean"), "word").limit(TRAIN_WORDS // 2).collect()
     if not positive or not negative:
-        return ToxicityModel(none, 0.0, 0.0, float(np.log(totals[1] / totals[0])))
+        if not positive and not negative:
+            return ToxicityModel(none, 0.0, 0.0, float(np.log(totals[1] / totals[0])))
+        frequent = [*positive, *negative]
+        importance = np.array([r["toxic"] + r["clean"] for r in frequent], float)
+        through = _nystroem(Triples.of([r["word"] for r in frequent]), [(importance, LANDMARKS)])
+        return _of_documents(rows, ToxicityModel(none, 0.0, 1.0, 0.0), through)
     words = [r["word"] for r in [*positive, *negative]]
     y = np.array([1.0] * len(positive) + [-1.0] * len(negative))
     weight = np.array([min(r["toxic"], 50) for r in positive] + [min(r["clean"], 50) for r in negative], float)
-    model = _train(words, y, weight)
+    model, through = _train(words, y, weight)
     for _ in range(ROUNDS):
         seen = _tops(rows, model)
         clean = seen[(seen["label"] == 0) & (seen["top"] > -0.9)].sort_values(["top", "word"], ascending=False)
@@ -315,15 +423,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", train_docs: in
         words += hard
         y = np.concatenate([y, -np.ones(len(hard))])
         weight = np.concatenate([weight, np.full(len(hard), 50.0)])
-        model = _train(words, y, weight)
-    seen = _tops(rows, model)
-    slope, offset = _platt(seen["top"].to_numpy(), seen["label"].to_numpy(float))
-    return ToxicityModel(model.weights, model.bias, slope, offset)
+        model, through = _train(words, y, weight)
+    return _of_documents(rows, model, through)
 
 
-def _platt(top: np.ndarray, label: np.ndarray) -> tuple[float, float]:
+def _platt(decision: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     """The logistic line through the decisions, with a little weight on small coefficients."""
-    x, w = np.column_stack([top, np.ones(len(top))]), np.zeros(2)
+    x, w = np.column_stack([decision, np.ones(len(decision))]), np.zeros(2)
     ridge = np.diag([1e-2, 1e-6])
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -338,7 +444,7 @@ def _platt(top: np.ndarray, label: np.ndarray) -> tuple[float, float]:
 def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) -> DataFrame:
     """Every row with ``score`` and ``predicted``; only the text decides.
 
-    A null, empty or wordless text scores as the plane's own bias. Equal texts score
+    A null, empty or wordless text scores as one of usual clean words. Equal texts score
     equally, repeated rows stay, an empty table stays empty.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)

@@ -281,6 +281,25 @@ def test_toxicity(spark, docs, empty):
     assert {r["score"] for r in toxicity.score_toxicity(docs, blank).collect()} == {0.5}
 
 
+def test_toxicity_of_several_words(spark):
+    """One word of a family says nothing, three of them make a document toxic."""
+    rng = random.Random(6)
+    rows, labels = [], []
+    for i in range(600):
+        w = prose(40, 9000 + i).split()
+        for _ in range(3 if i % 4 == 0 else i % 2):
+            w.insert(rng.randrange(40), "grumbold" + rng.choice(VOCABULARY))
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(i % 4 == 0)))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(table.where("doc_id < 400"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = toxicity.score_toxicity(table.where("doc_id >= 400"), model).collect()
+    truth = dict(labels)
+    missed = sum(truth[r["doc_id"]] and not r["predicted"] for r in got)
+    false = sum(r["predicted"] and not truth[r["doc_id"]] for r in got)
+    assert len(got) == 200 and missed <= 2 and false <= 4
+
+
 def test_kernel_equals_its_definition():
     def phi(word):
         c, out = toxicity.codes(word), {}
