@@ -33,6 +33,8 @@ SYLLABLES = {
     "latin": "ba be bi bo da de di do fa fe fi fo ga go ka ke ki ko la le li lo ma me mi mo na ne ni no ra re ri ro sa se si so ta te ti to",
     "cyrillic": "ба бе би бо да де ди до ка ке ки ко ла ле ли ло ма ме ми мо на не ни но ра ре ри ро са се си со та те ти то",
 }
+#: Draws that an entity makes in a space before it draws from a larger one.
+PATIENCE = 3
 #: Endings of given names by script and gender.
 ENDINGS = {("latin", "f"): "na", ("latin", "m"): "ton", ("cyrillic", "f"): "на", ("cyrillic", "m"): "тон"}
 
@@ -109,44 +111,54 @@ def _card(value: Column, stream: Column) -> Column:
     return F.concat(body, check.cast("string"))
 
 
-def _octet(c: Column, i: Column, stream: Column) -> Column:
-    """As many digits, still a byte."""
+def _octet(c: Column, i: Column, stream: Column, grown: Column) -> Column:
+    """As many digits, still a byte; any byte in a grown space."""
     return (
-        F.when(F.length(c) == 1, 1 + _pick(stream, i, 9))
+        F.when(grown > 0, _pick(stream, i, 256))
+        .when(F.length(c) == 1, 1 + _pick(stream, i, 9))
         .when(F.length(c) == 2, 10 + _pick(stream, i, 90))
         .otherwise(100 + _pick(stream, i, 155))
         .cast("string")
     )
 
 
-def _invented(value: Column, stream: Column, gender: str | None) -> Column:
-    """A name of the script of ``value``; given names end by gender."""
+def _invented(value: Column, stream: Column, gender: str | None, grown: Column) -> Column:
+    """A name of the script of ``value``; given names end by gender. A grown space has longer names."""
 
     def of(script: str) -> Column:
         syllables = F.split(F.lit(SYLLABLES[script]), " ")
-        drawn = [F.element_at(syllables, _pick(stream, i, len(SYLLABLES[script].split())) + 1) for i in range(3)]
-        return F.initcap(F.concat(*drawn, F.lit(ENDINGS[script, gender] if gender else "")))
+        places = F.sequence(F.lit(0), F.least(grown + 2, F.lit(40)))
+        drawn = F.transform(places, lambda i: F.element_at(syllables, _pick(stream, i, len(SYLLABLES[script].split())) + 1))
+        return F.initcap(F.concat(F.array_join(drawn, ""), F.lit(ENDINGS[script, gender] if gender else "")))
 
     return F.when(value.rlike(r"\p{IsCyrillic}"), of("cyrillic")).otherwise(of("latin"))
 
 
 def surrogate(key: str, kind: Column, value: Column, attempt: Column) -> Column:
-    """The replacement of a canonical value, the same wherever it occurs."""
+    """The replacement of a canonical value, the same wherever it occurs.
+
+    The space grows with the attempts: names and the local parts of addresses get longer, quads
+    take any byte, phone numbers any exchange. Other numbers keep their length: as many values as
+    they have real ones must be free.
+    """
     s = _stream(key, kind, value, attempt)
+    grown = F.floor(attempt / PATIENCE).cast("int")
+    more = F.transform(F.sequence(F.lit(1), F.least(grown, F.lit(40))), lambda i: F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), _pick(s, 64 - i, 26) + 1, 1))
+    more = F.when(grown > 0, F.array_join(more, "")).otherwise("")
     local, host = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
     phone = F.concat(
         F.substring(_reshaped(value, s), 1, 3),
-        F.when(F.substring(value, 4, 3) == "555", "555").otherwise(F.substring(_reshaped(value, s), 4, 3)),
+        F.when((F.substring(value, 4, 3) == "555") & (grown == 0), "555").otherwise(F.substring(_reshaped(value, s), 4, 3)),
         F.substring(_reshaped(value, s), 7, 4),
     )
-    named = [F.when(kind == f"given-{g}", _invented(value, s, g)) for g in "fm"]
+    named = [F.when(kind == f"given-{g}", _invented(value, s, g, grown)) for g in "fm"]
     return F.coalesce(
-        F.when(kind == "email", F.concat(_reshaped(local, s), F.lit("@"), _reshaped(host, F.reverse(s)), F.lit(".example.org"))),
+        F.when(kind == "email", F.concat(_reshaped(local, s), more, F.lit("@"), _reshaped(host, F.reverse(s)), F.lit(".example.org"))),
         F.when(kind == "phone", phone),
-        F.when(kind == "ip", F.array_join(F.transform(F.split(value, r"\."), lambda c, i: _octet(c, i, s)), ".")),
+        F.when(kind == "ip", F.array_join(F.transform(F.split(value, r"\."), lambda c, i: _octet(c, i, s, grown)), ".")),
         F.when(kind == "secret", _reshaped(value, s, "abcdef")),
         F.when(kind == "card", _card(value, s)),
-        F.when(kind == "family", _invented(value, s, None)),
+        F.when(kind == "family", _invented(value, s, None, grown)),
         *named,
         _reshaped(value, s),
     )

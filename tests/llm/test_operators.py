@@ -489,3 +489,18 @@ def test_surrogates_stay_distinct(spark):
     assert len(drawn) == len(got) == len(values)
     assert not drawn & {("ip" if "." in v else "family", v) for (v,) in values}
     assert {tuple(r) for r in pii.resolve(ents, "k").collect()} == {tuple(r) for r in got}
+
+
+def test_surrogates_of_exhausted_spaces(spark):
+    """Every quad of single digits is real, and more names and short addresses occur than their first spaces hold."""
+    quads = "concat_ws('.', id % 9 + 1, floor(id / 9) % 9 + 1, floor(id / 81) % 9 + 1, floor(id / 729) % 9 + 1)"
+    ents = (
+        spark.range(6561).selectExpr("'ip' AS type", f"{quads} AS value")
+        .unionByName(spark.range(80_000).selectExpr("'family' AS type", "concat('name', id) AS value"))
+        .unionByName(spark.range(18_000).selectExpr("'email' AS type", "concat(char(19968 + id % 150), '@', char(19968 + floor(id / 150)), '.x') AS value"))
+    )
+    ents = ents.selectExpr("type", "value").distinct()
+    got = pii.resolve(ents, "k").collect()
+    drawn = {(r["type"], r["surrogate"].lower()) for r in got}
+    assert len(drawn) == len(got) == ents.count() and not drawn & {(r["type"], r["value"]) for r in got}
+    assert all(re.fullmatch(pii.PATTERNS["ip"].replace("+", ""), r["surrogate"]) for r in got if r["type"] == "ip")
