@@ -12,8 +12,11 @@ TITLES = {
     "f": ("Mrs", "Ms", "Miss", "Frau", "Mme", "Madame", "Sra", "Señora", "Госпожа"),
     "m": ("Mr", "Herr", "Monsieur", "Sr", "Señor", "Господин"),
 }
-_NAME = r"\p{Lu}[\p{L}'-]{1,30}+"
 _TITLE = "|".join(t for titles in TITLES.values() for t in titles)
+#: A capitalised word that is no form of address, without a genitive at its end.
+_NAME = rf"(?!(?:{_TITLE})(?!\p{{L}}))\p{{Lu}}(?:\p{{L}}|'(?!s(?!\p{{L}}))(?=\p{{L}})|-(?=\p{{L}})){{1,30}}+"
+#: Words of small letters inside a name; they stay.
+_PARTICLE = r"(?:(?:van|von)(?: de[rnm]?)?|vom|de(?: l[ao]s?)?|del|della|di|dos|du|bin|ibn|ter)"
 _BYTE = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 #: Entities in the order in which they are looked for at a place.
 PATTERNS = {
@@ -23,7 +26,7 @@ PATTERNS = {
     "ip": rf"(?<![0-9.])(?:{_BYTE}\.){{3}}{_BYTE}(?![0-9]|\.[0-9])",
     "secret": r"(?<![0-9A-Za-z])[0-9a-fA-F]{32,64}(?![0-9A-Za-z])",
     "card": r"(?<![0-9A-Za-z])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?![0-9A-Za-z])",
-    "name": rf"(?<!\p{{L}})(?:{_TITLE})\.? {_NAME}(?: {_NAME})?",
+    "name": rf"(?<!\p{{L}})(?:{_TITLE})\.? {_NAME}(?:(?: {_PARTICLE})? {_NAME})*+",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What every entity holds; texts without it are not searched.
@@ -54,19 +57,19 @@ def _gender(surface: Column) -> Column:
 
 
 def _parts(surface: Column) -> Column:
-    """Entities of a surface as (type, canonical value); a name has a family and maybe a given name."""
+    """Entities of a surface as (type, canonical value, place of the word).
+
+    The last word of a name is its family name, capitalised ones between it and the form of address are given names.
+    """
     kind, digits = _kind(surface), _digits(surface)
     words = F.split(surface, " ")
-    part = lambda t, v: F.struct(t.alias("type"), v.alias("value"))
-    family = part(F.lit("family"), F.lower(F.element_at(words, -1)))
-    given = part(F.concat(F.lit("given-"), _gender(surface)), F.lower(F.element_at(words, 2)))
+    part = lambda t, v, i: F.struct(t.alias("type"), v.alias("value"), i.cast("int").alias("at"))
+    given = F.concat(F.lit("given-"), _gender(surface))
+    each = F.transform(words, lambda w, i: part(F.when(i == F.size(words) - 1, "family").otherwise(given), F.lower(w), i))
+    names = F.filter(each, lambda p: (p["at"] > 0) & F.element_at(words, p["at"] + 1).rlike(r"\A\p{Lu}"))
     number = F.when(kind == "phone", F.right(digits, F.lit(10))).otherwise(digits)
     value = F.when(kind.isin("phone", "ssn", "card"), number).otherwise(F.lower(surface))
-    return (
-        F.when((kind == "name") & (F.size(words) > 2), F.array(given, family))
-        .when(kind == "name", F.array(family))
-        .otherwise(F.array(part(kind, value)))
-    )
+    return F.when(kind == "name", names).otherwise(F.array(part(kind, value, F.lit(0))))
 
 
 def _stream(key: str, kind: Column, value: Column, attempt: Column) -> Column:
@@ -189,8 +192,8 @@ def resolve(entities: DataFrame, key: str) -> DataFrame:
 
 
 def _filled(surface: Column, drawn: Column) -> Column:
-    """The surrogate in the form of the surface: its separators, case and prefix digits."""
-    kind, digits, first = _kind(surface), _digits(surface), F.element_at(drawn, 1)
+    """The surrogates, by place, in the form of the surface: its separators, case and prefix digits."""
+    kind, digits, first = _kind(surface), _digits(surface), F.element_at(drawn, F.lit(0))
     fill = F.concat(F.substring(digits, F.lit(1), F.length(digits) - F.length(first)), first)
     numbers = F.aggregate(
         F.split(surface, ""),
@@ -201,17 +204,30 @@ def _filled(surface: Column, drawn: Column) -> Column:
         lambda a: a["out"],
     )
     words = F.split(surface, " ")
-    name = F.concat_ws(" ", F.element_at(words, 1), F.array_join(drawn, " "))
+    name = F.array_join(F.transform(words, lambda w, i: F.coalesce(F.element_at(drawn, i), w)), " ")
     shouted = (F.upper(surface) == surface) & surface.rlike(r"\p{L}")
     cased = lambda c: F.when(shouted, F.upper(c)).otherwise(c)
     return F.when(kind.isin("phone", "ssn", "card"), numbers).when(kind == "name", name).otherwise(cased(first))
 
 
+def _mentions(segment: Column, names: Column, pattern: Column) -> Column:
+    """A piece of text with the names of the whole text replaced where they stand alone."""
+
+    def other(word: Column) -> Column:
+        drawn = F.element_at(names, F.lower(word))
+        return F.coalesce(F.when(F.upper(word) == word, F.upper(drawn)).otherwise(drawn), word)
+
+    found = F.transform(F.regexp_extract_all(segment, pattern, F.lit(0)), other)
+    pieces = F.zip_with(F.split(segment, pattern, -1), found, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    return F.when(pattern.isNull(), segment).otherwise(F.array_join(pieces, ""))
+
+
 def replace_personal_data(docs: DataFrame, key: str = "surrogate key") -> DataFrame:
     """``docs`` with surrogates in ``text`` and two columns more: ``n_entities`` and ``entity_types``.
 
     An entity, whatever its format, has one surrogate in the whole corpus, and different
-    entities of a type have different ones. The same ``key`` and corpus give the same texts.
+    entities of a type have different ones. A name found behind a form of address is replaced wherever
+    its words stand capitalised in that text; such mentions are not counted in ``n_entities``. The same ``key`` and corpus give the same texts.
     Texts without an entity stay as they are and move nowhere; null stays null. Equal texts and
     repeated rows get equal results; ids play no part, so null or repeated ids do no harm; other
     columns stay, and columns called like the two new ones are replaced.
@@ -224,8 +240,8 @@ def replace_personal_data(docs: DataFrame, key: str = "surrogate key") -> DataFr
     text_key = F.sha2(F.col("text").cast("binary"), 256)
     found = marked.select(text_key.alias("text_key"), F.explode(F.array_distinct(surfaces)).alias("surface")).distinct()
     parts = written(
-        found.select("text_key", "surface", F.posexplode(_parts(F.col("surface"))).alias("at", "part")).select(
-            "text_key", "surface", "at", F.col("part.type").alias("type"), F.col("part.value").alias("value")
+        found.select("text_key", "surface", F.explode(_parts(F.col("surface"))).alias("part")).select(
+            "text_key", "surface", F.col("part.at").alias("at"), F.col("part.type").alias("type"), F.col("part.value").alias("value")
         ),
         "entities",
     )
@@ -233,14 +249,28 @@ def replace_personal_data(docs: DataFrame, key: str = "surrogate key") -> DataFr
     drawn = (
         parts.join(resolved, ["type", "value"])
         .groupBy("text_key", "surface")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "surrogate"))), lambda x: x["surrogate"]).alias("drawn"))
+        .agg(
+            F.map_from_entries(F.collect_list(F.struct("at", "surrogate"))).alias("drawn"),
+            F.collect_list(F.when(F.col("type").isin("family", "given-f", "given-m"), F.struct("value", "type", "surrogate"))).alias("names"),
+        )
     )
+    # Of a word that is both a given and a family name, the first by type counts.
+    once = F.array_sort(F.array_distinct(F.flatten(F.collect_list("names"))))
+    first = F.filter("once", lambda x, i: (i == 0) | (F.get(F.col("once"), i - 1)["value"] != x["value"]))
+    longest = F.reverse(F.array_sort(F.transform(F.map_keys("names"), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))))
+    alternatives = F.array_join(F.transform(longest, lambda x: x["w"]), "|")
     maps = (
-        drawn.select("text_key", "surface", _filled(F.col("surface"), F.col("drawn")).alias("filled"))
+        drawn.select("text_key", "surface", _filled(F.col("surface"), F.col("drawn")).alias("filled"), "names")
         .groupBy("text_key")
-        .agg(F.map_from_entries(F.collect_list(F.struct("surface", "filled"))).alias("filled"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("surface", "filled"))).alias("filled"), once.alias("once"))
+        .withColumn("names", F.map_from_entries(F.transform(first, lambda x: F.struct(x["value"], x["surrogate"]))))
+        .withColumn(
+            "pattern",
+            F.when(F.size("names") > 0, F.concat(F.lit(r"(?<!\p{L})(?=\p{Lu})(?iu:"), alternatives, F.lit(r")(?!\p{L})"))),
+        )
+        .select("text_key", "filled", "names", "pattern")
     )
-    segments = F.split("text", ANY, -1)
+    segments = F.transform(F.split("text", ANY, -1), lambda s: _mentions(s, F.col("names"), F.col("pattern")))
     replaced = F.transform(surfaces, lambda s: F.element_at(F.col("filled"), s))
     glued = F.array_join(F.zip_with(segments, replaced, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     kinds = F.array_sort(F.array_distinct(F.transform(surfaces, _kind)))

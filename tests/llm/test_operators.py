@@ -504,3 +504,21 @@ def test_surrogates_of_exhausted_spaces(spark):
     drawn = {(r["type"], r["surrogate"].lower()) for r in got}
     assert len(drawn) == len(got) == ents.count() and not drawn & {(r["type"], r["value"]) for r in got}
     assert all(re.fullmatch(pii.PATTERNS["ip"].replace("+", ""), r["surrogate"]) for r in got if r["type"] == "ip")
+
+
+def test_surrogates_of_whole_names(spark):
+    """Names of more than two words, particles, and mentions without a form of address."""
+    texts = [
+        "Mr John Fitzgerald Kennedy spoke. Kennedy left; KENNEDY's hat, Fitzgerald and John stayed, kennedy did not.",
+        "Mrs Anna Bell called. Bell said so, Anna Bell did. Bells rang on Bell-Street. Mr Bell's dog.",
+        "Frau Eva von der Tann Mr Bell, Herr Tann.",
+        "Bell and Anna are alone here.",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r["text"] for r in pii.replace_personal_data(df).orderBy("doc_id").collect()]
+    first = re.fullmatch(r"Mr (\w+ton) (\w+ton) (\w+) spoke\. (\w+) left; (\w+)'s hat, (\w+) and (\w+) stayed, kennedy did not\.", got[0])
+    assert first[3] == first[4] == first[5].capitalize() != "Kennedy" and (first[1], first[2]) == (first[7], first[6])
+    second = re.fullmatch(r"Mrs (\w+na) (\w+) called\. (\w+) said so, (\w+) (\w+) did\. Bells rang on (\w+)-Street\. Mr (\w+)'s dog\.", got[1])
+    assert {second[i] for i in (3, 5, 6, 7)} == {second[2]} and second[1] == second[4]
+    third = re.fullmatch(r"Frau (\w+na) von der (\w+) Mr (\w+), Herr (\w+)\.", got[2])
+    assert third[2] == third[4] and third[3] == second[2] and got[3] == texts[3]
