@@ -318,7 +318,7 @@ def _train(words: list[str], y: np.ndarray, weight: np.ndarray) -> tuple[Toxicit
     triples = Triples.of(words)
     halves = [(np.where(y > 0, weight, 0), LANDMARKS * 2 // 3), (np.where(y < 0, weight, 0), LANDMARKS // 3)]
     through = _nystroem(triples, halves)
-    x = np.column_stack([np.bincount(triples.word, c[triples.code] * triples.weight, triples.n) for c in through.T])
+    x = np.column_stack([np.bincount(triples.word, c[triples.code] * triples.weight, triples.n) for c in np.ascontiguousarray(through.T)])
     w, bias = _train_machine(x, y, weight)
     return ToxicityModel(through @ w, float(bias), 1.0, 0.0), through
 
