@@ -25,9 +25,14 @@ def test_matches_sql(spark, con, medium, name):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_runs_on_the_smallest_tables(spark, small, name):
     df = QUERIES[name](spark, small)
-    source = {"op2": "pages", "op7": "embeddings"}.get(name.split("_")[0], "documents")
+    operator = name.split("_")[0]
+    source = {"op2": "pages", "op7": "embeddings"}.get(operator, "documents")
     rows = spark.read.parquet(f"{small}/{source}.parquet").count()
-    assert df.count() >= rows if name.startswith("op10") else df.count() == rows
+    found = df.count()
+    if operator in ("op11", "op13"):
+        assert found > 0
+    else:
+        assert found >= rows if operator == "op10" else found == rows
     assert len(df.columns) == len(set(df.columns))
 
 
