@@ -5,10 +5,11 @@ predictors are merged first (a binomial likelihood only needs their summed
 successes and trials) and the merged design is written to the shared checkpoint
 folder. Up to a counted number of keys, the per-key state is broadcast: the design
 is read in place, wherever its rows are, and only partial sums are shuffled.
-Beyond that, rows and state meet by key and a salt taken from the predictors, so a
-key with a third of the rows is still split. State is written once per round of
-steps, which keeps the plan short and lets a lost executor replay a few steps at
-most.
+Beyond that, the design is written once in the partitioning of the steps: by key, and where keys
+were counted to hold more than an even share of the rows, by a salt taken from the predictors as
+well. A step then moves the state, one row a key and salt, and never the design. State is
+written once per round of steps, which keeps the plan short and lets a lost executor
+replay a few steps at most.
 """
 
 from __future__ import annotations
@@ -21,12 +22,11 @@ from pyspark.sql import functions as F
 
 from panelcast.operators.moments import quoted
 from panelcast.operators.ols import sweep
-from panelcast.session import cut_lineage
+from panelcast.session import cut_lineage, cut_lineage_in_place
 
 MAX_STEPS = 25
 # keys whose state (a few numbers each) may be broadcast
 BROADCAST_KEYS = 50_000
-SALTS = 32
 # steps chained between two checkpoints; a key that has settled stays where it is
 STEPS_PER_ROUND = 2
 DEVIANCE_TOLERANCE = 1e-8
@@ -60,11 +60,33 @@ def binomial_design(
     predictors = [f"x_{i}" for i in range(len(xs))]
     # the saturated likelihood belongs to the rows as they came, not to the merged ones
     saturated = F.expr(f"sum({_x_log_x('s', 'n')} + {_x_log_x('(n - s)', 'n')}) AS saturated")
-    merged = rows.groupBy(*keys, *predictors).agg(
-        F.sum("s").alias("s"), F.sum("n").alias("n"), saturated
+    return rows.groupBy(*keys, *predictors).agg(F.sum("s").alias("s"), F.sum("n").alias("n"), saturated)
+
+
+def heavy_keys(design: DataFrame, keys: Sequence[str], share: int) -> DataFrame:
+    """Keys with more than a ``share``-th of the rows, and into how many parts each is split.
+
+    There are fewer than ``share`` of them, whatever the data.
+    """
+    rows = cut_lineage(design.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")))
+    even = -(-(rows.agg(F.sum("rows")).first()[0] or 0) // share)
+    parts = F.ceil(F.col("rows") / F.lit(max(even, 1))).cast("int")
+    return cut_lineage(rows.filter(F.col("rows") > even).select(*keys, parts.alias("salts")))
+
+
+def spread_design(design: DataFrame, heavy: DataFrame, keys: Sequence[str], k: int, parts: int) -> DataFrame:
+    """The design written in the partitioning and order of the steps."""
+    predictors = ", ".join(f"x_{i}" for i in range(k))
+    salted = design.join(F.broadcast(heavy), list(keys), "left").selectExpr(
+        *[f"`{c}`" for c in design.columns], f"CAST(pmod(xxhash64({predictors or '0'}), coalesce(salts, 1)) AS INT) AS salt"
     )
-    salt = f"pmod(xxhash64({', '.join(predictors)}), {SALTS})"
-    return merged.selectExpr("*", f"CAST({salt} AS INT) AS salt")
+    return cut_lineage_in_place(salted.repartition(parts, *keys, "salt").sortWithinPartitions(*keys, "salt"))
+
+
+def copied_state(state: DataFrame, heavy: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row of state for each part of a key."""
+    joined = state.join(F.broadcast(heavy), list(keys), "left")
+    return joined.withColumn("salt", F.explode(F.expr("sequence(0, coalesce(salts, 1) - 1)"))).drop("salts")
 
 
 def _start(design: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
@@ -88,18 +110,18 @@ def _step(
     keys: Sequence[str],
     k: int,
     tolerance: float,
-    broadcast: bool,
+    heavy: DataFrame | None,
 ) -> DataFrame:
-    """Deviance at the current coefficients, then one Newton step where it still moves."""
+    """Deviance at the current coefficients, then one Newton step.
+
+    Without ``heavy`` the state is broadcast; with it the design lies by key and salt.
+    """
     p = k + 1
     z = ["1D", *[f"(x_{i} - c_{i})" for i in range(k)]]
     eta = " + ".join(f"beta_{i} * {z[i]}" for i in range(p))
-    by = list(keys) if broadcast else [*keys, "salt"]
-    if broadcast:
-        joined = design.drop("salt", "saturated").join(F.broadcast(state), by)
-    else:
-        copies = state.selectExpr("*", f"explode(sequence(0, {SALTS - 1})) AS salt")
-        joined = design.drop("saturated").join(copies, by)
+    by = list(keys) if heavy is None else [*keys, "salt"]
+    other = F.broadcast(state) if heavy is None else copied_state(state, heavy, keys)
+    joined = design.drop("saturated").join(other, by)
     rows = (
         joined
         .selectExpr("*", f"{eta} AS eta")
@@ -122,7 +144,7 @@ def _step(
     totals = rows.groupBy(*by).agg(
         *constant, *[F.expr(f"sum({e}) AS {name}") for name, e in summed.items()]
     )
-    if not broadcast:
+    if heavy is not None:
         totals = totals.groupBy(*keys).agg(
             *constant, *[F.expr(f"sum({name}) AS {name}") for name in summed]
         )
@@ -137,7 +159,7 @@ def _step(
     ).selectExpr("*", "2D * (saturated - likelihood) AS now")
     settled = f"coalesce(abs(now - deviance) / (abs(now) + 0.1D) < {tolerance!r}D, false)"
     moved = [
-        f"CASE WHEN settled OR q_inv_{i} IS NULL THEN beta_{i} ELSE beta_{i} + q_a_{i}_{p} END AS beta_{i}"
+        f"CASE WHEN q_inv_{i} IS NULL THEN beta_{i} ELSE beta_{i} + q_a_{i}_{p} END AS beta_{i}"
         for i in range(p)
     ]
     return solved.selectExpr("*", f"{settled} AS settled").selectExpr(
@@ -170,17 +192,23 @@ def logit_by_key(
 
     Returns ``b0``, ``b_i`` (NULL when the key cannot identify it), ``deviance``,
     ``steps`` and ``converged``. Stops when the relative change of the deviance
-    falls under ``tolerance`` for all keys, or after ``max_steps``.
+    falls under ``tolerance`` for all keys, or after ``max_steps``; the step of that last look is
+    still taken, so settled coefficients are exact to the last digits.
     """
     k = len(xs)
     design = cut_lineage(binomial_design(df, keys, successes, trials, xs))
     few = _at_most(design, broadcast_keys) or _at_most(design.select(*keys).distinct(), broadcast_keys)
     state = _start(design, keys, k)
+    heavy = None
+    if not few:
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        heavy = heavy_keys(design, keys, parts)
+        design = spread_design(design, heavy, keys, k, parts)
     finished = []
     # one more round than steps: the last one only measures the final deviance
     for done in range(0, max_steps + 1, STEPS_PER_ROUND):
         for _ in range(min(STEPS_PER_ROUND, max_steps + 1 - done)):
-            state = _step(design, state, keys, k, tolerance, few)
+            state = _step(design, state, keys, k, tolerance, heavy)
         state = cut_lineage(state)
         finished.append(state.filter("converged"))
         state = state.filter("NOT converged")

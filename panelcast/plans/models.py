@@ -411,10 +411,14 @@ def _side_probabilities(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _binomial(sides: DataFrame) -> DataFrame:
+    return binomial_draws(sides, ["unit"], "trials", {"d": "p_d", "r": "p_r"}, 10_000, seed=42)
+
+
 def draw_distribution(spark: SparkSession, folder: str) -> DataFrame:
     """10,000 outcome draws per unit: win rate, mean, median and tails of the margin."""
     sides = cut_lineage(_side_probabilities(spark, folder))
-    draws = binomial_draws(sides, ["unit"], "trials", {"d": "p_d", "r": "p_r"}, 10_000, seed=42)
+    draws = _binomial(sides)
     summary = margin_summary(draws, ["unit"], "d", "r", QUANTILES)
     return round_columns(summary.join(sides.select("unit", "converged"), "unit"))
 
@@ -433,6 +437,13 @@ def draw_histogram(spark: SparkSession, folder: str) -> DataFrame:
     return round_columns(histogram(cut_lineage(margins), ["unit", "scenario"], "margin", 100), 3)
 
 
+def binomial_histogram(spark: SparkSession, folder: str) -> DataFrame:
+    """Distribution of the margins of 10,000 binomial draws per unit, 100 bins, edges to three digits."""
+    draws = _binomial(cut_lineage(_side_probabilities(spark, folder)))
+    margins = cut_lineage(draws.select("unit", two_party_margin("d", "r").alias("margin")))
+    return round_columns(histogram(margins, ["unit"], "margin", 100), 3)
+
+
 def turnout_scenarios(spark: SparkSession, folder: str) -> DataFrame:
     """1,000 turnout draws per unit and scenario."""
     sides = cut_lineage(_side_probabilities(spark, folder))
@@ -472,6 +483,7 @@ QUERIES = {
         binomial_with_demographics,
         draw_distribution,
         draw_histogram,
+        binomial_histogram,
         turnout_scenarios,
     )
 }

@@ -666,20 +666,87 @@ PROBABILITIES = [
 ]
 
 
+def _uniform(*parts: str) -> str:
+    text = f"concat_ws('|', '42', {', '.join(parts)}, CAST(draw AS VARCHAR))"
+    return f"(CAST(('0x' || substr(md5({text}), 1, 13)) AS BIGINT) / 4503599627370496.0)"
+
+
+_SIDES = [
+    *PROBABILITIES,
+    (
+        "sides",
+        f"""SELECT unit, max(trials) AS trials, bool_and(converged) AS converged, {_pick('D', 'probability')} AS p_d, {_pick('R', 'probability')} AS p_r
+            FROM responses GROUP BY 1""",
+    ),
+]
+
+
+#: Binomial draws by the inverse of the distribution, summed from the weights around its most likely count.
+_BINOMIAL_DRAWS = [
+    *_SIDES,
+    (
+        "chances",
+        """SELECT unit, 'd' AS side, trials AS n, p_d AS p FROM sides WHERE p_d IS NOT NULL
+           UNION ALL SELECT unit, 'r', trials, p_r FROM sides WHERE p_r IS NOT NULL""",
+    ),
+    (
+        "support",
+        """SELECT *, unnest(generate_series(CAST(greatest(0, floor(n * p - 9 * sqrt(n * p * (1 - p)) - 40)) AS BIGINT),
+                  CAST(least(n, ceil(n * p + 9 * sqrt(n * p * (1 - p)) + 40)) AS BIGINT))) AS k FROM chances""",
+    ),
+    (
+        "walked",
+        """SELECT *, sum(CASE WHEN k = low THEN 0.0 ELSE ln(((n - k + 1) * p) / (k * (1 - p))) END)
+                  OVER (PARTITION BY unit, side ORDER BY k ROWS UNBOUNDED PRECEDING) AS walk
+           FROM (SELECT *, min(k) OVER (PARTITION BY unit, side) AS low FROM support)""",
+    ),
+    ("weighed", "SELECT *, exp(walk - max(walk) OVER (PARTITION BY unit, side)) AS weight FROM walked"),
+    (
+        "summed",
+        "SELECT *, sum(weight) OVER (PARTITION BY unit, side ORDER BY k ROWS UNBOUNDED PRECEDING) AS upto FROM weighed",
+    ),
+    (
+        "stretches",
+        """SELECT unit, side, k, coalesce(lag(share) OVER (PARTITION BY unit, side ORDER BY k), 0.0) AS low, share AS high
+           FROM (SELECT unit, side, k, upto / max(upto) OVER (PARTITION BY unit, side) AS share FROM summed)""",
+    ),
+    (
+        "drawn_counts",
+        f"""SELECT a.unit, a.side, draw, max(k) AS k
+            FROM (SELECT unit, side, draw, {_uniform('unit', 'side')} AS u
+                  FROM chances, (SELECT unnest(range(1, 10001)) AS draw)) a
+            JOIN stretches s ON a.unit = s.unit AND a.side = s.side AND u >= low AND u < high GROUP BY 1, 2, 3""",
+    ),
+    (
+        "drawn",
+        """SELECT unit, converged, draw, (d - r) * 100.0 / nullif(d + r, 0) AS margin
+           FROM (SELECT unit, draw, max(CASE WHEN side = 'd' THEN k END) AS d, max(CASE WHEN side = 'r' THEN k END) AS r
+                 FROM drawn_counts GROUP BY 1, 2) RIGHT JOIN sides USING (unit)""",
+    ),
+]
+
+_MARGIN_QUANTILES = ", ".join(r(f"quantile_cont(margin, {q})", f"q{round(q * 100):02d}") for q in (0.05, 0.5, 0.95))
+
+
+def _draw_distribution() -> str:
+    body = f"""SELECT unit, count(margin) AS draws, {r('avg(CAST(margin > 0 AS INTEGER))', 'win_rate')},
+               {r('avg(margin)', 'mean_margin')}, {_MARGIN_QUANTILES}, bool_and(converged) AS converged FROM drawn GROUP BY 1"""
+    return query(["features", "train", "score"], body, _BINOMIAL_DRAWS)
+
+
+def _binomial_histogram() -> str:
+    more, body = _histogram(["unit"], "drawn", "margin", 100, 3)
+    return query(["features", "train", "score"], body, [*_BINOMIAL_DRAWS, *more])
+
+
 def _turnout_draws() -> list[tuple[str, str]]:
     scenarios = _values(TURNOUT_SCENARIOS, "scenario, d_lo, d_hi, r_lo, r_hi")
 
     def u(side: str) -> str:
-        text = f"concat_ws('|', '42', unit, scenario, '{side}', CAST(draw AS VARCHAR))"
-        return f"(CAST(('0x' || substr(md5({text}), 1, 13)) AS BIGINT) / 4503599627370496.0)"
+        return _uniform("unit", "scenario", f"'{side}'")
 
     return [
-        *PROBABILITIES,
-        (
-            "sides",
-            f"""SELECT unit, max(trials) AS trials, bool_and(converged) AS converged, {_pick('D', 'probability')} AS p_d, {_pick('R', 'probability')} AS p_r
-                FROM responses GROUP BY 1""",
-        ),
+        *_SIDES,
         (
             "votes",
             f"""SELECT unit, scenario, converged, trials * p_d * (d_lo + {u('d')} * (d_hi - d_lo)) AS d,
@@ -691,11 +758,8 @@ def _turnout_draws() -> list[tuple[str, str]]:
 
 
 def _turnout() -> str:
-    quantiles = ", ".join(
-        r(f"quantile_cont(margin, {q})", f"q{round(q * 100):02d}") for q in (0.05, 0.5, 0.95)
-    )
     body = f"""SELECT unit, scenario, count(margin) AS draws, {r('avg(CAST(margin > 0 AS INTEGER))', 'win_rate')},
-               {r('avg(margin)', 'mean_margin')}, {quantiles}, bool_and(converged) AS converged FROM drawn GROUP BY 1, 2"""
+               {r('avg(margin)', 'mean_margin')}, {_MARGIN_QUANTILES}, bool_and(converged) AS converged FROM drawn GROUP BY 1, 2"""
     return query(["features", "train", "score"], body, _turnout_draws())
 
 
@@ -1124,7 +1188,9 @@ def statements() -> dict[str, str]:
             PROBABILITIES,
         ),
         "binomial_with_demographics": _binomial_with_demographics(),
+        "draw_distribution": _draw_distribution(),
         "draw_histogram": _draw_histogram(),
+        "binomial_histogram": _binomial_histogram(),
         "turnout_scenarios": _turnout(),
     }
     return out

@@ -50,6 +50,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_lineage_in_place(df: DataFrame) -> DataFrame:
+    """``cut_lineage`` that keeps a hash partitioning known, so later joins by it move nothing.
+
+    An adaptive plan forgets how its result lies; the repartition before gives its number of partitions.
+    """
+    conf, setting = df.sparkSession.conf, "spark.sql.adaptive.enabled"
+    before = conf.get(setting)
+    conf.set(setting, "false")
+    try:
+        return cut_lineage(df)
+    finally:
+        conf.set(setting, before)
+
+
 SMALL_SIDE_ROWS = 10_000
 
 

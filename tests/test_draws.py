@@ -1,10 +1,12 @@
 """Draws: repeatable under any partitioning, right in mean and spread."""
 
 import math
+from fractions import Fraction
 
 import pytest
 from panelcast.operators.draws import (
     binomial_draws,
+    binomial_tables,
     keyed_uniform,
     margin_summary,
     turnout_draws,
@@ -49,6 +51,50 @@ def test_mean_and_variance(spark):
         assert abs(r["v"] - variance) < 4 * variance * math.sqrt(2 / 5000)
 
 
+def binomial_cdf(n, p):
+    """Exact chances in rational numbers."""
+    p = Fraction(p)
+    total, out = Fraction(0), []
+    for k in range(n + 1):
+        total += math.comb(n, k) * p**k * (1 - p) ** (n - k)
+        out.append(float(total))
+    return out
+
+
+@pytest.mark.parametrize(("n", "p"), [(1, 0.5), (7, 0.3), (40, 0.01), (300, 0.45), (300, 0.999), (2000, 0.002)])
+def test_tables_are_the_binomial_distribution(spark, n, p):
+    df = spark.createDataFrame([("a", n, p)], "k STRING, n BIGINT, p DOUBLE")
+    row = binomial_tables(df, ["k"], "n", {"d": "p"}).first()
+    cdf = binomial_cdf(n, p)
+    assert row["upto"] == pytest.approx(cdf[row["lo"] : row["lo"] + len(row["upto"])], abs=2e-13)
+    assert row["upto"][-1] == 1.0 and (row["lo"] == 0 or cdf[row["lo"] - 1] < 2**-52)
+
+
+def test_draws_invert_the_distribution(spark):
+    df = spark.createDataFrame([("a", 60, 0.4)], "k STRING, n BIGINT, p DOUBLE")
+    u = keyed_uniform(3, F.col("k"), F.lit("d"), F.col("draw"))
+    rows = binomial_draws(df, ["k"], "n", {"d": "p"}, 3000, 3).withColumn("u", u).collect()
+    cdf = binomial_cdf(60, 0.4)
+    assert len(rows) == 3000
+    for r in rows:
+        assert r["d"] == sum(c <= r["u"] for c in cdf)
+
+
+def test_large_sizes_have_bounded_tables(spark):
+    df = spark.createDataFrame([("a", 20_000_000, 0.4), ("b", -5, 0.4)], "k STRING, n BIGINT, p DOUBLE")
+    assert binomial_tables(df.where("k = 'a'"), ["k"], "n", {"d": "p"}).select(F.size("upto")).first()[0] < 45_000
+    draws = binomial_draws(df, ["k"], "n", {"d": "p"}, 2000, 5)
+    row = draws.where("k = 'a'").agg(F.avg("d").alias("m"), F.stddev("d").alias("s")).first()
+    sd = math.sqrt(20_000_000 * 0.24)
+    assert abs(row["m"] - 8_000_000) < 4 * sd / math.sqrt(2000) and abs(row["s"] / sd - 1) < 0.1
+    assert draws.where("k = 'b' AND d IS NULL").count() == 2000
+
+
+def test_no_python_on_the_path(spark):
+    plan = draw(spark, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
 def test_keys_without_a_probability_stay_with_nulls(spark):
     rows = [("a", 10, None, 0.5), ("b", 10, 0.0, 1.0), ("c", None, 0.5, 0.5)]
     df = spark.createDataFrame(rows, "unit STRING, n BIGINT, p_d DOUBLE, p_r DOUBLE")

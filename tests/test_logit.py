@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from panelcast.operators import logit
 from panelcast.operators.logit import logit_by_key
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
@@ -120,3 +121,51 @@ def test_binomial_forecast_does_not_see_the_scored_period(spark, small, monkeypa
     after = models.binomial_per_unit(spark, small).collect()
     assert {(r["unit"], r["party"]): (r["b0"], r["b_0"]) for r in after} == before
     assert all(r["converged"] is not None for r in after)
+
+
+def many_keys(spark, keys=300, rows=9000):
+    """A third of the rows belongs to one key."""
+    df = spark.range(rows).withColumn("key", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % keys).cast("string"))
+    x = F.pmod(F.xxhash64("id"), F.lit(1000)) / 100
+    return df.select("key", F.pmod(F.col("id"), F.lit(37)).alias("s"), F.lit(40).alias("n"), x.alias("x"))
+
+
+def test_no_step_moves_the_design(spark):
+    """Beyond the broadcast limit the written design is read in place; only the state is shuffled."""
+    keys = ["key"]
+    design = logit.cut_lineage(logit.binomial_design(many_keys(spark), keys, "s", "n", ["x"]))
+    heavy = logit.heavy_keys(design, keys, 8)
+    assert [r["key"] for r in heavy.collect()] == ["0"]
+    spread = logit.spread_design(design, heavy, keys, 1, 8)
+    state = logit.cut_lineage(logit._start(design, keys, 1))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = logit._step(spread, state, keys, 1, 1e-8, heavy)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    lines = plan.splitlines()
+    at = next(i for i, line in enumerate(lines) if "Scan ExistingRDD" in line and "x_0" in line)
+    depth = lines[at].index("Scan")
+    above, edge = [], depth
+    for line in reversed(lines[:at]):
+        start = len(line) - len(line.lstrip(" :+-"))
+        if start < edge:
+            above.append(line)
+            edge = start
+    join = next(i for i, line in enumerate(above) if "SortMergeJoin" in line)
+    assert not any("Exchange" in line or "Sort " in line for line in above[:join]), plan
+    sizes = [len(p) for p in spread.rdd.glom().collect()]
+    assert max(sizes) <= 2.5 * sum(sizes) / len(sizes)
+
+
+def test_split_keys_fit_like_broadcast_ones(spark):
+    df = many_keys(spark, 40, 3000)
+    one, other = (
+        {r["key"]: (r["b0"], r["b_0"], r["converged"]) for r in logit_by_key(df, ["key"], "s", "n", ["x"], broadcast_keys=b).collect()}
+        for b in (0, 10_000)
+    )
+    assert set(one) == set(other) and all(c for _, _, c in one.values())
+    for key, (b0, b_0, _) in one.items():
+        assert math.isclose(b0, other[key][0], rel_tol=1e-9, abs_tol=1e-10)
+        assert math.isclose(b_0, other[key][1], rel_tol=1e-9, abs_tol=1e-10)
