@@ -19,10 +19,7 @@ from panelcast.session import cut_lineage, small_side
 from panelcast.sources.inline import broadcast_inline
 from panelcast.sources.readers import table
 
-# Periods and thresholds of the registered queries.
-FIRST_YEAR = 1995
-LAST_YEAR = 2001
-YEARS = list(range(FIRST_YEAR, LAST_YEAR + 1))
+# Thresholds of the registered queries.
 POLL_WEEKS = 26
 EVENT_DATE = "2024-02-01"
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
@@ -72,8 +69,9 @@ _VOTES = [
     "count_if(o_orderstatus = 'F') AS d_count",
     "count_if(o_orderstatus = 'O') AS r_count",
 ]
+_VOTE_SUMS = [f"sum({c}) AS {c}" for c in ("d", "r", "total", "trials", "d_count", "r_count")]
 _SEGMENT_VALUES = [
-    f"sum(CASE WHEN c_mktsegment = '{s}' THEN o_totalprice ELSE 0D END) AS {s.lower()}"
+    f"sum(CASE WHEN c_mktsegment = '{s}' THEN total ELSE 0D END) AS {s.lower()}"
     for s in SEGMENTS
 ]
 
@@ -87,17 +85,30 @@ def _aggregates(texts: Sequence[str]) -> list[Column]:
     return [F.expr(t) for t in texts]
 
 
-def orders_with_home(spark: SparkSession, folder: str) -> DataFrame:
-    """Orders with their customer's nation and segment: one shuffle join, pruned to five columns.
+def periods(spark: SparkSession, folder: str) -> tuple[int, int]:
+    """First and last year of the orders; both 0 where there are none."""
+    years = table(spark, folder, "orders").select(F.year("o_orderdate").alias("year"))
+    first, last = years.agg(F.min("year"), F.max("year")).first()
+    return first or 0, last or 0
 
-    A customer with an outsized share of the orders is left to adaptive skew
-    splitting, which keeps the customer side as the replicated one.
+
+def last_period(rows: DataFrame) -> int:
+    """Last year of a written panel; 0 where there is none."""
+    return rows.agg(F.max("year")).first()[0] or 0
+
+
+def monthly_values(spark: SparkSession, folder: str) -> DataFrame:
+    """Votes and turnout by month and the customer's nation and segment.
+
+    Orders are summed per customer and month before they meet their customer, so a customer with any
+    share of the orders is a few rows in the join.
     """
-    orders = table(spark, folder, "orders").select(
-        "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate"
-    )
+    orders = table(spark, folder, "orders").select("o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate")
+    summed = orders.groupBy(
+        "o_custkey", F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month")
+    ).agg(*_aggregates(_VOTES))
     customers = table(spark, folder, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    return orders.join(customers, orders.o_custkey == customers.c_custkey)
+    return summed.join(customers, summed.o_custkey == customers.c_custkey)
 
 
 def nation_names(spark: SparkSession, folder: str) -> DataFrame:
@@ -109,9 +120,9 @@ def nation_names(spark: SparkSession, folder: str) -> DataFrame:
 def unit_returns(spark: SparkSession, folder: str) -> DataFrame:
     """Votes and turnout per unit and year; a side without votes is NULL."""
     grouped = (
-        orders_with_home(spark, folder)
-        .groupBy(F.col("c_nationkey").alias("unit_id"), F.year("o_orderdate").alias("year"))
-        .agg(*_aggregates(_VOTES))
+        monthly_values(spark, folder)
+        .groupBy(F.col("c_nationkey").alias("unit_id"), "year")
+        .agg(*_aggregates(_VOTE_SUMS))
     )
     return grouped.join(nation_names(spark, folder), "unit_id").drop("unit_id")
 
@@ -119,9 +130,9 @@ def unit_returns(spark: SparkSession, folder: str) -> DataFrame:
 def segment_shares(spark: SparkSession, folder: str) -> DataFrame:
     """Share of each market segment in a unit's value, per year."""
     grouped = (
-        orders_with_home(spark, folder)
-        .groupBy(F.col("c_nationkey").alias("unit_id"), F.year("o_orderdate").alias("year"))
-        .agg(*_aggregates(["sum(o_totalprice) AS total", *_SEGMENT_VALUES]))
+        monthly_values(spark, folder)
+        .groupBy(F.col("c_nationkey").alias("unit_id"), "year")
+        .agg(*_aggregates(["sum(total) AS total", *_SEGMENT_VALUES]))
         .join(nation_names(spark, folder), "unit_id")
     )
     return grouped.select("unit", "year", *[share_of(s.lower(), "total").alias(s.lower()) for s in SEGMENTS])
@@ -161,13 +172,9 @@ def subunit_totals(spark: SparkSession, folder: str) -> DataFrame:
 def monthly_panel(spark: SparkSession, folder: str) -> DataFrame:
     """Everything the models need, per unit, year and month, from one scan of the orders."""
     grouped = (
-        orders_with_home(spark, folder)
-        .groupBy(
-            F.col("c_nationkey").alias("unit_id"),
-            F.year("o_orderdate").alias("year"),
-            F.month("o_orderdate").alias("month"),
-        )
-        .agg(*_aggregates([*_VOTES, *_SEGMENT_VALUES]))
+        monthly_values(spark, folder)
+        .groupBy(F.col("c_nationkey").alias("unit_id"), "year", "month")
+        .agg(*_aggregates([*_VOTE_SUMS, *_SEGMENT_VALUES]))
     )
     return grouped.join(nation_names(spark, folder), "unit_id").drop("unit_id")
 
@@ -235,8 +242,9 @@ def feature_rows(spark: SparkSession, folder: str) -> DataFrame:
     return features_from(yearly, incumbents(yearly))
 
 
-def train_and_score(features: DataFrame, year: int = LAST_YEAR) -> tuple[DataFrame, DataFrame]:
-    """Earlier periods to fit on, one period to predict."""
+def train_and_score(features: DataFrame, year: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Earlier periods to fit on, one period to predict: the last one of the features unless it is named."""
+    year = last_period(features) if year is None else year
     return features.filter(F.col("year") < year), features.filter(F.col("year") == year)
 
 

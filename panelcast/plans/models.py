@@ -37,7 +37,7 @@ from panelcast.operators.outcomes import (
     model_metrics,
     weighted_totals,
 )
-from panelcast.operators.panel import order_index
+from panelcast.operators.ordered import order_indexes
 from panelcast.plans import domain
 from panelcast.plans.returns import unit_classes
 from panelcast.session import cut_lineage, small_side
@@ -212,8 +212,7 @@ def interval_feed(spark: SparkSession, folder: str) -> DataFrame:
     train, score = _train(spark, folder)
     wide = interval_columns(unpooled_rows(train, score, level=LEVEL), ["unit"])
     orders = {"order_index": "d_polls", **{f"order_{c}": c for c in ("d_plus", "r_polls", "r_plus")}}
-    for name, c in orders.items():
-        wide = order_index(wide, [F.asc_nulls_first(c), "unit"], name)
+    wide = order_indexes(wide, {name: [c, "unit"] for name, c in orders.items()})
     return round_columns(interval_rows(wide, ["unit", *orders]))
 
 
@@ -273,8 +272,9 @@ def model_summaries(spark: SparkSession, folder: str) -> DataFrame:
     conditions = cut_lineage(domain.national_conditions(monthly))
     features = domain.features_from(yearly, conditions.select("year", "in_office"))
     rows = features.join(conditions, "year").withColumn("held", F.col("party") == F.col("in_office"))
-    fits = ols_by_key(rows.filter(F.col("year") < domain.LAST_YEAR), ["held"], CONDITION_MODELS)
-    now = conditions.filter(F.col("year") == domain.LAST_YEAR).withColumn(
+    last = domain.last_period(monthly)
+    fits = ols_by_key(rows.filter(F.col("year") < last), ["held"], CONDITION_MODELS)
+    now = conditions.filter(F.col("year") == last).withColumn(
         "held", F.explode(F.array(F.lit(True), F.lit(False)))
     )
     scored = predict(now.join(fits, "held"), CONDITION_MODELS)

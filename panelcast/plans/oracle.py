@@ -13,7 +13,8 @@ from panelcast.functions.student import quantile_table
 from panelcast.plans import domain
 from panelcast.sources.inline import GRADE_TIERS, TIER_WEIGHTS, TURNOUT_SCENARIOS
 
-LAST = domain.LAST_YEAR
+FIRST = "(SELECT min(CAST(year(o_orderdate) AS INTEGER)) FROM orders)"
+LAST = "(SELECT max(CAST(year(o_orderdate) AS INTEGER)) FROM orders)"
 
 
 def r(expr: str, name: str, digits: int = 6) -> str:
@@ -868,7 +869,7 @@ def statements() -> dict[str, str]:
     changes = ", ".join(
         r(f"{s} - lag({s}) OVER w", f"{s}_chng") for s in _SEGMENT_NAMES
     )
-    first, last = LAST - 2, LAST - 1
+    first, last = f"{LAST} - 2", f"{LAST} - 1"
     out = {
         "returns_scan": query(
             ["returns"],
@@ -908,14 +909,14 @@ def statements() -> dict[str, str]:
                 {r('margin - lag_margin', 'shift')}
                 FROM (SELECT *, lag(margin) OVER w AS lag_margin, lag(margin, 5) OVER w AS lag5_margin,
                              lead(margin, 2) OVER w AS lead2_margin FROM margins
-                      WINDOW w AS (PARTITION BY subunit ORDER BY year)) WHERE year > {domain.FIRST_YEAR}""",
+                      WINDOW w AS (PARTITION BY subunit ORDER BY year)) WHERE year > {FIRST}""",
         ),
         "loyal_units_shift": query(
             ["margins"],
             f"""SELECT CASE WHEN a.margin > 0 THEN 'D' ELSE 'R' END AS lean, {r('avg(b.margin - a.margin)', 'mean_shift')},
                 count(*) AS subunits
                 FROM margins a JOIN margins b USING (subunit)
-                WHERE a.year = {domain.FIRST_YEAR} AND b.year = {LAST} AND a.margin * b.margin > 0 GROUP BY 1""",
+                WHERE a.year = {FIRST} AND b.year = {LAST} AND a.margin * b.margin > 0 GROUP BY 1""",
         ),
         "polarization_table": query(
             ["margins"],
@@ -959,7 +960,7 @@ def statements() -> dict[str, str]:
             ["months"],
             f"""SELECT unit, year, {r('value_q2', 'value_q2', 2)}
                 FROM (SELECT DISTINCT unit FROM months)
-                CROSS JOIN (SELECT CAST(unnest(range({domain.FIRST_YEAR}, {LAST} + 1, 2)) AS INTEGER) AS year)
+                CROSS JOIN (SELECT CAST(unnest(range({FIRST}, {LAST} + 1, 2)) AS INTEGER) AS year)
                 LEFT JOIN (SELECT unit, year, sum(total) AS value_q2 FROM months WHERE month BETWEEN 4 AND 6 GROUP BY 1, 2)
                 USING (unit, year)""",
         ),
@@ -1000,6 +1001,17 @@ def statements() -> dict[str, str]:
                 )
             ],
         ),
+        "order_gaps": f"""
+SELECT o_orderkey, CAST(date_diff('day', lag(o_orderdate) OVER a, o_orderdate) AS INTEGER) AS days_since_last,
+  {r('o_totalprice - lag(o_totalprice) OVER a', 'price_change', 2)},
+  CAST(date_diff('day', lag(o_orderdate) OVER b, o_orderdate) AS INTEGER) AS days_since_own,
+  {r('o_totalprice - lag(o_totalprice, 3) OVER b', 'price_change_3', 2)}
+FROM orders
+WINDOW a AS (ORDER BY o_orderdate, o_orderkey), b AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""".strip(),
+        "graded_orders": f"""
+SELECT grade, o_orderstatus AS status, count(*) AS orders, {r('max(o_totalprice)', 'largest', 2)}, {r('avg(o_totalprice)', 'mean_price', 2)}
+FROM orders LEFT JOIN customer ON o_custkey = c_custkey
+LEFT JOIN {_values(domain.SEGMENT_GRADES, 'segment, grade')} ON segment = c_mktsegment GROUP BY 1, 2""".strip(),
         "ranked_units": query(
             ["subunits"],
             "SELECT *, row_number() OVER (ORDER BY margin, subunit) AS order_index FROM totals",

@@ -178,8 +178,8 @@ def poll_growth_ensemble(spark: SparkSession, folder: str) -> DataFrame:
     """0.7 x grade-weighted polls + 0.3 x growth regression, for the side in office and the other."""
     panel = _national_panel(spark, folder).filter(F.col("is_incumbent").isNotNull())
     panel = cut_lineage(panel)
-    fits = ols_by_key(panel.filter(F.col("year") < domain.LAST_YEAR), ["is_incumbent"], [GROWTH])
-    now = panel.filter(F.col("year") == domain.LAST_YEAR)
+    train, now = domain.train_and_score(panel)
+    fits = ols_by_key(train, ["is_incumbent"], [GROWTH])
     economy = predict(
         now.select("party", "is_incumbent", "growth_q2").join(fits, "is_incumbent"), [GROWTH]
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelcast.functions.cleaning import fill_from, numeric_columns, round_columns
 from panelcast.functions.shares import lean, two_party_margin, winner, winner_or_second
+from panelcast.operators.ordered import lag_any_length
 from panelcast.operators.panel import (
     assemble_features,
     change_columns,
@@ -20,12 +21,15 @@ from panelcast.operators.panel import (
     strongest,
     wide_to_long,
 )
+from panelcast.operators.skew import split_join
 from panelcast.plans import domain
 from panelcast.session import cut_lineage
 from panelcast.sources.inline import broadcast_inline
 from panelcast.sources.readers import table
 
 CLOSE = 5.0
+# The periods that the literal table names.
+LABELLED_YEARS = range(1995, 2002)
 
 
 def returns_scan(spark: SparkSession, folder: str) -> DataFrame:
@@ -49,7 +53,8 @@ def winner_labels(spark: SparkSession, folder: str) -> DataFrame:
 
 def two_period_swing(spark: SparkSession, folder: str) -> DataFrame:
     """Change between two periods in the units that were within ten points in the later one."""
-    first, last = domain.LAST_YEAR - 2, domain.LAST_YEAR - 1
+    _, now = domain.periods(spark, folder)
+    first, last = now - 2, now - 1
     units = period_columns(
         domain.unit_shares(spark, folder), ["unit"], "year", "d_pv2p", {first: "d_first", last: "d_last"}
     )
@@ -69,14 +74,15 @@ def close_units(spark: SparkSession, folder: str) -> DataFrame:
 
 def battlegrounds_per_year(spark: SparkSession, folder: str) -> DataFrame:
     """Mean number of close units per period and era; the last period arrives as fractions."""
-    scale = F.when(F.col("year") == domain.LAST_YEAR, 0.01).otherwise(1.0)
+    _, last = domain.periods(spark, folder)
+    scale = F.when(F.col("year") == last, 0.01).otherwise(1.0)
     mixed = domain.unit_shares(spark, folder).select(
         "unit", "year", (F.col("d_pv2p") * scale).alias("d_share"), (F.col("r_pv2p") * scale).alias("r_share")
     )
-    fractions = mixed.filter(F.col("year") == domain.LAST_YEAR).withColumns(
+    fractions = mixed.filter(F.col("year") == last).withColumns(
         {"d_share": F.col("d_share") * 100.0, "r_share": F.col("r_share") * 100.0}
     )
-    percents = mixed.filter(F.col("year") != domain.LAST_YEAR)
+    percents = mixed.filter(F.col("year") != last)
     close = percents.unionByName(fractions).filter(
         F.abs(F.col("d_share") - F.col("r_share")) <= CLOSE
     )
@@ -104,17 +110,19 @@ def panel_lags(spark: SparkSession, folder: str) -> DataFrame:
         {"lag_margin": ("margin", 1), "lag5_margin": ("margin", 5), "lead2_margin": ("margin", -2)},
     )
     df = df.withColumn("shift", F.col("margin") - F.col("lag_margin"))
-    return round_columns(df.filter(F.col("year") > domain.FIRST_YEAR))
+    first, _ = domain.periods(spark, folder)
+    return round_columns(df.filter(F.col("year") > first))
 
 
 def loyal_units_shift(spark: SparkSession, folder: str) -> DataFrame:
     """Mean change of margin in sub-units with the same lean in the first and last period."""
+    first, last = domain.periods(spark, folder)
     ends = period_columns(
         _subunit_margins(spark, folder),
         ["subunit"],
         "year",
         "margin",
-        {domain.FIRST_YEAR: "first_margin", domain.LAST_YEAR: "last_margin"},
+        {first: "first_margin", last: "last_margin"},
     )
     loyal = ends.withColumn("lean", lean("first_margin")).filter(
         F.col("lean") == lean("last_margin")
@@ -206,12 +214,13 @@ def feature_table(spark: SparkSession, folder: str) -> DataFrame:
 def wide_to_long_series(spark: SparkSession, folder: str) -> DataFrame:
     """One text column per year turned into rows, cast tolerantly, every second period kept."""
     second_quarter = (
-        domain.orders_with_home(spark, folder)
-        .filter(F.quarter("o_orderdate") == 2)
-        .groupBy(F.col("c_nationkey").alias("unit_id"), F.year("o_orderdate").alias("year"))
-        .agg(F.round(F.sum("o_totalprice"), 2).alias("value"))
+        domain.monthly_values(spark, folder)
+        .filter(F.col("month").between(4, 6))
+        .groupBy(F.col("c_nationkey").alias("unit_id"), "year")
+        .agg(F.round(F.sum("total"), 2).alias("value"))
     )
-    names = {y: f"value_{y}" for y in domain.YEARS}
+    first, last = domain.periods(spark, folder)
+    names = {y: f"value_{y}" for y in range(first, last + 1)}
     wide = period_columns(second_quarter, ["unit_id"], "year", "value", names)
     text = wide.select(
         "unit_id", *[fill_from(F.col(c).cast("string"), F.lit("(NA)")).alias(c) for c in names.values()]
@@ -219,7 +228,7 @@ def wide_to_long_series(spark: SparkSession, folder: str) -> DataFrame:
     numbers = numeric_columns(text, list(names.values()))
     periods = {c: int(c.rsplit("_", 1)[1]) for c in names.values()}
     long = wide_to_long(numbers, ["unit_id"], periods, "year", "value_q2")
-    named = every_kth(long, "year", 2, domain.FIRST_YEAR).join(
+    named = every_kth(long, "year", 2, first).join(
         domain.nation_names(spark, folder), "unit_id"
     )
     return round_columns(named.select("unit", "year", "value_q2"), 2)
@@ -229,7 +238,7 @@ def inline_dimension(spark: SparkSession, folder: str) -> DataFrame:
     """National shares with a literal table of period labels; periods it does not name have NULLs."""
     labels = broadcast_inline(
         spark,
-        [(y, "early" if y <= 1998 else "late", 0.5 if y <= 1998 else 1.0) for y in domain.YEARS],
+        [(y, "early" if y <= 1998 else "late", 0.5 if y <= 1998 else 1.0) for y in LABELLED_YEARS],
         "year INT, era STRING, weight DOUBLE",
     )
     national = domain.national_shares(domain.unit_returns(spark, folder))
@@ -306,6 +315,35 @@ def ranked_units(spark: SparkSession, folder: str) -> DataFrame:
     return order_index(totals, ["margin", "subunit"])
 
 
+def order_gaps(spark: SparkSession, folder: str) -> DataFrame:
+    """Every order next to the one before it, in the whole table and of its customer, by date and number."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    order = ["o_orderdate", "o_orderkey"]
+    rows = lag_any_length(orders, [], order, {"last_date": ("o_orderdate", 1), "last_price": ("o_totalprice", 1)})
+    rows = lag_any_length(rows, ["o_custkey"], order, {"own_date": ("o_orderdate", 1), "third_price": ("o_totalprice", 3)})
+    return rows.select(
+        "o_orderkey",
+        F.datediff("o_orderdate", "last_date").alias("days_since_last"),
+        F.round(F.col("o_totalprice") - F.col("last_price"), 2).alias("price_change"),
+        F.datediff("o_orderdate", "own_date").alias("days_since_own"),
+        F.round(F.col("o_totalprice") - F.col("third_price"), 2).alias("price_change_3"),
+    )
+
+
+def graded_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders per grade of their customer and status, every order joined to its customer."""
+    orders = table(spark, folder, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderstatus", "o_totalprice")
+    customers = table(spark, folder, "customer").select("c_custkey", "c_mktsegment")
+    grades = broadcast_inline(spark, domain.SEGMENT_GRADES, "c_mktsegment STRING, grade STRING")
+    rows = split_join(orders, customers, ["c_custkey"], "left").join(grades, "c_mktsegment", "left")
+    return round_columns(
+        rows.groupBy("grade", F.col("o_orderstatus").alias("status")).agg(
+            F.count(F.lit(1)).alias("orders"), F.max("o_totalprice").alias("largest"), F.avg("o_totalprice").alias("mean_price")
+        ),
+        2,
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -329,5 +367,7 @@ QUERIES = {
         turnout_range,
         strongest_units,
         ranked_units,
+        order_gaps,
+        graded_orders,
     )
 }
