@@ -12,12 +12,13 @@ import os
 import re
 from array import array
 from functools import cache
-from unicodedata import is_normalized
 
 _BLANK_RUN = re.compile(r"\s\s|\0")
 _BEFORE_BLANK = re.compile(r"(?<=\S)(?=\s)")
-_LONE_STOP = re.compile(r"[\W_][.,]")
-_SPACED_WORD = re.compile(r" ?[^\W\d_]+\Z")
+#: A stop begins a token of its own only behind what every vocabulary takes for a letter or digit.
+_LONE_STOP = re.compile(r"(?<![A-Za-z0-9])[.,]")
+_OWN_STOP = re.compile(r"(?<=[A-Za-z0-9])(?=[.,])")
+_SPACED_WORD = re.compile(r" ?[A-Za-z]+\Z")
 
 
 def tokenizer_path(name: str) -> str:
@@ -46,30 +47,25 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.drops_blanks = self.tokenizer.normalizer is not None
         self.model = self.tokenizer.model
-        self.letters = _byte_letters()
-        self.blank = chr(self.letters[32])
+        self.blank = chr(_byte_letters()[32])
         self.limit = limit
         self.pieces: dict[str, bytes] = {"": b""}
 
     def _cut(self, text: str) -> list[str]:
-        """Pieces of ``text``; a full stop or comma after a letter or digit starts its own."""
+        """Pieces of ``text``; a full stop or comma after an ASCII letter or digit starts its own."""
         stops = not _LONE_STOP.search(text)
         if self.drops_blanks:
             text = text.encode().lower().decode().replace("\n", " ")
-            return (text.replace(".", " .").replace(",", " ,") if stops else text).split(" ")
+            return (text.replace(".", " .").replace(",", " ,") if stops else _OWN_STOP.sub(" ", text)).split(" ")
         if _BLANK_RUN.search(text):
             return _BEFORE_BLANK.split(text)
         text = text.replace("\n", "\0\n\0").replace(" ", "\0 ")
-        return (text.replace(".", "\0.").replace(",", "\0,") if stops else text).split("\0")
+        return (text.replace(".", "\0.").replace(",", "\0,") if stops else _OWN_STOP.sub("\0", text)).split("\0")
 
     def _encode_piece(self, piece: str) -> bytes:
-        """A plain run of letters is one word of the vocabulary's own cutting rule."""
-        plain = piece.isascii() or not self.drops_blanks or (piece == piece.lower() and is_normalized("NFC", piece))
-        if plain and _SPACED_WORD.match(piece):
-            if piece.isascii():
-                shown = piece.replace(" ", self.blank)
-            else:
-                shown = piece.encode().decode("latin-1").translate(self.letters)
+        """A run of ASCII letters is one word of every cutting rule; the library cuts all else."""
+        if _SPACED_WORD.match(piece):
+            shown = piece.replace(" ", self.blank)
             return array("I", [token.id for token in self.model.tokenize(shown)]).tobytes()
         return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
 

@@ -1,8 +1,11 @@
 """Operators on small literal tables, against brute force: nulls, ties, copies, empty tables."""
 
+import collections
 import hashlib
 import random
 import re
+import sys
+import unicodedata
 import zlib
 
 import numpy as np
@@ -66,6 +69,28 @@ def test_pieces_encode_as_the_whole_text(name):
         assert np.frombuffer(encoder(path).encode(text), "<u4").tolist() == ids_of(path, text)[:-1]
 
 
+def _characters():
+    """Some characters of every Unicode category, and those that cutting rules treat apart."""
+    by_category = collections.defaultdict(list)
+    for c in map(chr, range(sys.maxunicode + 1)):
+        category = unicodedata.category(c)
+        if category not in ("Cs", "Cn", "Co"):
+            by_category[category].append(c)
+    rng = random.Random(2)
+    some = [c for found in by_category.values() for c in rng.sample(found, min(len(found), 40))]
+    return some + list("²³¹₂½ⅷİıßſΣςéœ漢ｶ\u0301\u0307\u200d\u00a0\u0085\u2028 \n\t\r\x0b\x1c.,'_-!?aZz09") * 8
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_pieces_encode_as_the_whole_text_in_any_script(name):
+    path, rng, characters = tokenizer_path(name), random.Random(8), _characters()
+    known = ["km²", "x³ CO₂ word²", "İ.", "İ, x", "ǅ.a", "a\u0301.b", "5.5,6", "é.é, è", "don't.", "word.\u0301x"]
+    texts = ["".join(rng.choice([rng.choice(characters), rng.choice("abc .,²İ")]) for _ in range(rng.randrange(1, 14))) for _ in range(20_000)]
+    encode = encoder(path)
+    wrong = [t for t in known + texts if np.frombuffer(encode.encode(t), "<u4").tolist() != ids_of(path, t)[:-1]]
+    assert not wrong, (len(wrong), wrong[:5])
+
+
 def test_token_files(spark, docs, empty):
     folder = shared_folder(spark, "test-tokens")
     binary.write_tokens(docs, folder)
