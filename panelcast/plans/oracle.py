@@ -1012,6 +1012,11 @@ WINDOW a AS (ORDER BY o_orderdate, o_orderkey), b AS (PARTITION BY o_custkey ORD
 SELECT grade, o_orderstatus AS status, count(*) AS orders, {r('max(o_totalprice)', 'largest', 2)}, {r('avg(o_totalprice)', 'mean_price', 2)}
 FROM orders LEFT JOIN customer ON o_custkey = c_custkey
 LEFT JOIN {_values(domain.SEGMENT_GRADES, 'segment, grade')} ON segment = c_mktsegment GROUP BY 1, 2""".strip(),
+        "exact_totals": """
+SELECT year, status, value_sum, value_n, value_sum / value_n AS value_mean
+FROM (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, o_orderstatus AS status, count(*) AS value_n,
+        CAST(sum(CAST(o_totalprice * 1152921504606846976 AS HUGEINT)) AS DOUBLE) / 1152921504606846976 AS value_sum
+      FROM orders GROUP BY 1, 2)""".strip(),
         "ranked_units": query(
             ["subunits"],
             "SELECT *, row_number() OVER (ORDER BY margin, subunit) AS order_index FROM totals",

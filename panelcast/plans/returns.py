@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelcast.functions.cleaning import fill_from, numeric_columns, round_columns
 from panelcast.functions.shares import lean, two_party_margin, winner, winner_or_second
+from panelcast.operators.exact import exact_sums
 from panelcast.operators.ordered import lag_any_length
 from panelcast.operators.panel import (
     assemble_features,
@@ -344,6 +345,15 @@ def graded_orders(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def exact_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """Value of all orders per year and status, to the last bit whatever the order of the rows."""
+    orders = table(spark, folder, "orders").select(
+        F.year("o_orderdate").alias("year"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("value")
+    )
+    sums = exact_sums(orders, ["year", "status"], ["value"])
+    return sums.withColumn("value_mean", F.col("value_sum") / F.col("value_n"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -369,5 +379,6 @@ QUERIES = {
         ranked_units,
         order_gaps,
         graded_orders,
+        exact_totals,
     )
 }
