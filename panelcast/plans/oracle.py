@@ -1017,6 +1017,13 @@ SELECT year, status, value_sum, value_n, value_sum / value_n AS value_mean
 FROM (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, o_orderstatus AS status, count(*) AS value_n,
         CAST(sum(CAST(o_totalprice * 1152921504606846976 AS HUGEINT)) AS DOUBLE) / 1152921504606846976 AS value_sum
       FROM orders GROUP BY 1, 2)""".strip(),
+        "price_histogram": """
+WITH ranged AS (SELECT o_orderstatus, min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders GROUP BY 1),
+wide AS (
+  SELECT o_orderstatus, min(pow(2.0, k)) AS w FROM ranged, (SELECT unnest(range(-30, 60)) AS k)
+  WHERE floor(hi / pow(2.0, k)) - floor(lo / pow(2.0, k)) + 1 <= 64 GROUP BY 1)
+SELECT o_orderstatus, floor(o_totalprice / w) * w AS bin_from, (floor(o_totalprice / w) + 1) * w AS bin_to, count(*) AS rows
+FROM orders JOIN wide USING (o_orderstatus) GROUP BY ALL""".strip(),
         "ranked_units": query(
             ["subunits"],
             "SELECT *, row_number() OVER (ORDER BY margin, subunit) AS order_index FROM totals",

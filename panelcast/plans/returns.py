@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panelcast.functions.cleaning import fill_from, numeric_columns, round_columns
 from panelcast.functions.shares import lean, two_party_margin, winner, winner_or_second
 from panelcast.operators.exact import exact_sums
+from panelcast.operators.histogram import doubling_histogram
 from panelcast.operators.ordered import lag_any_length
 from panelcast.operators.panel import (
     assemble_features,
@@ -354,6 +355,11 @@ def exact_totals(spark: SparkSession, folder: str) -> DataFrame:
     return sums.withColumn("value_mean", F.col("value_sum") / F.col("value_n"))
 
 
+def price_histogram(spark: SparkSession, folder: str) -> DataFrame:
+    """Distribution of order values per status, at most 64 bins of the least power of two as width."""
+    return doubling_histogram(table(spark, folder, "orders"), ["o_orderstatus"], "o_totalprice", 64)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -380,5 +386,6 @@ QUERIES = {
         order_gaps,
         graded_orders,
         exact_totals,
+        price_histogram,
     )
 }
