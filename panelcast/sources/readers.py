@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from panelcast.functions.cleaning import drop_subheader
@@ -26,31 +28,46 @@ def read_csv(
     another order still land in the declared ones.
     """
     declared = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
-    parts = []
-    for header, files in _files_by_header(spark, path).items():
-        lookup = {c.lower(): c for c in header}
-        missing = [f.name for f in declared.fields if f.name.lower() not in lookup]
-        if missing:
-            raise ValueError(f"columns missing from {files}: {missing}")
-        rows = spark.read.option("header", True).option("nullValue", null_value).csv(files)
-        parts.append(
-            rows.select(
-                *[rows[f"`{lookup[f.name.lower()]}`"].try_cast(f.dataType).alias(f.name) for f in declared.fields]
-            )
-        )
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _files_by_header(spark: SparkSession, path: str | list[str]) -> dict[tuple[str, ...], list[str]]:
-    """The files that a path, glob or list names, grouped by their own header line.
+    parts = [
+        read_with_header(spark, files, header, declared, null_value).drop("source_file")
+        for header, files in files_by_header(spark, path).items()
+    ]
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], declared)
+
+
+def read_with_header(
+    spark: SparkSession, files: list[str], header: tuple[str, ...], declared: StructType, null_value: str = "NA"
+) -> DataFrame:
+    """Files of one header line in the declared columns, with the ``source_file`` of every row."""
+    lookup = {c.lower(): i for i, c in enumerate(header)}
+    missing = [f.name for f in declared.fields if f.name.lower() not in lookup]
+    if missing:
+        raise ValueError(f"columns missing from {files}: {missing}")
+    by_place = ", ".join(f"c{i} STRING" for i in range(len(header)))
+    rows = spark.read.schema(by_place).option("header", True).option("nullValue", null_value).csv(files)
+    return rows.select(
+        *[F.col(f"c{lookup[f.name.lower()]}").try_cast(f.dataType).alias(f.name) for f in declared.fields],
+        F.col("_metadata.file_path").alias("source_file"),
+    )
+
+
+def files_by_header(spark: SparkSession, path: str | list[str]) -> dict[tuple[str, ...], list[str]]:
+    """The files that a path, glob or list names, grouped by their own header line; empty files have none.
 
     Spark takes the first file's header for all files of a read, by position; files
-    with another header therefore get a read of their own. One line of each file is read.
+    with another header therefore get a read of their own. One distributed job finds the first line
+    of every file; what comes to the driver is each file's name and header.
     """
-    named = spark.read.format("binaryFile").load(path).select("path").collect()
+    names = spark.read.format("binaryFile").load(path).select("path", F.col("_metadata.file_path").alias("file"))
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("at"),
+        F.col("_metadata.file_block_start").alias("start"),
+    )
+    first = lines.where("start = 0").groupBy("file").agg(F.min_by("value", "at").alias("header"))
     found: dict[tuple[str, ...], list[str]] = {}
-    for file in sorted(r["path"] for r in named):
-        found.setdefault(tuple(spark.read.option("header", True).csv(file).columns), []).append(file)
+    for row in sorted(names.join(first, "file").select("path", "header").collect()):
+        header = row["header"].removeprefix("\ufeff")
+        found.setdefault(tuple(c.strip() for c in next(csv.reader([header]), [])), []).append(row["path"])
     return found
 
 
