@@ -38,6 +38,7 @@ from panelcast.operators.outcomes import (
     weighted_totals,
 )
 from panelcast.operators.ordered import order_indexes
+from panelcast.operators.qr import qr_fits
 from panelcast.plans import domain
 from panelcast.plans.returns import unit_classes
 from panelcast.session import cut_lineage, small_side
@@ -136,6 +137,31 @@ def _train(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return domain.train_and_score(domain.feature_rows(spark, folder))
 
 
+def ols_ten_predictors(spark: SparkSession, folder: str) -> DataFrame:
+    """Line value on ten predictors per return flag, by merged triangular factors; the last coefficient shown."""
+    ship = {"ship_year": F.year, "ship_month": F.month, "ship_day": F.dayofmonth}
+    lines = table(spark, folder, "lineitem").select(
+        F.col("l_returnflag").alias("flag"),
+        "l_quantity", "l_discount", "l_tax", "l_linenumber", "l_extendedprice",
+        (F.col("l_quantity") * F.col("l_discount")).alias("quantity_discount"),
+        (F.col("l_quantity") * F.col("l_tax")).alias("quantity_tax"),
+        (F.col("l_discount") * F.col("l_tax")).alias("discount_tax"),
+        *[part("l_shipdate").alias(name) for name, part in ship.items()],
+    )
+    xs = ["l_quantity", "l_discount", "l_tax", "l_linenumber", "quantity_discount", "quantity_tax", "discount_tax", *ship]
+    fits = qr_fits(lines, ["flag"], "l_extendedprice", xs)
+    last = F.element_at("coefficients", -1).alias("ship_day")
+    return round_columns(fits.select("flag", "n", "terms", "r2", "adj_r2", F.sqrt("mse").alias("spread"), last), 4)
+
+
+def ols_far_from_zero(spark: SparkSession, folder: str) -> DataFrame:
+    """Order value on a number whose spread is tiny beside its size, per status."""
+    far = (F.col("o_orderkey") + F.lit(1e9)).alias("x")
+    orders = table(spark, folder, "orders").select(F.col("o_orderstatus").alias("status"), far, "o_totalprice")
+    fits = qr_fits(orders, ["status"], "o_totalprice", ["x"])
+    return round_columns(fits.select("status", "n", F.element_at("coefficients", 1).alias("slope"), "r2"))
+
+
 def ols_per_unit(spark: SparkSession, folder: str) -> DataFrame:
     train, _ = _train(spark, folder)
     fits = ols_by_key(train, ["unit", "party"], FORMULAS)
@@ -458,6 +484,8 @@ QUERIES = {
         ols_simple,
         ols_slope_tests,
         ols_multi_predict,
+        ols_ten_predictors,
+        ols_far_from_zero,
         ols_by_supplier,
         holdout_by_supplier,
         ols_per_unit,

@@ -822,6 +822,31 @@ def _margin_histogram() -> str:
 # -- the rest -------------------------------------------------------------------------------
 
 
+def _ten_predictors() -> str:
+    """Each predictor less its projections on the earlier ones; the last coefficient is that of the last remainder."""
+    xs = ["l_quantity", "l_discount", "l_tax", "l_linenumber", "l_quantity * l_discount", "l_quantity * l_tax",
+          "l_discount * l_tax", "year(l_shipdate)", "month(l_shipdate)", "day(l_shipdate)"]
+    whole = "WINDOW w AS (PARTITION BY flag)"
+    listed = ", ".join(f"CAST({x} AS DOUBLE) AS x{i}" for i, x in enumerate(xs))
+    centred = ", ".join(f"x{i} - avg(x{i}) OVER w AS x{i}" for i in range(len(xs)))
+    extra = [
+        ("lines", f"SELECT l_returnflag AS flag, l_extendedprice AS y, {listed} FROM lineitem"),
+        ("g0", f"SELECT flag, y - avg(y) OVER w AS y, {centred}, x0 - avg(x0) OVER w AS z0 FROM lines {whole}"),
+    ]
+    for j in range(1, len(xs)):
+        less = " - ".join(f"z{i} * (sum(x{j} * z{i}) OVER w / sum(z{i} * z{i}) OVER w)" for i in range(j))
+        extra.append((f"g{j}", f"SELECT *, x{j} - {less} AS z{j} FROM g{j - 1} {whole}"))
+    last = len(xs) - 1
+    explained = " + ".join(f"pow(sum(y * z{j}), 2) / sum(z{j} * z{j})" for j in range(len(xs)))
+    extra.append(
+        ("sums", f"SELECT flag, count(*) AS n, sum(y * y) AS sst, {explained} AS ssr, sum(y * z{last}) / sum(z{last} * z{last}) AS b FROM g{last} GROUP BY 1")
+    )
+    body = f"""SELECT flag, n, {len(xs) + 1} AS terms, {r('ssr / sst', 'r2', 4)},
+               {r(f'1 - (1 - ssr / sst) * (n - 1) / (n - {len(xs) + 1})', 'adj_r2', 4)}, {r('sqrt((sst - ssr) / n)', 'spread', 4)},
+               {r('b', 'ship_day', 4)} FROM sums"""
+    return query([], body, extra)
+
+
 def _shifts(n: int) -> str:
     return f"margin - lag(margin, {n}) OVER w"
 
@@ -1012,6 +1037,10 @@ WINDOW a AS (ORDER BY o_orderdate, o_orderkey), b AS (PARTITION BY o_custkey ORD
 SELECT grade, o_orderstatus AS status, count(*) AS orders, {r('max(o_totalprice)', 'largest', 2)}, {r('avg(o_totalprice)', 'mean_price', 2)}
 FROM orders LEFT JOIN customer ON o_custkey = c_custkey
 LEFT JOIN {_values(domain.SEGMENT_GRADES, 'segment, grade')} ON segment = c_mktsegment GROUP BY 1, 2""".strip(),
+        "ols_ten_predictors": _ten_predictors(),
+        "ols_far_from_zero": f"""
+SELECT o_orderstatus AS status, count(*) AS n, {r('regr_slope(o_totalprice, o_orderkey)', 'slope')}, {r('regr_r2(o_totalprice, o_orderkey)', 'r2')}
+FROM orders GROUP BY 1""".strip(),
         "exact_totals": """
 SELECT year, status, value_sum, value_n, value_sum / value_n AS value_mean
 FROM (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, o_orderstatus AS status, count(*) AS value_n,
