@@ -5,6 +5,7 @@ import corpus_pipeline
 import pytest
 from oracle_compare import connect, differences
 from panelcast.llm.queries import QUERIES, SQL
+from pyspark.sql import functions as F
 
 
 @pytest.fixture(scope="module")
@@ -47,3 +48,15 @@ def test_pipeline_stages_keep_the_columns(spark, small):
     ids = {r["doc_id"] for r in docs.select("doc_id").collect()}
     packed = corpus_pipeline.run(spark, small).collect()
     assert {r["doc_id"] for r in packed} == ids
+
+
+def test_pipeline_stages_leave_clashing_columns(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").drop("n_chars")
+    names = ["score", "predicted", "hits", "n_entities", "entity_types", "kept"]
+    docs = docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in names}).cache()
+    for name in ("quality", "decontaminate", "private_data"):
+        kept = dict(corpus_pipeline.STAGES)[name](spark, docs, small)
+        assert kept.columns == docs.columns
+        rows = kept.select("doc_id", *names).collect()
+        assert rows and all(r[c] == f"{c}{r['doc_id']}" for r in rows for c in names), name
+        assert dict(corpus_pipeline.STAGES)[name](spark, docs.limit(0), small).count() == 0
