@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelcast.llm.components import LocalSets, components
@@ -16,7 +17,6 @@ from panelcast.session import small_side
 
 SIGNATURE = 128
 TREES = 12
-DEPTH = 3
 #: A node of at most so many sets is compared exhaustively.
 LEAF = 100
 #: Sets of a candidate cluster that one task verifies against each other.
@@ -29,10 +29,8 @@ PERCENT = 80
 #: Documents with candidates, their clusters, or nodes that are branched further, whose ids are
 #: sent to all tasks up to this number: 16 bytes each.
 MEMBERS = 1_000_000
-#: Leaves compare two bits of each signature place, which agree by chance in a quarter. A pair
-#: at a similarity of 0.8 agrees in 108.8 of 128 with a deviation of 4.0; fewer than this
-#: many leave out one such pair in 20 million.
-LEAST_EQUAL = 85
+#: Four words of 64 bits: two bits of each signature place, all low ones before all high ones.
+BRIEF = ["b0", "b1", "b2", "b3"]
 
 _RNG = np.random.Generator(np.random.PCG64(20))
 _FACTORS = _RNG.integers(1, 1 << 63, SIGNATURE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -74,6 +72,23 @@ def brief(sig: np.ndarray) -> bytes:
     return np.packbits([sig & 1, sig >> 1 & 1], axis=1).tobytes()
 
 
+def least_equal(percent: int) -> int:
+    """Places in which the briefs of a similar pair agree at least.
+
+    Two bits agree by chance in a quarter of the places. A pair at a similarity of 0.8 agrees in
+    108.8 of 128 with a deviation of 4.0; six deviations leave out one such pair in a billion.
+    """
+    if not 80 <= percent <= 100:
+        raise ValueError("the trees branch for similarities of 80 to 100 percent")
+    share = (percent + (100 - percent) / 4) / 100
+    return math.ceil(SIGNATURE * share - 6 * math.sqrt(SIGNATURE * share * (1 - share)))
+
+
+def depth_for(n: int, leaf: int) -> int:
+    """Levels that ``n`` sets may need: unrelated ones part at each, pairs at 0.5 in three of eight cases."""
+    return 4 + math.ceil(math.log(max(1.0, n / leaf)) / math.log(1.6))
+
+
 def equal_places(m: np.ndarray, i: int) -> np.ndarray:
     """Places in which the briefs after row ``i`` agree with its own; rows are 64-bit words."""
     differ = m[i + 1 :] ^ m[i]
@@ -85,23 +100,25 @@ def _describe(size: int):
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = ShingleSets(size)
         for batch in batches:
-            counts, keys, full, briefs = [], [], [], []
-            for text in batch.column("text"):
+            counts, keys, full = [], [], []
+            briefs = np.zeros((len(batch), len(BRIEF)), np.int64)
+            for row, text in enumerate(batch.column("text")):
                 s = sets.of(text.as_py())
                 counts.append(len(s))
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 sig = signature(s) if len(s) else None
                 full.append(None if sig is None else sig.view(np.int32))
-                briefs.append(None if sig is None else brief(sig))
+                if sig is not None:
+                    briefs[row] = np.frombuffer(brief(sig), np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
                     pa.array(counts, pa.int64()),
                     pa.array(keys, pa.binary()),
                     pa.array(full, pa.list_(pa.int32())),
-                    pa.array(briefs, pa.binary()),
+                    *[pa.array(c) for c in np.ascontiguousarray(briefs.T)],
                 ],
-                ["doc_id", "n_shingles", "key", "signature", "brief"],
+                ["doc_id", "n_shingles", "key", "signature", *BRIEF],
             )
 
     return describe
@@ -118,61 +135,97 @@ def _branches(path: Column, sig: Column) -> Column:
     return F.when(both & (first != second), F.array(child(first), child(second))).otherwise(F.array(child(first)))
 
 
-def _compare_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of one node whose short signatures agree often enough, as links to local roots."""
-    a, b = [], []
-    for _, rows in sorted_groups(batches, 1):
-        reps, briefs = zip(*rows, strict=True)
-        if len(reps) > 1:
-            m = np.frombuffer(b"".join(briefs), np.uint64).reshape(len(reps), -1)
+def _compare_leaves(least: int):
+    """Pairs of one node whose briefs agree often enough, as links to local roots; rows come by node."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = [], []
+        for _, rows in sorted_groups(batches, 1):
+            reps, *words = zip(*rows, strict=True)
+            m = np.ascontiguousarray(np.array(words, np.int64).T).view(np.uint64)
             sets = LocalSets(len(reps))
             for i in range(len(reps) - 1):
-                for j in np.flatnonzero(equal_places(m, i) >= LEAST_EQUAL):
+                for j in np.flatnonzero(equal_places(m, i) >= least):
                     sets.join(i, i + 1 + int(j))
             for i, r in enumerate(sets.roots()):
                 if i != r:
                     a.append(reps[i])
                     b.append(reps[r])
-        if len(a) > 10_000:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-            a, b = [], []
-    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            if len(a) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                a, b = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return compare
+
+
+def _differing() -> Column:
+    """Places in which the briefs of a set and of its node's leader differ."""
+    low = F.bit_count((F.col("b0").bitwiseXOR(F.col("l0"))).bitwiseOR(F.col("b2").bitwiseXOR(F.col("l2"))))
+    high = F.bit_count((F.col("b1").bitwiseXOR(F.col("l1"))).bitwiseOR(F.col("b3").bitwiseXOR(F.col("l3"))))
+    return low + high
 
 
-def candidate_links(classes: DataFrame, trees: int = TREES, depth: int = DEPTH, leaf: int = LEAF) -> DataFrame:
-    """Links (a, b) whose components hold every pair that shares a leaf and may be similar.
+def _sent(df: DataFrame, n: int) -> DataFrame:
+    """A side of ``n`` counted rows, broadcast up to the limit."""
+    return F.broadcast(df) if n <= MEMBERS else df
 
-    Every tree starts with all sets and branches nodes of more than ``leaf`` sets. Smaller nodes
-    are compared exhaustively. A node that is still larger after ``depth`` levels
-    agrees in as many minwise tokens and becomes one cluster as it is. A pair at
-    the least similarity stays together in a tree with a chance of at least 0.64, so 12 trees
-    miss it with one of less than 0.00001.
+
+def candidate_links(
+    classes: DataFrame, percent: int = PERCENT, trees: int = TREES, leaf: int = LEAF, depth: int | None = None
+) -> DataFrame:
+    """Links (a, b) whose components hold every pair that shares a node and may be similar.
+
+    Every tree starts with all sets and branches nodes of more than ``leaf`` sets; smaller ones are
+    compared exhaustively. In a larger node all sets meet its leader, the one of the
+    smallest id: those whose briefs agree with the leader's are linked to it. Places in which briefs
+    differ are a distance, so a set at distance x from the leader can be similar to another only if that lies
+    within x plus the greatest distance of similar sets. Linked sets with no unlinked one so near
+    leave the node, for all their pairs are in one component; a node of copies ends there, however large.
+    The others branch on. Levels grow with the logarithm of the number of sets; a node that is still
+    larger then becomes one cluster as it is, which loses nothing. A pair at
+    the least similarity stays together in one child of a node on average.
     """
-    sets = classes.select("rep", "signature")
+    least = least_equal(percent)
+    reach = SIGNATURE - least
+    sets = classes.select("rep", "signature", *BRIEF)
     roots = F.explode(F.array(*[F.xxhash64(F.lit(t), F.lit("tree")) for t in range(trees)]))
-    level = sets.select("rep", "signature", roots.alias("path"))
-    found = None
-    for d in range(1, depth + 1):
-        branched = level.select("rep", "signature", F.explode(_branches(F.col("path"), F.col("signature"))).alias("path"))
-        nodes = written(branched.select("path", "rep"), "tree-nodes")
-        counts = nodes.groupBy("path").agg(F.count("*").alias("n"), F.min("rep").alias("least"))
-        sizes = written(counts.where("n > 1"), "node-sizes")
-        small = nodes.join(sizes.where(F.col("n") <= leaf).select("path"), "path", "left_semi")
-        briefs = small.join(classes.select("rep", "brief"), "rep").select("path", "rep", "brief")
-        links = by_group(briefs, "path").mapInArrow(_compare_leaves, "a long, b long")
-        large = sizes.where(F.col("n") > leaf).select("path", "least")
-        few = large.count() <= MEMBERS
-        large = F.broadcast(large) if few else large
-        if d == depth:
-            links = links.unionByName(nodes.join(large, "path").select(F.col("rep").alias("a"), F.col("least").alias("b")))
-        elif few:
-            # The signatures stay where they are: the nodes to go on with are sent to them.
-            level = branched.join(large, "path", "left_semi")
-        else:
-            level = nodes.join(large, "path", "left_semi").join(sets, "rep")
+    level = sets.withColumn("path", roots)
+    found, deepest, d = None, depth or depth_for(classes.count(), leaf), 0
+    while True:
+        d += 1
+        nodes = level.withColumn("path", F.explode(_branches(F.col("path"), F.col("signature"))))
+        counts = nodes.groupBy("path").agg(F.count("*").alias("n"), F.min("rep").alias("leader"))
+        leaders = classes.select(F.col("rep").alias("leader"), *[F.col(b).alias(f"l{i}") for i, b in enumerate(BRIEF)])
+        large = written(counts.where(F.col("n") > leaf), "large-nodes")
+        n_large = large.count()
+        large = _sent(large, n_large)
+        # Nodes within the limit, each in one task; sets alone in theirs go no further.
+        small = nodes.select("path", "rep", *BRIEF).join(large.select("path"), "path", "left_anti").repartition("path")
+        together = small.withColumn("n", F.count("*").over(Window.partitionBy("path"))).where("n > 1").drop("n")
+        links = together.mapInArrow(_compare_leaves(least), "a long, b long")
+        if n_large and d < deepest:
+            known = written(large.join(leaders, "leader"), "node-leaders")
+            met = nodes.join(_sent(known, n_large), "path").withColumn("away", _differing())
+            linked = F.col("away") <= reach
+            links = links.unionByName(met.where(linked).select(F.col("rep").alias("a"), F.col("leader").alias("b")))
+            # The nearest set that is not linked to the leader decides who stays; none: the node is done.
+            rest = met.groupBy("path").agg(F.min(F.when(~linked, F.col("away"))).alias("rest")).where("rest IS NOT NULL")
+            rest = _sent(written(rest, "open-nodes"), n_large)
+            staying = met.join(rest, "path").where(~linked | (F.col("rest") - F.col("away") <= reach))
+            ids = written(staying.select("path", "rep"), "open-sets")
+            n_open = ids.count()
+            if n_open > MEMBERS >= n_large:
+                # The sets stay where they are: the nodes to go on with were sent to them.
+                level = staying.select("path", "rep", "signature", *BRIEF)
+            else:
+                level = _sent(ids, n_open).join(sets, "rep")
+        elif n_large:
+            links = links.unionByName(nodes.join(large, "path").select(F.col("rep").alias("a"), F.col("leader").alias("b")))
         links = written(links.where("a <> b").distinct(), "candidate-links")
         found = links if found is None else found.unionByName(links)
-    return found
+        if not n_large or d == deepest:
+            return found
 
 
 def similar(sets: list[np.ndarray], percent: int, skip: np.ndarray | None = None) -> np.ndarray:
@@ -309,18 +362,17 @@ def near_documents(docs: DataFrame, size: int = 5, percent: int = PERCENT) -> Da
     repeated rows of an id get the same component; other columns are ignored.
     """
     texts = docs.select("doc_id", "text")
-    rows = written(
-        texts.mapInArrow(_describe(size), "doc_id long, n_shingles long, key binary, signature array<int>, brief binary"), "signatures"
-    )
+    columns = f"doc_id long, n_shingles long, key binary, signature array<int>, {', '.join(f'{b} long' for b in BRIEF)}"
+    rows = written(texts.mapInArrow(_describe(size), columns), "signatures")
     usable = rows.where("key IS NOT NULL AND doc_id IS NOT NULL")
     mine = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key"))
     classes = written(
         usable.groupBy("key").agg(
-            F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("brief").alias("brief")
+            F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ["signature", *BRIEF]]
         ),
         "set-classes",
     )
-    clusters = components(candidate_links(classes))
+    clusters = components(candidate_links(classes, percent))
     joined = components(verified_links(texts, clusters, size, percent)).withColumnRenamed("node", "rep")
     settled = classes.select("key", "rep").join(joined, "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))
     out = mine.join(settled, "key", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
@@ -331,11 +383,18 @@ def near_documents(docs: DataFrame, size: int = 5, percent: int = PERCENT) -> Da
 def keep_one(docs: DataFrame, size: int = 5, percent: int = PERCENT) -> DataFrame:
     """One document of each group of near copies: that with the smallest id; columns unchanged.
 
-    Repeated rows of an id leave one; rows with a null id all stay.
+    Repeated rows of an id leave the one of the smallest text, null first, ties by the smallest JSON of the row;
+    rows with a null id all stay.
     """
     kept = near_documents(docs, size, percent).where("kept AND doc_id IS NOT NULL").select("doc_id")
-    with_id = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return with_id.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    rows = docs.join(kept, "doc_id", "left_semi")
+    # Only rows whose id is repeated move; the smallest of an id is found before the shuffle, too.
+    repeated = small_side(docs.groupBy("doc_id").agg(F.count("*").alias("__n")).where("__n > 1 AND doc_id IS NOT NULL").select("doc_id"), MEMBERS)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    first = F.min_by(whole, F.struct("text", F.to_json(whole)))
+    several = rows.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(first.alias("__row")).select("__row.*")
+    single = rows.join(repeated, "doc_id", "left_anti")
+    return single.unionByName(several).unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
 
 
 def op8_chosen_path(spark: SparkSession, folder: str) -> DataFrame:

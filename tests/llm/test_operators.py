@@ -469,6 +469,54 @@ def test_near_documents(spark, docs, empty):
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == sorted({expected[i] for i, _ in ROWS if i is not None})
 
 
+def test_chosen_paths_recurse_until_nodes_are_small(spark):
+    """Large nodes of copies, of half-similar texts and of texts with frequent words, by leaves of four."""
+    rng = random.Random(18)
+    kernel = [f"k{i}" for i in range(120)]
+    texts = []
+    for k in range(160):
+        changes = (1, 4, 9, 16)[k % 4]
+        w = list(kernel)
+        for _ in range(changes):
+            w[rng.randrange(len(w))] = f"v{rng.randrange(9999)}"
+        texts.append(" ".join(w))
+    texts += ["the same opening words stand here " + " ".join(f"u{rng.randrange(10**6)}" for _ in range(12)) for _ in range(120)]
+    sets = [{tuple(w[k : k + 2]) for k in range(len(w) - 1)} for w in map(str.split, texts)]
+    n = range(len(sets))
+    shingler = minhash.ShingleSets(2)
+    rows = []
+    for i, t in enumerate(texts):
+        sig = minhash.signature(shingler.of(t))
+        rows.append((i, sig.view(np.int32).tolist(), *np.frombuffer(minhash.brief(sig), np.int64).tolist()))
+    schema = "rep long, signature array<int>, b0 long, b1 long, b2 long, b3 long"
+    classes = spark.createDataFrame(rows, schema).repartition(3)
+    for percent, depth in ((80, None), (95, 2)):
+        links = [(a, b) for a in n for b in n if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+        found = minhash.candidate_links(classes, percent, leaf=4, depth=depth).collect()
+        joined = reach(len(texts), [(r["a"], r["b"]) for r in found])
+        assert links and all(joined[a] == joined[b] for a, b in links)
+        # Texts that share frequent words alone are no candidates.
+        assert depth or all(joined[i] == i for i in n if i >= 160)
+    with pytest.raises(ValueError):
+        minhash.candidate_links(classes, 50)
+
+
+def test_keep_one_of_repeated_ids(spark):
+    rows = [(1, "b c d e f g", 1), (1, "a c d e f h", 2), (2, None, 3), (2, "x y z v w u", 4), (3, "q", 6), (3, "q", 5), (None, "q", 7)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, n long").repartition(4)
+    kept = {(r["doc_id"], r["n"]) for r in minhash.keep_one(table).collect()}
+    assert kept == {(1, 2), (2, 3), (3, 5), (None, 7)}
+
+
+def test_components_with_heavy_nodes_split(spark, monkeypatch):
+    from panelcast.llm import components as module
+
+    monkeypatch.setattr(module, "NODES", 0)
+    edges = [(0, i) for i in range(1, 300)] + [(299, 500), (500, 501), (502, 501), (700, 701)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()}
+    assert got == {**{i: 0 for i in [*range(300), 500, 501, 502]}, 700: 700, 701: 700}
+
+
 PERSONAL = [
     (1, "Mail Ann.B22@mail7.example.com or ANN.B22@MAIL7.EXAMPLE.COM!! call +1 (411) 555-1507, 411-555-1507."),
     (2, "ip 10.2.33.240 card 4539578763621486 and 4539 5787 6362 1486; Mrs. Anna Bell met Herr Bell, Mr. Anna Bell. Госпожа Анна Иванова"),
