@@ -18,7 +18,7 @@ from panelcast.session import small_side
 SIGNATURE = 128
 TREES = 12
 #: A node of at most so many sets is compared exhaustively.
-LEAF = 100
+LEAF = 1000
 #: Sets of a candidate cluster that one task verifies against each other.
 BLOCK = 400
 #: Hashes of such a block together, about; long documents make smaller blocks.
@@ -194,6 +194,7 @@ def candidate_links(
     found, deepest, d = None, depth or depth_for(classes.count(), leaf), 0
     while True:
         d += 1
+        n_open = 0
         nodes = level.withColumn("path", F.explode(_branches(F.col("path"), F.col("signature"))))
         counts = nodes.groupBy("path").agg(F.count("*").alias("n"), F.min("rep").alias("leader"))
         leaders = classes.select(F.col("rep").alias("leader"), *[F.col(b).alias(f"l{i}") for i, b in enumerate(BRIEF)])
@@ -224,7 +225,7 @@ def candidate_links(
             links = links.unionByName(nodes.join(large, "path").select(F.col("rep").alias("a"), F.col("leader").alias("b")))
         links = written(links.where("a <> b").distinct(), "candidate-links")
         found = links if found is None else found.unionByName(links)
-        if not n_large or d == deepest:
+        if not n_open:
             return found
 
 
