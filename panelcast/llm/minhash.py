@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -177,7 +178,7 @@ def candidate_links(
     """Links (a, b) whose components hold every pair that shares a node and may be similar.
 
     Every tree starts with all sets and branches nodes of more than ``leaf`` sets; smaller ones are
-    compared exhaustively. In a larger node all sets meet its leader, the one of the
+    compared exhaustively, those of all levels in one job. A link may be returned more than once. In a larger node all sets meet its leader, the one of the
     smallest id: those whose briefs agree with the leader's are linked to it. Places in which briefs
     differ are a distance, so a set at distance x from the leader can be similar to another only if that lies
     within x plus the greatest distance of similar sets. Linked sets with no unlinked one so near
@@ -189,27 +190,29 @@ def candidate_links(
     least = least_equal(percent)
     reach = SIGNATURE - least
     sets = classes.select("rep", "signature", *BRIEF)
+    leaders = classes.select(F.col("rep").alias("leader"), *[F.col(b).alias(f"l{i}") for i, b in enumerate(BRIEF)])
     roots = F.explode(F.array(*[F.xxhash64(F.lit(t), F.lit("tree")) for t in range(trees)]))
     level = sets.withColumn("path", roots)
-    found, deepest, d = None, depth or depth_for(classes.count(), leaf), 0
-    while True:
+    settled, smalls, deepest, d = [], [], depth or depth_for(classes.count(), leaf), 0
+    n_open = 1
+    while n_open:
         d += 1
         n_open = 0
         nodes = level.withColumn("path", F.explode(_branches(F.col("path"), F.col("signature"))))
         counts = nodes.groupBy("path").agg(F.count("*").alias("n"), F.min("rep").alias("leader"))
-        leaders = classes.select(F.col("rep").alias("leader"), *[F.col(b).alias(f"l{i}") for i, b in enumerate(BRIEF)])
         large = written(counts.where(F.col("n") > leaf), "large-nodes")
         n_large = large.count()
         large = _sent(large, n_large)
-        # Nodes within the limit, each in one task; sets alone in theirs go no further.
-        small = nodes.select("path", "rep", *BRIEF).join(large.select("path"), "path", "left_anti").repartition("path")
-        together = small.withColumn("n", F.count("*").over(Window.partitionBy("path"))).where("n > 1").drop("n")
-        links = together.mapInArrow(_compare_leaves(least), "a long, b long")
+        # Nodes within the limit wait for the end: one job compares those of all levels. The first level is
+        # read again from the classes, the few sets further down are written.
+        small = nodes.select("path", "rep", *BRIEF).join(large.select("path"), "path", "left_anti")
+        smalls.append(small if d == 1 else written(small, "small-nodes"))
         if n_large and d < deepest:
             known = written(large.join(leaders, "leader"), "node-leaders")
             met = nodes.join(_sent(known, n_large), "path").withColumn("away", _differing())
             linked = F.col("away") <= reach
-            links = links.unionByName(met.where(linked).select(F.col("rep").alias("a"), F.col("leader").alias("b")))
+            near = met.where(linked & (F.col("rep") != F.col("leader")))
+            settled.append(written(near.select(F.col("rep").alias("a"), F.col("leader").alias("b")), "leader-links"))
             # The nearest set that is not linked to the leader decides who stays; none: the node is done.
             rest = met.groupBy("path").agg(F.min(F.when(~linked, F.col("away"))).alias("rest")).where("rest IS NOT NULL")
             rest = _sent(written(rest, "open-nodes"), n_large)
@@ -222,11 +225,12 @@ def candidate_links(
             else:
                 level = _sent(ids, n_open).join(sets, "rep")
         elif n_large:
-            links = links.unionByName(nodes.join(large, "path").select(F.col("rep").alias("a"), F.col("leader").alias("b")))
-        links = written(links.where("a <> b").distinct(), "candidate-links")
-        found = links if found is None else found.unionByName(links)
-        if not n_open:
-            return found
+            whole = nodes.join(large, "path").where("rep <> leader")
+            settled.append(whole.select(F.col("rep").alias("a"), F.col("leader").alias("b")))
+    # Each node in one task; sets alone in theirs meet nobody. A node's path is a hash of its tree and level, too.
+    small = reduce(DataFrame.unionByName, smalls).repartition("path")
+    together = small.withColumn("n", F.count("*").over(Window.partitionBy("path"))).where("n > 1").drop("n")
+    return reduce(DataFrame.unionByName, settled, together.mapInArrow(_compare_leaves(least), "a long, b long"))
 
 
 def similar(sets: list[np.ndarray], percent: int, skip: np.ndarray | None = None) -> np.ndarray:
