@@ -13,6 +13,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.llm.quality import remainder
-from panelcast.llm.shared import table, written
+from panelcast.llm.shared import cuts, table, written
 
 #: Weight of one letter place that a triple spans, and the most places it may span.
 DECAY = 0.5
@@ -62,13 +63,31 @@ def normal(word: str) -> str:
     return _EDGES.sub("", word.lower())
 
 
+def code(letter: str) -> int:
+    """1 to 29 for letters, 0 for a place that matches nothing."""
+    letter = _LOOKALIKES.get(letter, letter)
+    return ord(letter) - 96 if "a" <= letter <= "z" else 27 + ord(letter) % 3 if letter.isalpha() else 0
+
+
+#: Code of each code point, -1 until it is met.
+_CODES = np.full(0x110000, -1, np.int8)
+
+
+def code_rows(words: list[str]) -> np.ndarray:
+    """One row for each of some words of equal length: 30 and 31 for the ends of the word, its letters between."""
+    points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+    inner = _CODES[points]
+    for p in np.unique(points[inner < 0]):
+        _CODES[p] = code(chr(p))
+    out = np.empty((len(words), len(words[0]) + 2), np.int32)
+    out[:, 0], out[:, -1] = 30, 31
+    out[:, 1:-1] = _CODES[points].reshape(len(words), -1)
+    return out
+
+
 def codes(word: str) -> list[int]:
-    """1 to 29 for letters, 0 for a place that matches nothing, 30 and 31 for the ends of the word."""
-    out = [30]
-    for c in word:
-        c = _LOOKALIKES.get(c, c)
-        out.append(ord(c) - 96 if "a" <= c <= "z" else 27 + ord(c) % 3 if c.isalpha() else 0)
-    return [*out, 31]
+    """The row of one word."""
+    return code_rows([word])[0].tolist()
 
 
 def windows(word: str) -> list[str]:
@@ -100,7 +119,7 @@ def features(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
             continue
         for low in range(0, len(places), 20_000):
             some = places[low : low + 20_000]
-            c = np.array([codes(words[p]) for p in some], np.int32)
+            c = code_rows([words[p] for p in some])
             a, b, d = c[:, i], c[:, j], c[:, k]
             code = np.where((a > 0) & (b > 0) & (d > 0), (a * _SYMBOLS + b) * _SYMBOLS + d, 0)
             order = np.argsort(code, axis=1, kind="stable")
@@ -177,43 +196,56 @@ class ToxicityModel:
 
 
 class TopWord:
-    """Decisions of the words of a text, each distinct word decided once."""
+    """Decisions of the words of a text, each distinct normal form decided once."""
 
     def __init__(self, model: ToxicityModel, limit: int = 500_000):
         self.model, self.limit = model, limit
-        self.known: dict[str, float] = {}
-        self.adds: dict[str, float] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        #: Places of words as they stand in texts and of their normal forms, in the two columns of values.
+        self.known: dict[str, int] = {}
+        self.forms: dict[str, int] = {}
+        self.decided, self.adds = np.empty(0), np.empty(0)
 
     def _learn(self, found: list[str]) -> None:
-        cut = [windows(normal(u)) for u in found]
-        decided, adds = self.model.decide([w for ws in cut for w in ws])
-        at = 0
-        for unit, ws in zip(found, cut, strict=True):
-            self.known[unit] = float(decided[at : at + len(ws)].max())
-            self.adds[unit] = float(adds[at : at + len(ws)].sum())
-            at += len(ws)
+        forms = [normal(u) for u in found]
+        new = list(set(forms).difference(self.forms))
+        if new:
+            cut = [windows(f) for f in new]
+            decided, adds = self.model.decide([w for ws in cut for w in ws])
+            starts = cuts(map(len, cut))[:-1]
+            self.forms.update(zip(new, range(len(self.decided), len(self.decided) + len(new)), strict=True))
+            self.decided = np.concatenate([self.decided, np.maximum.reduceat(decided, starts)])
+            self.adds = np.concatenate([self.adds, np.add.reduceat(adds, starts)])
+        self.known.update(zip(found, map(self.forms.__getitem__, forms), strict=True))
+
+    def _decision(self, unit: str) -> float:
+        return self.decided[self.known[unit]] if unit in self.known else -np.inf
 
     def tops(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The largest decisions of each text, in falling order and limited to twice the margin, and
         the sum of what its words add beyond the usual, over the root of their number."""
         if len(self.known) > self.limit:
-            self.known.clear()
-            self.adds.clear()
+            self._forget()
         read = [units(t) for t in texts]
-        new = {u for us in read for u in us}.difference(self.known)
+        new = set(chain.from_iterable(read)).difference(self.known)
         if new:
             self._learn(list(new))
+        ends = cuts(map(len, read))
+        places = np.fromiter(map(self.known.__getitem__, chain.from_iterable(read)), int, ends[-1])
+        decided, adds = self.decided[places], self.adds[places]
         # Words that a text does not have count as clean ones at the margin.
         least = min(self.model.bias, -1.0)
         top, total = np.full((len(texts), TOPS), least), np.zeros(len(texts))
-        for row, us in enumerate(read):
-            if us:
-                decided = np.fromiter(map(self.known.__getitem__, us), float, len(us))
-                largest = np.sort(decided if len(us) <= TOPS else np.partition(decided, -TOPS)[-TOPS:])[::-1]
+        for row, (low, high) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+            if low < high:
+                mine = decided[low:high]
+                largest = np.sort(mine if len(mine) <= TOPS else np.partition(mine, -TOPS)[-TOPS:])[::-1]
                 top[row, : len(largest)] = largest
                 top[row, len(largest) :] = min(largest[-1], least)
                 if self.model.evidence is not None:
-                    total[row] = (sum(map(self.adds.__getitem__, us)) - self.model.usual * len(us)) / np.sqrt(len(us))
+                    total[row] = (adds[low:high].sum() - self.model.usual * len(mine)) / np.sqrt(len(mine))
         return np.clip(top, -2, 2), total
 
     def of(self, texts: list[str | None]) -> np.ndarray:
@@ -223,8 +255,8 @@ class TopWord:
 
     def words(self, texts: list[str | None]) -> list[str | None]:
         """Of texts just decided: the normal form of the top word, at most one window of it."""
-        best = [max(units(t), key=self.known.__getitem__, default=None) for t in texts]
-        return [None if u is None else max(windows(normal(u)), key=lambda w: self.known.get(w, -np.inf)) for u in best]
+        best = [max(units(t), key=self._decision, default=None) for t in texts]
+        return [None if u is None else max(windows(normal(u)), key=self._decision) for u in best]
 
 
 def _train_machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-4, steps: int = 50):
@@ -337,14 +369,15 @@ def _documents(rows: DataFrame, model: ToxicityModel, through: np.ndarray) -> tu
                 texts = list(batch["text"])
                 tops, _ = top.tops(texts)
                 read = [units(t) for t in texts]
-                if len(known) > MAPS:
+                if len(maps) > MAPS or len(known) > 5 * MAPS:
                     known, maps = {}, maps[:0]
-                new = list({u for us in read for u in us}.difference(known))
-                cut = [windows(normal(u)) for u in new]
+                new = {u: normal(u) for u in set(chain.from_iterable(read)).difference(known)}
+                cut = {form: windows(form) for form in new.values()}
                 if cut:
-                    at = np.cumsum([0] + [len(ws) for ws in cut])[:-1]
-                    more = np.add.reduceat(_mapped([w for ws in cut for w in ws], narrow), at, axis=0)
-                    known.update(zip(new, range(len(maps), len(maps) + len(new)), strict=True))
+                    at = cuts(map(len, cut.values()))[:-1]
+                    more = np.add.reduceat(_mapped(list(chain.from_iterable(cut.values())), narrow), at, axis=0)
+                    rows_of = dict(zip(cut, range(len(maps), len(maps) + len(cut)), strict=True))
+                    known.update((u, rows_of[form]) for u, form in new.items())
                     maps = np.concatenate([maps, more])
                 total = [maps[np.array([known[u] for u in us], int)].sum(axis=0) for us in read]
                 yield pd.DataFrame({"tops": list(tops), "total": total, "label": batch["label"].to_numpy(), "n": list(map(len, read))})
