@@ -9,7 +9,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.llm.components import LocalSets, components
@@ -20,6 +20,8 @@ SIGNATURE = 128
 TREES = 12
 #: A node of at most so many sets is compared exhaustively.
 LEAF = 1000
+#: A node of at most so many sets is branched to its end in one task: 136 bytes a set.
+NODE = 100_000
 #: Sets of a candidate cluster that one task verifies against each other.
 BLOCK = 400
 #: Hashes of such a block together, about; long documents make smaller blocks.
@@ -90,11 +92,36 @@ def depth_for(n: int, leaf: int) -> int:
     return 4 + math.ceil(math.log(max(1.0, n / leaf)) / math.log(1.6))
 
 
+def _agreeing(differ: np.ndarray) -> np.ndarray:
+    """Equal places from the words in which two briefs differ."""
+    half = differ.shape[-1] // 2
+    return SIGNATURE - np.bitwise_count(differ[..., :half] | differ[..., half:]).sum(axis=-1, dtype=np.int64)
+
+
 def equal_places(m: np.ndarray, i: int) -> np.ndarray:
     """Places in which the briefs after row ``i`` agree with its own; rows are 64-bit words."""
-    differ = m[i + 1 :] ^ m[i]
-    half = differ.shape[1] // 2
-    return SIGNATURE - np.bitwise_count(differ[:, :half] | differ[:, half:]).sum(axis=1, dtype=np.int64)
+    return _agreeing(m[i + 1 :] ^ m[i])
+
+
+def leaf_roots(m: np.ndarray, least: int) -> np.ndarray:
+    """For each brief the first one that it reaches over pairs which agree in ``least`` places.
+
+    A brief is compared only with those that nothing has reached yet, so copies cost a comparison each.
+    """
+    roots = np.arange(len(m))
+    if len(m) <= 100 and np.count_nonzero(_agreeing(m[:, None] ^ m) >= least) == len(m):
+        return roots
+    left = roots[:]
+    while len(left) > 1:
+        first, left = left[0], left[1:]
+        others, queue = m[left], [first]
+        while queue and len(left):
+            hit = _agreeing(others ^ m[queue.pop()]) >= least
+            if hit.any():
+                roots[left[hit]] = first
+                queue.extend(left[hit].tolist())
+                left, others = left[~hit], others[~hit]
+    return roots
 
 
 def _describe(size: int):
@@ -136,22 +163,88 @@ def _branches(path: Column, sig: Column) -> Column:
     return F.when(both & (first != second), F.array(child(first), child(second))).otherwise(F.array(child(first)))
 
 
-def _compare_leaves(least: int):
-    """Pairs of one node whose briefs agree often enough, as links to local roots; rows come by node."""
+def _picked(path: int, *salts: int) -> list[int]:
+    """Hashes of a node and each salt."""
+    return mixed(mixed(np.array([path], np.uint64)) + np.array(salts, np.uint64)).tolist()
+
+
+def _children(path: int, places: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Path and rows of the children with several sets, chosen as ``_branches`` does."""
+    first, second, both = _picked(path, 1, 2, 3)
+    for place in {first % SIGNATURE, second % SIGNATURE} if both % 4 == 0 else {first % SIGNATURE}:
+        order = np.argsort(places[:, place], kind="stable")
+        values = places[order, place]
+        for rows in np.split(order, np.flatnonzero(values[1:] != values[:-1]) + 1):
+            if len(rows) > 1:
+                yield _picked(path, 4 + 256 * place + int(places[rows[0], place]))[0], rows
+
+
+def node_roots(path: int, places: np.ndarray, least: int, leaf: int, depth: int | None = None) -> np.ndarray:
+    """Candidates of one node, as the first set that each set reaches; ``places`` hold the low byte of each place.
+
+    Branches on by the rules of ``candidate_links`` until nodes are small. Nodes whose sets are in one
+    component already are done.
+    """
+    briefs = np.packbits(np.concatenate([places & 1, places >> 1 & 1], axis=1), axis=1).view(np.uint64)
+    if len(places) <= leaf:
+        return leaf_roots(briefs, least)
+    sets, reach = LocalSets(len(places)), SIGNATURE - least
+    nodes = [(path, np.arange(len(places)), depth or depth_for(len(places), leaf))]
+    while nodes:
+        path, at, levels = nodes.pop()
+        if len(at) <= leaf:
+            linked = leaf_roots(briefs[at], least)
+        elif levels == 0:
+            linked = np.zeros(len(at), int)
+        else:
+            away = SIGNATURE - _agreeing(briefs[at] ^ briefs[at[0]])
+            linked = np.where(away <= reach, 0, np.arange(len(at)))
+        for i in np.flatnonzero(linked != np.arange(len(at))).tolist():
+            sets.join(int(at[i]), int(at[linked[i]]))
+        if len(at) <= leaf or levels == 0 or (away <= reach).all():
+            continue
+        joined = sets.roots()[at]
+        if (joined == joined[0]).all():
+            continue
+        # The nearest set that is not linked to the leader decides who stays.
+        at = at[(away > reach) | (away[away > reach].min() - away <= reach)]
+        nodes += [(child, at[rows], levels - 1) for child, rows in _children(path, places[at])]
+    return sets.roots()
+
+
+def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Path, ids in order and places of each node of several sets, from rows sorted by path; one is held at a time."""
+    path, held = None, []
+
+    def whole() -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        reps = np.concatenate([np.empty(0, np.int64), *(r for r, _ in held)])
+        if len(reps) > 1:
+            order = np.argsort(reps, kind="stable")
+            yield path % (1 << 64), reps[order], np.concatenate([p for _, p in held])[order]
+
+    for batch in batches:
+        paths, reps = (batch.column(c).to_numpy() for c in (0, 1))
+        places = batch.column(2).flatten().to_numpy().view(np.uint8).reshape(-1, SIGNATURE)
+        ends = np.concatenate([[0], np.flatnonzero(paths[1:] != paths[:-1]) + 1, [len(paths)]])
+        for low, high in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            if low < high:
+                if paths[low] != path:
+                    yield from whole()
+                    path, held = int(paths[low]), []
+                held.append((reps[low:high], places[low:high]))
+    yield from whole()
+
+
+def _compare_nodes(least: int, leaf: int, depth: int | None):
+    """Candidate pairs of each node as links to local roots; rows come by node."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
-        for _, rows in sorted_groups(batches, 1):
-            reps, *words = zip(*rows, strict=True)
-            m = np.ascontiguousarray(np.array(words, np.int64).T).view(np.uint64)
-            sets = LocalSets(len(reps))
-            for i in range(len(reps) - 1):
-                for j in np.flatnonzero(equal_places(m, i) >= least):
-                    sets.join(i, i + 1 + int(j))
-            for i, r in enumerate(sets.roots()):
-                if i != r:
-                    a.append(reps[i])
-                    b.append(reps[r])
+        for path, reps, places in _nodes(batches):
+            roots = node_roots(path, places, least, leaf, depth)
+            others = np.flatnonzero(roots != np.arange(len(roots)))
+            a += reps[others].tolist()
+            b += reps[roots[others]].tolist()
             if len(a) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
                 a, b = [], []
@@ -173,12 +266,19 @@ def _sent(df: DataFrame, n: int) -> DataFrame:
 
 
 def candidate_links(
-    classes: DataFrame, percent: int = PERCENT, trees: int = TREES, leaf: int = LEAF, depth: int | None = None
+    classes: DataFrame,
+    percent: int = PERCENT,
+    trees: int = TREES,
+    leaf: int = LEAF,
+    depth: int | None = None,
+    node: int = NODE,
 ) -> DataFrame:
     """Links (a, b) whose components hold every pair that shares a node and may be similar.
 
     Every tree starts with all sets and branches nodes of more than ``leaf`` sets; smaller ones are
-    compared exhaustively, those of all levels in one job. A link may be returned more than once. In a larger node all sets meet its leader, the one of the
+    compared exhaustively. Nodes of more than ``node`` sets are branched level by level over all tasks, all others
+    from there to their ends in one task each, in one job. A link may be returned more than once. In a
+    node of more than ``leaf`` sets all meet its leader, the one of the
     smallest id: those whose briefs agree with the leader's are linked to it. Places in which briefs
     differ are a distance, so a set at distance x from the leader can be similar to another only if that lies
     within x plus the greatest distance of similar sets. Linked sets with no unlinked one so near
@@ -189,23 +289,25 @@ def candidate_links(
     """
     least = least_equal(percent)
     reach = SIGNATURE - least
-    sets = classes.select("rep", "signature", *BRIEF)
+    # One byte of each place: sets move with what the rest of their branches needs.
+    low = F.transform("signature", lambda x: (x.bitwiseAND(255) - F.when(x.bitwiseAND(128) > 0, 256).otherwise(0)).cast("tinyint"))
+    sets = classes.select("rep", "signature", *BRIEF, low.alias("places"))
     leaders = classes.select(F.col("rep").alias("leader"), *[F.col(b).alias(f"l{i}") for i, b in enumerate(BRIEF)])
     roots = F.explode(F.array(*[F.xxhash64(F.lit(t), F.lit("tree")) for t in range(trees)]))
     level = sets.withColumn("path", roots)
-    settled, smalls, deepest, d = [], [], depth or depth_for(classes.count(), leaf), 0
+    settled, smalls, deepest, d = [], [], depth or depth_for(classes.count(), node), 0
     n_open = 1
     while n_open:
         d += 1
         n_open = 0
         nodes = level.withColumn("path", F.explode(_branches(F.col("path"), F.col("signature"))))
         counts = nodes.groupBy("path").agg(F.count("*").alias("n"), F.min("rep").alias("leader"))
-        large = written(counts.where(F.col("n") > leaf), "large-nodes")
+        large = written(counts.where(F.col("n") > node), "large-nodes")
         n_large = large.count()
         large = _sent(large, n_large)
-        # Nodes within the limit wait for the end: one job compares those of all levels. The first level is
+        # Nodes within the limit wait for the end: one job finishes those of all levels. The first level is
         # read again from the classes, the few sets further down are written.
-        small = nodes.select("path", "rep", *BRIEF).join(large.select("path"), "path", "left_anti")
+        small = nodes.select("path", "rep", "places").join(large.select("path"), "path", "left_anti")
         smalls.append(small if d == 1 else written(small, "small-nodes"))
         if n_large and d < deepest:
             known = written(large.join(leaders, "leader"), "node-leaders")
@@ -221,16 +323,15 @@ def candidate_links(
             n_open = ids.count()
             if n_open > MEMBERS >= n_large:
                 # The sets stay where they are: the nodes to go on with were sent to them.
-                level = staying.select("path", "rep", "signature", *BRIEF)
+                level = staying.select("path", "rep", "signature", *BRIEF, "places")
             else:
                 level = _sent(ids, n_open).join(sets, "rep")
         elif n_large:
             whole = nodes.join(large, "path").where("rep <> leader")
             settled.append(whole.select(F.col("rep").alias("a"), F.col("leader").alias("b")))
-    # Each node in one task; sets alone in theirs meet nobody. A node's path is a hash of its tree and level, too.
-    small = reduce(DataFrame.unionByName, smalls).repartition("path")
-    together = small.withColumn("n", F.count("*").over(Window.partitionBy("path"))).where("n > 1").drop("n")
-    return reduce(DataFrame.unionByName, settled, together.mapInArrow(_compare_leaves(least), "a long, b long"))
+    # Each node in one task. A node's path is a hash of its tree and level, too.
+    small = by_group(reduce(DataFrame.unionByName, smalls), "path")
+    return reduce(DataFrame.unionByName, settled, small.mapInArrow(_compare_nodes(least, leaf, depth), "a long, b long"))
 
 
 def similar(sets: list[np.ndarray], percent: int, skip: np.ndarray | None = None) -> np.ndarray:
@@ -256,12 +357,13 @@ def similar(sets: list[np.ndarray], percent: int, skip: np.ndarray | None = None
 
 
 def _verify(percent: int):
-    """Verified links of each group; with a column ``part``, rows of one part are not compared."""
+    """Verified links of each group, every set to the smallest id of its component there; with a column
+    ``part``, rows of one part are not compared."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
         for _, rows in sorted_groups(batches, 2):
-            reps, parts, sets = zip(*rows, strict=True)
+            reps, parts, sets = zip(*sorted(rows, key=lambda row: row[0]), strict=True)
             if len(reps) > 1:
                 linked = similar([s.view(np.uint64) for s in sets], percent)
                 parts = np.array([-1 if p is None else p for p in parts])
@@ -270,7 +372,7 @@ def _verify(percent: int):
                 for i, j in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
                     joined.join(int(i), int(j))
                 for i, r in enumerate(joined.roots()):
-                    if i != r:
+                    if reps[i] != reps[r]:
                         a.append(reps[i])
                         b.append(reps[r])
             if len(a) > 10_000:
@@ -300,9 +402,11 @@ def _links(groups: DataFrame, percent: int) -> DataFrame:
     return written(rows.mapInArrow(_verify(percent), "a long, b long"), "verified-links", SET_ROWS)
 
 
-def _with_component(members: DataFrame, links: DataFrame) -> DataFrame:
-    found = components(links).withColumnRenamed("node", "rep")
-    return members.join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+def _flat(links: DataFrame, new: DataFrame) -> DataFrame:
+    """Links to first members, led on by ``new`` links between these, and the new ones: the components stay."""
+    onward = new.select(F.col("a").alias("b"), F.col("b").alias("c"))
+    led = links.join(_sent(onward, new.count()), "b", "left").select("a", F.coalesce("c", "b").alias("b"))
+    return written(led.unionByName(new), "flat-links")
 
 
 def verified_links(docs: DataFrame, clusters: DataFrame, size: int, percent: int, block: int = BLOCK) -> DataFrame:
@@ -329,16 +433,21 @@ def verified_links(docs: DataFrame, clusters: DataFrame, size: int, percent: int
     large = sets.where("blocks > 1")
     if large.isEmpty():
         return links
-    heads = _with_component(large, links).where("rep = component")
+    # Every set is in one block: links lead to the first members of its components, and those are the heads.
+    heads, new = large, links
     while True:
+        heads = heads.join(_sent(new.select(F.col("a").alias("rep")).distinct(), new.count()), "rep", "left_anti")
         counts = heads.groupBy("cluster").agg(F.ceil(held).cast("int").alias("rounds"))
         dealt = heads.join(counts, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("rounds")).cast("int"))
         new = _links(dealt.withColumn("part", none), percent)
-        links = links.unionByName(new)
-        if dealt.where("rounds > 1").isEmpty() or new.isEmpty():
+        if new.isEmpty():
+            break
+        links = _flat(links, new)
+        if dealt.where("rounds > 1").isEmpty():
             break
-        heads = _with_component(large, links).where("rep = component")
-    parted = written(_with_component(large, links), "parted-sets")
+    firsts = links.select(F.col("a").alias("rep"), F.col("b").alias("component"))
+    parted = large.join(_sent(firsts, links.count()), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    parted = written(parted, "parted-sets")
     weights = parted.groupBy("cluster", "component").agg(F.count("*").alias("w"))
     largest = weights.groupBy("cluster").agg(F.max_by("component", F.struct("w", "component")).alias("largest"), F.count("*").alias("k"))
     unsettled = small_side(largest.where("k > 1"), MEMBERS)

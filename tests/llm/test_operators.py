@@ -501,6 +501,32 @@ def test_chosen_paths_recurse_until_nodes_are_small(spark):
         minhash.candidate_links(classes, 50)
 
 
+def test_nodes_are_finished_in_one_task(spark, monkeypatch):
+    """Levels of a dense group take no shuffle each; nodes above the limit do, with the same components."""
+    rng = np.random.default_rng(8)
+    centre = rng.integers(0, 1 << 32, minhash.SIGNATURE, dtype=np.uint32)
+    other = rng.integers(0, 1 << 32, (600, minhash.SIGNATURE), dtype=np.uint32)
+    share = np.r_[np.full(300, 0.12), np.full(200, 0.75), np.full(100, 1.1)][:, None]
+    signatures = np.where(rng.random((600, minhash.SIGNATURE)) < share, other, centre)
+    rows = [(i, s.view(np.int32).tolist(), *np.frombuffer(minhash.brief(s), np.int64).tolist()) for i, s in enumerate(signatures)]
+    classes = spark.createDataFrame(rows, "rep long, signature array<int>, b0 long, b1 long, b2 long, b3 long").repartition(3)
+    names = []
+    keep = minhash.written
+    monkeypatch.setattr(minhash, "written", lambda df, name, *more: names.append(name) or keep(df, name, *more))
+    found = [(r["a"], r["b"]) for r in minhash.candidate_links(classes, leaf=20).collect()]
+    assert names == ["large-nodes"]
+    apart = [(r["a"], r["b"]) for r in minhash.candidate_links(classes, leaf=20, node=150).collect()]
+    assert names.count("large-nodes") > 2
+    for links in (found, apart):
+        joined = reach(600, links)
+        assert len({joined[i] for i in range(300)}) == 1
+        assert all(joined[i] == i for i in range(500, 600))
+    many = np.concatenate([signatures & 255] * 3).astype(np.uint8)
+    agree = minhash.leaf_roots(np.frombuffer(b"".join(map(minhash.brief, many)), np.uint64).reshape(len(many), -1), 85)
+    near = [(i, j) for i in range(600) for j in range(i) if ((signatures[i] & 3) == (signatures[j] & 3)).sum() >= 85]
+    assert agree.tolist() == [reach(600, near)[i % 600] for i in range(len(many))]
+
+
 def test_keep_one_of_repeated_ids(spark):
     rows = [(1, "b c d e f g", 1), (1, "a c d e f h", 2), (2, None, 3), (2, "x y z v w u", 4), (3, "q", 6), (3, "q", 5), (None, "q", 7)]
     table = spark.createDataFrame(rows, "doc_id long, text string, n long").repartition(4)
