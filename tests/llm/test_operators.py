@@ -621,3 +621,29 @@ def test_surrogates_of_whole_names(spark):
     assert {second[i] for i in (3, 5, 6, 7)} == {second[2]} and second[1] == second[4]
     third = re.fullmatch(r"Frau (\w+na) von der (\w+) Mr (\w+), Herr (\w+)\.", got[2])
     assert third[2] == third[4] and third[3] == second[2] and got[3] == texts[3]
+
+
+def test_word_maps_in_small_blocks(monkeypatch):
+    """No block of rows of the map is larger than ``MAPPED`` words need, and maps are those of each word alone."""
+    through = np.random.default_rng(6).normal(size=(32**3, 8)).astype(np.float32)
+    words = ["", "x", "idiot", "i-d1ot", "überaus", *(f"word{i:x}s" for i in range(1500))]
+    rows = []
+    reduceat = np.add.reduceat
+
+    class Add:
+        @staticmethod
+        def reduceat(maps, at, axis=0):
+            rows.append(len(at))
+            return reduceat(maps, at, axis=axis)
+
+    expected = np.concatenate([toxicity._mapped([w], through) for w in words])
+    monkeypatch.setattr(toxicity.np, "add", Add)
+    got = toxicity._mapped(words, through)
+    assert np.array_equal(got, expected) and max(rows) <= 64
+
+
+def test_letters_spelled_one_by_one_are_never_ruled_out():
+    rng = random.Random(66)
+    for _ in range(20_000):
+        text = "".join(rng.choice("ab éя 1._-*\n\t\u00a0 ") for _ in range(rng.randrange(24)))
+        assert not toxicity._SPACED.search(text) or toxicity._LAST_TWO.search(text)
