@@ -13,11 +13,12 @@ import re
 from array import array
 from functools import cache
 
-_BLANK_RUN = re.compile(r"\s\s|\0")
+_BLANK_RUN = re.compile(r"\s\s")
 _BEFORE_BLANK = re.compile(r"(?<=\S)(?=\s)")
-#: A stop begins a token of its own only behind what every vocabulary takes for a letter or digit.
-_LONE_STOP = re.compile(r"(?<![A-Za-z0-9])[.,]")
-_OWN_STOP = re.compile(r"(?<=[A-Za-z0-9])(?=[.,])")
+#: A stop begins a token of its own only behind what every vocabulary takes for a letter or digit. What
+#: stands before is looked at from the stop, so that other places are passed over.
+_LONE_STOP = re.compile(r"[.,](?<![A-Za-z0-9][.,])")
+_OWN_STOP = re.compile(r"([.,])(?<=[A-Za-z0-9][.,])")
 _SPACED_WORD = re.compile(r" ?[A-Za-z]+\Z")
 
 
@@ -56,11 +57,11 @@ class PieceEncoder:
         stops = not _LONE_STOP.search(text)
         if self.drops_blanks:
             text = text.encode().lower().decode().replace("\n", " ")
-            return (text.replace(".", " .").replace(",", " ,") if stops else _OWN_STOP.sub(" ", text)).split(" ")
-        if _BLANK_RUN.search(text):
+            return (text.replace(".", " .").replace(",", " ,") if stops else _OWN_STOP.sub(" \\1", text)).split(" ")
+        if "\0" in text or _BLANK_RUN.search(text):
             return _BEFORE_BLANK.split(text)
         text = text.replace("\n", "\0\n\0").replace(" ", "\0 ")
-        return (text.replace(".", "\0.").replace(",", "\0,") if stops else _OWN_STOP.sub("\0", text)).split("\0")
+        return (text.replace(".", "\0.").replace(",", "\0,") if stops else _OWN_STOP.sub("\0\\1", text)).split("\0")
 
     def _encode_piece(self, piece: str) -> bytes:
         """A run of ASCII letters is one word of every cutting rule; the library cuts all else."""

@@ -647,3 +647,17 @@ def test_letters_spelled_one_by_one_are_never_ruled_out():
     for _ in range(20_000):
         text = "".join(rng.choice("ab éя 1._-*\n\t\u00a0 ") for _ in range(rng.randrange(24)))
         assert not toxicity._SPACED.search(text) or toxicity._LAST_TWO.search(text)
+
+
+def test_stops_are_found_from_the_stop():
+    """As by a look behind at every place, which takes longer: the patterns begin with the stop itself."""
+    import re
+
+    from panelcast.llm import tokens
+
+    rng = random.Random(10)
+    for _ in range(20_000):
+        text = "".join(rng.choice("a1Zé .,\n\0") for _ in range(rng.randrange(12)))
+        assert bool(tokens._LONE_STOP.search(text)) == bool(re.search(r"(?<![A-Za-z0-9])[.,]", text))
+        assert tokens._OWN_STOP.sub("|\\1", text) == re.sub(r"(?<=[A-Za-z0-9])(?=[.,])", "|", text)
+    assert tokens._LONE_STOP.pattern.startswith("[.,]") and tokens._OWN_STOP.pattern.startswith("([.,])")
