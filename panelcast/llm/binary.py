@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from panelcast.llm.shared import cuts, shared_folder, table
-from panelcast.llm.tokens import encoder, tokenizer_path
+from panelcast.llm.shared import shared_folder, table
+from panelcast.llm.tokens import encoder, text_slices, tokenizer_path
 from panelcast.session import small_side
 
 #: Ids are delta encoded; the few-valued file number keeps a dictionary. Row groups and
@@ -33,24 +33,20 @@ SCHEMA = "doc_id long, file int, file_start long, n_tokens long, ids array<int>"
 
 def _encode_partition(path: str, end_id: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_text = encoder(path).encode
-        end = np.array([end_id], "<u4").tobytes()
+        encode_texts = encoder(path).encode_column
         start = 0
         for batch in batches:
-            rows = batch.to_pydict()
-            for low in range(0, batch.num_rows, 500):
-                ids = [encode_text(t) + end for t in rows["text"][low : low + 500]]
-                offsets = cuts(len(x) // 4 for x in ids)
-                lengths = np.diff(offsets)
+            for rows in text_slices(batch):
+                ids, offsets = encode_texts(rows.column("text"))
+                ids = np.insert(ids, offsets[1:], end_id)
+                offsets = offsets + np.arange(len(offsets))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(rows["doc_id"][low : low + 500], pa.int64()),
-                        pa.array(rows["file"][low : low + 500], pa.int32()),
+                        rows.column("doc_id"),
+                        rows.column("file"),
                         pa.array(start + offsets[:-1], pa.int64()),
-                        pa.array(lengths, pa.int64()),
-                        pa.ListArray.from_arrays(
-                            pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4"))
-                        ),
+                        pa.array(np.diff(offsets), pa.int64()),
+                        pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.view("<i4"))),
                     ],
                     ["doc_id", "file", "file_start", "n_tokens", "ids"],
                 )

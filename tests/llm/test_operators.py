@@ -661,3 +661,35 @@ def test_stops_are_found_from_the_stop():
         assert bool(tokens._LONE_STOP.search(text)) == bool(re.search(r"(?<![A-Za-z0-9])[.,]", text))
         assert tokens._OWN_STOP.sub("|\\1", text) == re.sub(r"(?<=[A-Za-z0-9])(?=[.,])", "|", text)
     assert tokens._LONE_STOP.pattern.startswith("[.,]") and tokens._OWN_STOP.pattern.startswith("([.,])")
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_columns_of_texts_have_the_ids_of_whole_texts(name):
+    import pyarrow as pa
+    from panelcast.llm import tokens
+
+    path, rng, characters = tokenizer_path(name), random.Random(31), _characters()
+    marks = ["é", "É.", "ß,", "ÿ", "µ.", "ª", "×", "÷a", "$$", "'s", "_", ".", ",", "...", "\n", "\n\n", "  ", " ", "\0", "\t", "a", "Z1", "<|endoftext|>", "e\u0301."]
+    texts = ["".join(rng.choice([rng.choice(marks), rng.choice("abÀéñ .,\n"), rng.choice(characters)][: rng.choice((2, 2, 3))]) for _ in range(rng.randrange(12))) for _ in range(8_000)]
+    texts += [None, "", " ", *(t for _, t in ROWS)]
+    ids, offsets = encoder(path).encode_column(pa.array(["cut off", *texts], pa.string()).slice(1))
+    assert len(offsets) == len(texts) + 1 and offsets[0] == 0 and offsets[-1] == len(ids)
+    wrong = [t for t, a, b in zip(texts, offsets[:-1], offsets[1:]) if ids[a:b].tolist() != ids_of(path, t)[:-1]]
+    assert not wrong, (len(wrong), wrong[:5])
+    batch = pa.record_batch([pa.array(texts, pa.string())], ["text"])
+    assert pa.Table.from_batches(list(tokens.text_slices(batch))).column(0).to_pylist() == texts
+    assert [x.num_rows for x in tokens.text_slices(batch.slice(0, 0))] == []
+
+
+def test_often_met_pieces_are_encoded_once(monkeypatch):
+    """Rare pieces that fill the memory do not drive out the others, and Latin words need no cutting rule."""
+    from panelcast.llm.tokens import PieceEncoder
+
+    small, seen = PieceEncoder(tokenizer_path("byte_bpe_50k.json"), limit=50), collections.Counter()
+    encode = small._encode_piece
+    monkeypatch.setattr(small, "_encode_piece", lambda piece: seen.update([piece]) or encode(piece))
+    for i in range(2_000):
+        letters = "".join("abcdefghij"[int(c)] for c in str(i))
+        small.encode(f"often été q{letters}")
+    assert seen["often"] == 1 and seen[" été"] == 1 and len(seen) == 2_002
+    assert len(small.pieces) + len(small.once) <= 104
