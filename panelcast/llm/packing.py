@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelcast.llm.shared import table, written
-from panelcast.llm.tokens import encoder, tokenizer_path
+from panelcast.llm.tokens import encoder, text_slices, tokenizer_path
 
 CAPACITY = 1024
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, part int, local long"
@@ -26,18 +26,18 @@ PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, part i
 
 def _cut_partition(path: str, end_id: int, capacity: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_text = encoder(path).encode
-        end = np.array([end_id], "<u4").tobytes()
+        encode_texts = encoder(path).encode_column
         seen: Counter[int] = Counter()
-        for batch in batches:
-            rows = batch.to_pydict()
+        for rows in (x for batch in batches for x in text_slices(batch)):
+            flat, offsets = encode_texts(rows.column("text"))
+            flat, offsets = np.insert(flat, offsets[1:], end_id), (offsets + np.arange(len(offsets))).tolist()
             out: list[tuple] = []
-            for doc_id, text, part in zip(rows["doc_id"], rows["text"], rows["part"], strict=True):
-                ids = encode_text(text) + end
-                n = len(ids) // 4
+            docs = zip(rows.column("doc_id").to_pylist(), rows.column("part").to_pylist(), strict=True)
+            for (doc_id, part), low, high in zip(docs, offsets, offsets[1:], strict=False):
+                ids, n = flat[low:high], high - low
                 starts = [0, *range(n % capacity or capacity, n, capacity)]
                 for piece, (a, b) in enumerate(zip(starts, [*starts[1:], n], strict=True)):
-                    out.append((doc_id, piece, a, b - a, zlib.crc32(ids[4 * a : 4 * b]), part, seen[b - a]))
+                    out.append((doc_id, piece, a, b - a, zlib.crc32(ids[a:b]), part, seen[b - a]))
                     seen[b - a] += 1
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()]
             columns = list(zip(*out, strict=True)) or [()] * len(types)
